@@ -145,7 +145,7 @@ def _units(rows: DataFrame, comp: DataFrame | None, leaf: int) -> tuple[DataFram
     sizes = written(sizes, "node-sizes")
     met = written(rows.join(sizes, "node"), "node-rows")
     small = met.where(F.col("size") <= leaf).groupBy("node").agg(F.sort_array(F.collect_set("c")).alias("members")).where("size(members) > 1")
-    units = written(small.select("members").distinct().select(F.monotonically_increasing_id().alias("unit"), F.explode("members").alias("c")), "units")
+    units = written(small.select("members").distinct().withColumn("unit", F.monotonically_increasing_id()).select("unit", F.explode("members").alias("c")), "units")
     drop(sizes)
     return units, met.where(F.col("size") > leaf), met
 
