@@ -2,5 +2,496 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewlens.functions import stats
+from reviewlens.functions import text as T
+from reviewlens.operators import graph, model, report, signals
+from reviewlens.plans.adapters import EDGES, REVIEWS, edges, reviews, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- signals -------------------------------------------------------------------------
+
+HIST = f"""{REVIEWS},
+hist AS (SELECT listing_id, count(*) AS n_ratings, {", ".join(f"count(*) FILTER (WHERE least(5, greatest(1, floor(rating + 0.5))) = {k}) / CAST(count(*) AS DOUBLE) AS h{k}" for k in range(1, 6))}
+  FROM reviews_v WHERE rating IS NOT NULL GROUP BY listing_id)"""
+AXIS = [k - p for p, k in zip(signals.ORGANIC_PRIOR, signals.INJECTION_KERNEL, strict=True)]
+DECON = f"""{HIST},
+raw AS (SELECT *, least(1.0, greatest(0.0, ({" + ".join(f"(h{i + 1} - {p}) * {d!r}" for i, (p, d) in enumerate(zip(signals.ORGANIC_PRIOR, AXIS, strict=True)))}) / {sum(d * d for d in AXIS)!r})) AS injected_share FROM hist),
+decon AS (SELECT listing_id, injected_share, sqrt(({" + ".join(f"pow(h{i + 1} - ({p} + injected_share * {d!r}), 2)" for i, (p, d) in enumerate(zip(signals.ORGANIC_PRIOR, AXIS, strict=True)))}) / 5) AS residual_error FROM raw)"""
+
+
+@query(f"WITH {HIST} SELECT * FROM hist")
+def rating_histogram(spark, sf):
+    return signals.rating_histogram(reviews(spark, sf))
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@query(f"WITH {DECON} SELECT listing_id, round(injected_share, 9) AS injected_share, round(residual_error, 9) AS residual_error FROM decon")
+def rating_deconvolution(spark, sf):
+    return _rounded(signals.rating_deconvolution(signals.rating_histogram(reviews(spark, sf))), "injected_share", "residual_error")
+
+
+DAYS = f"""{REVIEWS},
+dated AS (SELECT *, CASE WHEN review_date IS NOT NULL AND coalesce(date_precision, 'exact') IN ('exact', 'day') THEN date_diff('day', DATE '1970-01-01', review_date) END AS day FROM reviews_v),
+counts AS (SELECT listing_id, day, count(*) AS n FROM dated WHERE day IS NOT NULL GROUP BY listing_id, day),
+span AS (SELECT listing_id, min(day) AS lo, max(day) AS hi FROM counts GROUP BY listing_id),
+dense AS (SELECT s.listing_id, d.day, coalesce(c.n, 0) AS n FROM (SELECT listing_id, unnest(range(lo, hi + 1)) AS day FROM span) d JOIN span s USING (listing_id) LEFT JOIN counts c ON c.listing_id = d.listing_id AND c.day = d.day),
+trail AS (SELECT *, median(n) OVER (PARTITION BY listing_id ORDER BY day ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS usual FROM dense),
+flags AS (SELECT listing_id, day, n FROM trail WHERE n > 0 AND usual IS NOT NULL
+  AND (usual = 0 OR list_sum(list_transform(range(0, n), lambda k: exp(k * ln(usual) - usual - lgamma(k + 1)))) >= 0.99)),
+islands AS (SELECT *, day - row_number() OVER (PARTITION BY listing_id ORDER BY day) AS g FROM flags),
+runs AS (SELECT listing_id, min(day) AS start_day, max(day) AS end_day, sum(n) AS review_count FROM islands GROUP BY listing_id, g)"""
+# lgamma is singular where the rate is 0; that case is decided before it
+
+
+@query(f"WITH {DAYS} SELECT listing_id, day, n FROM counts")
+def daily_counts(spark, sf):
+    return signals.daily_counts(reviews(spark, sf))
+
+
+@query(f"WITH {DAYS} SELECT listing_id, day, n, usual FROM trail WHERE n > 0")
+def trailing_median(spark, sf):
+    return signals.trailing_median(signals.daily_counts(reviews(spark, sf)))
+
+
+@query(f"WITH {DAYS} SELECT listing_id, day, n FROM flags")
+def burst_days(spark, sf):
+    return signals.burst_days(signals.daily_counts(reviews(spark, sf)))
+
+
+@query(f"WITH {DAYS} SELECT listing_id, start_day, end_day, CAST(review_count AS BIGINT) AS review_count FROM runs")
+def burst_islands(spark, sf):
+    return signals.bursts(signals.burst_days(signals.daily_counts(reviews(spark, sf))))
+
+
+BURST = f"""{DAYS},
+bf AS (SELECT c.listing_id, coalesce(r.inside, 0) / CAST(c.total AS DOUBLE) AS burst_fraction, coalesce(r.bursts, 0) AS burst_count, coalesce(r.largest, 0) / CAST(c.total AS DOUBLE) AS largest_burst_share
+  FROM (SELECT listing_id, sum(n) AS total FROM counts GROUP BY listing_id) c LEFT JOIN (SELECT listing_id, sum(review_count) AS inside, count(*) AS bursts, max(review_count) AS largest FROM runs GROUP BY listing_id) r USING (listing_id))"""
+
+
+@query(f"WITH {BURST} SELECT listing_id, round(burst_fraction, 9) AS burst_fraction, burst_count, round(largest_burst_share, 9) AS largest_burst_share FROM bf")
+def burst_features(spark, sf):
+    counts = signals.daily_counts(reviews(spark, sf))
+    return _rounded(signals.burst_features(counts, signals.bursts(signals.burst_days(counts))), "burst_fraction", "largest_burst_share")
+
+
+@query(f"WITH {DAYS} SELECT d.review_id, r.listing_id IS NOT NULL AS in_burst FROM dated d LEFT JOIN runs r ON r.listing_id = d.listing_id AND d.day BETWEEN r.start_day AND r.end_day")
+def inside_burst(spark, sf):
+    r = reviews(spark, sf).drop("text")
+    return signals.inside_burst(r, signals.burst_days(signals.daily_counts(r))).select("review_id", "in_burst")
+
+
+LIFT = f"""{BURST},
+marked AS (SELECT d.*, r.listing_id IS NOT NULL AS in_burst FROM dated d LEFT JOIN runs r ON r.listing_id = d.listing_id AND d.day BETWEEN r.start_day AND r.end_day),
+lifts AS (SELECT listing_id, base, CASE WHEN base > 0 AND all_bad > 0 THEN (bad / CAST(base AS DOUBLE)) / (all_bad / CAST(known AS DOUBLE)) END AS lift FROM (
+  SELECT listing_id, count(*) FILTER (WHERE in_burst AND rating = 5 AND verified IS NOT NULL) AS base, count(*) FILTER (WHERE in_burst AND rating = 5 AND NOT verified) AS bad, count(verified) AS known, count(*) FILTER (WHERE NOT verified) AS all_bad FROM marked GROUP BY listing_id))"""
+
+
+@query(f"WITH {LIFT} SELECT listing_id, base, round(lift, 9) AS lift FROM lifts")
+def verification_lift(spark, sf):
+    r = reviews(spark, sf).drop("text")
+    return _rounded(signals.verification_lift(signals.inside_burst(r, signals.burst_days(signals.daily_counts(r)))), "lift")
+
+
+GATE = """gate AS (SELECT listing_id, count(*) AS n_reviews, count(review_date) AS n_dated, count(day) AS n_timeline,
+  count(*) >= 30 AND count(review_date) >= 20 AND (count(day) < 20 OR max(day) - min(day) >= 21) AS meets_minimum FROM dated GROUP BY listing_id)"""
+
+
+@query(f"WITH {DAYS}, {GATE} SELECT * FROM gate")
+def minimum_data_gate(spark, sf):
+    return signals.minimum_data(reviews(spark, sf))
+
+
+FLAGGED = "SELECT 'u' || CAST(i AS VARCHAR) AS reviewer_id FROM range(0, 97) t(i) WHERE i % 7 = 0"
+SHARE = f"""share AS (SELECT listing_id, count(*) AS identified, count(f.reviewer_id) AS flagged_reviews, count(DISTINCT r.reviewer_id) AS reviewers, count(DISTINCT f.reviewer_id) AS flagged_reviewers,
+  count(f.reviewer_id) / CAST(count(*) AS DOUBLE) AS flagged_review_share FROM reviews_v r LEFT JOIN ({FLAGGED}) f ON f.reviewer_id = r.reviewer_id WHERE r.reviewer_id IS NOT NULL GROUP BY listing_id)"""
+
+
+def _flagged_ids(spark: SparkSession) -> DataFrame:
+    return spark.range(97).where("id % 7 = 0").select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("reviewer_id"))
+
+
+@query(f"WITH {REVIEWS}, {SHARE} SELECT * FROM share")
+def reviewer_share(spark, sf):
+    return signals.reviewer_share(reviews(spark, sf).drop("text"), _flagged_ids(spark))
+
+
+FLAT = f"{LIFT}, {DECON.removeprefix(REVIEWS + ',')}, {GATE}, {SHARE}"
+VECTOR = """vec AS (SELECT g.listing_id, g.meets_minimum, d.injected_share, d.residual_error, b.burst_fraction, CAST(b.burst_count AS DOUBLE) AS burst_count, b.largest_burst_share, l.lift, s.flagged_review_share
+  FROM gate g LEFT JOIN decon d USING (listing_id) LEFT JOIN bf b USING (listing_id) LEFT JOIN lifts l USING (listing_id) LEFT JOIN share s USING (listing_id))"""
+SHORT = ["injected_share", "residual_error", "burst_fraction", "burst_count", "largest_burst_share", "lift", "flagged_review_share"]
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    r = reviews(spark, sf).drop("text")
+    return signals.feature_vectors(r, None, _flagged_ids(spark), texts=False)
+
+
+@query(f"WITH {FLAT}, {VECTOR} SELECT listing_id, meets_minimum, {', '.join(f'round({c}, 9) AS {c}' for c in SHORT)} FROM vec")
+def feature_vector(spark, sf):
+    return _rounded(_vectors(spark, sf).select("listing_id", "meets_minimum", *SHORT), *SHORT)
+
+
+#: A model with fixed weights, so that scores can be checked by SQL.
+DEMO = model.Model(
+    -1.0,
+    {"injected_share": 2.5, "burst_fraction": 1.5, "lift": 0.4, "flagged_review_share": 1.2},
+    [(0.2, 0.1), (0.5, 0.45), (0.9, 0.95)],
+    {"injected_share": [0.0, 0.1, 0.3], "burst_fraction": [0.0, 0.02, 0.2], "lift": [0.5, 1.0, 2.0], "flagged_review_share": [0.0, 0.1, 0.4]},
+)
+_Z = " + ".join(f"{w} * coalesce({c}, {DEMO.sketches[c][1]})" for c, w in DEMO.coefficients.items())
+SCORES = f"""raws AS (SELECT *, CASE WHEN NOT meets_minimum THEN 'not-enough-data' WHEN {" AND ".join(f"{c} IS NULL" for c in DEMO.coefficients)} THEN 'insufficient-data' ELSE 'ok' END AS status, 1 / (1 + exp(-({_Z} - 1.0))) AS r FROM vec),
+scores AS (SELECT *, CASE WHEN status = 'ok' THEN CASE WHEN r <= 0.2 THEN 0.1 WHEN r <= 0.5 THEN 0.1 + (r - 0.2) / 0.3 * 0.35 WHEN r <= 0.9 THEN 0.45 + (r - 0.5) / 0.4 * 0.5 ELSE 0.95 END END AS probability FROM raws)"""
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return model.score(_vectors(spark, sf), DEMO)
+
+
+@query(f"WITH {FLAT}, {VECTOR}, {SCORES} SELECT listing_id, status, round(probability, 8) AS probability, CASE WHEN probability IS NOT NULL THEN ['clean', 'mostly-clean', 'mixed', 'doubtful', 'heavily-manipulated'][1 + least(4, CAST(floor(probability * 5) AS INTEGER))] END AS band FROM scores")
+def score_listings(spark, sf):
+    out = _scored(spark, sf)
+    return out.select("listing_id", "status", F.round("probability", 8).alias("probability"), stats.band(F.col("probability")).alias("band"))
+
+
+@query(f"WITH {FLAT}, {VECTOR}, {SCORES} SELECT listing_id, {', '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in DEMO.coefficients).replace(', CASE', ' + CASE')} AS n_imputed FROM scores")
+def impute_listings(spark, sf):
+    return _scored(spark, sf).select("listing_id", F.size("imputed").alias("n_imputed"))
+
+
+@query(f"WITH {FLAT}, {VECTOR}, {SCORES} SELECT coalesce(['clean', 'mostly-clean', 'mixed', 'doubtful', 'heavily-manipulated'][1 + least(4, CAST(floor(probability * 5) AS INTEGER))], 'none') AS band, count(*) AS n FROM scores GROUP BY 1")
+def band_counts(spark, sf):
+    return _scored(spark, sf).groupBy(F.coalesce(stats.band(F.col("probability")), F.lit("none")).alias("band")).agg(F.count("*").alias("n"))
+
+
+_EV = " UNION ALL ".join(
+    f"SELECT listing_id, '{s}' AS signal, round({c}, 9) AS value, CASE WHEN {c} IS NULL THEN 'none' WHEN {c} < {w} THEN 'weak' WHEN {c} < {m} THEN 'moderate' ELSE 'strong' END AS strength FROM vec" if c in SHORT else f"SELECT listing_id, '{s}', NULL, 'none' FROM vec"
+    for s, c, w, m in report.EVIDENCE
+)
+
+
+@query(f"WITH {FLAT}, {VECTOR} {_EV}")
+def evidence_rows(spark, sf):
+    return _rounded(report.evidence(_vectors(spark, sf)), "value")
+
+
+_CONTRIB = " UNION ALL ".join(f"SELECT listing_id, '{c}' AS feature, coalesce({c}, {DEMO.sketches[c][1]}) * {w} AS contribution, {c} IS NULL AS imputed FROM vec" for c, w in DEMO.coefficients.items())
+
+
+@query(f"WITH {FLAT}, {VECTOR}, c AS ({_CONTRIB}) SELECT listing_id, feature, round(contribution, 9) AS contribution, imputed, CAST(row_number() OVER (PARTITION BY listing_id ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS place FROM c")
+def largest_movers(spark, sf):
+    return _rounded(model.contributions(_vectors(spark, sf), DEMO).select("listing_id", "feature", "contribution", "imputed", "place"), "contribution")
+
+
+ADJUSTED = f"""{DECON},
+ranked AS (SELECT r.listing_id, r.rating, row_number() OVER (PARTITION BY r.listing_id ORDER BY r.rating DESC) AS k, least(h.n_ratings, CAST(floor(d.injected_share * h.n_ratings + 0.5) AS BIGINT)) AS excluded FROM reviews_v r JOIN hist h USING (listing_id) JOIN decon d USING (listing_id) WHERE r.rating IS NOT NULL)"""
+
+
+@query(f"WITH {ADJUSTED} SELECT listing_id, count(*) AS n_ratings, round(avg(rating), 9) AS claimed, max(excluded) AS excluded, round(coalesce(avg(rating) FILTER (WHERE k > excluded), avg(rating)), 9) AS adjusted FROM ranked GROUP BY listing_id")
+def adjusted_rating(spark, sf):
+    r = reviews(spark, sf).drop("text")
+    return _rounded(report.adjusted_rating(r, signals.rating_deconvolution(signals.rating_histogram(r))), "claimed", "adjusted")
+
+
+_DRAW = "CASE " + " ".join(f"WHEN place < c{k} THEN {k}" for k in range(1, 5)) + " ELSE 5 END"
+_AX = " + ".join(f"(h{i + 1} - {p}) * {d!r}" for i, (p, d) in enumerate(zip(signals.ORGANIC_PRIOR, AXIS, strict=True)))
+
+
+@query(f"""WITH {REVIEWS},
+c AS (SELECT listing_id, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE rating <= {k}) AS c{k}" for k in range(1, 6))} FROM reviews_v WHERE rating IS NOT NULL GROUP BY listing_id),
+d AS (SELECT listing_id, b, n, c1, c2, c3, c4, floor(CAST(('0x' || substr(sha256('0:' || listing_id || ':' || b || ':' || i), 1, 13)) AS BIGINT) / 4503599627370496.0 * n) AS place FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, 20)) AS b FROM c))),
+h AS (SELECT listing_id, b, {", ".join(f"count(*) FILTER (WHERE {_DRAW} = {k}) / CAST(count(*) AS DOUBLE) AS h{k}" for k in range(1, 6))} FROM d GROUP BY listing_id, b),
+s AS (SELECT listing_id, least(1.0, greatest(0.0, ({_AX}) / {sum(d * d for d in AXIS)!r})) AS injected_share FROM h)
+SELECT listing_id, round(quantile_cont(injected_share, 0.25), 9) AS low, round(quantile_cont(injected_share, 0.75), 9) AS high FROM s GROUP BY listing_id""")
+def bootstrap_interval(spark, sf):
+    return _rounded(report.bootstrap_shares(reviews(spark, sf).drop("text"), resamples=20), "low", "high")
+
+
+@query()
+def listing_reports(spark, sf):
+    r = reviews(spark, sf).drop("text")
+    vectors = signals.feature_vectors(r, None, _flagged_ids(spark), texts=False)
+    ratings = report.adjusted_rating(r, vectors.select("listing_id", "injected_share"))
+    return report.report_text(report.reports(model.score(vectors, DEMO), ratings, report.bootstrap_shares(r, resamples=20)))
+
+
+# -- text ----------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, len(t) AS n_tokens, CASE WHEN len(t) > 1 THEN 2 * len(t) - 1 ELSE len(t) END AS n_terms, coalesce(t[1], '') AS first_token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)""")
+def tokenize_terms(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"), T.terms(F.col("text")).alias("terms"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size("terms").cast("long").alias("n_terms"), F.coalesce(F.get("t", 0), F.lit("")).alias("first_token"))
+
+
+_FOLD = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FOLD} AS t FROM documents)
+SELECT doc_id, CAST(CASE WHEN length(t) <= 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, CAST(i AS INTEGER), 5)))) END AS BIGINT) AS n_shingles FROM f""")
+def shingle_sets(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).cast("long").alias("n_shingles"))
+
+
+@query("""SELECT user_id, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split('u' || user_id, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
+  lambda h, b: (CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * 1099511628211) % 18446744073709551616) AS VARCHAR) AS h FROM (SELECT DISTINCT user_id FROM events)""")
+def fnv_hashes(spark, sf):
+    u = table(spark, sf, "events").select("user_id").distinct()
+    return u.select("user_id", T.fnv1a64(F.concat(F.lit("u"), F.col("user_id").cast("string"))).cast("string").alias("h"))
+
+
+@query()
+def hashed_term_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(T.hashed_terms(T.terms(F.col("text")))).alias("bucket", "n"))
+
+
+@query()
+def minhash_signatures(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.minhash(T.shingles(F.col("text"))).alias("sig"))
+
+
+@query()
+def near_dup_features(spark, sf):
+    return _rounded(signals.near_duplicate_features(table(spark, sf, "documents"), "source"), "duplicate_review_share", "largest_cluster_share")
+
+
+@query()
+def off_topic_share(spark, sf):
+    r = reviews(spark, sf).select("listing_id", "review_id", "text")
+    products = table(spark, sf, "documents").select(F.col("doc_id").alias("listing_id"), F.substring("text", 1, 200).alias("product_text"))
+    return signals.off_topic(r, products)
+
+
+@query("""WITH o AS (SELECT label, vec_id, embedding AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+x AS (SELECT label, vec_id, k, n, unnest(range(1, 65)) AS d, v FROM o),
+y AS (SELECT label, vec_id, k, n, d, sum(CAST(v[d] AS DOUBLE)) OVER (PARTITION BY label, d ORDER BY k) AS before, sum(CAST(v[d] AS DOUBLE)) OVER (PARTITION BY label, d) AS total FROM x),
+s AS (SELECT label, k, n, 1 - sum(before * (total - before)) / (sqrt(sum(before * before)) * sqrt(sum((total - before) * (total - before)))) AS dist FROM y WHERE k BETWEEN 5 AND n - 5 GROUP BY label, k, n)
+SELECT label, max(n) AS n, round(max(dist), 6) AS drift_statistic FROM s GROUP BY label HAVING max(n) >= 12""")
+def change_point(spark, sf):
+    out = signals.change_points(table(spark, sf, "embeddings"), "label", ["vec_id"], "embedding")
+    return out.where("n >= 12").select("label", "n", F.round("drift_statistic", 6).alias("drift_statistic"))
+
+
+@query("""SELECT p_partkey, list_distinct(list_filter(list_reverse(list_transform(string_split_regex(r_name || ' > ' || n_name || ' > ' || p_brand, '[>›»→/|\\n]+'), lambda s: regexp_replace(regexp_replace(lower(s), '[^\\p{L}\\p{N}\\p{M}]+', '-', 'g'), '^-+|-+$', '', 'g'))), lambda s: s <> ''))[1] AS narrowest
+FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey""")
+def category_keys(spark, sf):
+    return _trails(spark, sf).select("p_partkey", F.get("keys", 0).alias("narrowest"))
+
+
+def _trails(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    j = table(spark, sf, "part").join(n, F.col("n_nationkey") == F.col("p_partkey") % 25)
+    return j.select("p_partkey", T.category_keys(F.concat_ws(" > ", "r_name", "n_name", "p_brand")).alias("keys"))
+
+
+# -- graph ---------------------------------------------------------------------------
+
+CLEAN = f"""{EDGES},
+ids AS (SELECT reviewer_hash, product_hash, count(*) AS n, count(DISTINCT (star_rating, week_bucket, coalesce(CAST(verified AS VARCHAR), '-'))) AS claims, min(received_at) AS received_at, any_value(star_rating) AS star_rating, any_value(week_bucket) AS week_bucket FROM edges_v GROUP BY ALL HAVING true),
+clean AS (SELECT * FROM ids WHERE claims = 1)"""
+CLEAN = CLEAN.replace("GROUP BY ALL HAVING true", "GROUP BY reviewer_hash, product_hash")
+
+
+@query(f"WITH {CLEAN} SELECT reviewer_hash, product_hash, star_rating, week_bucket, received_at FROM clean")
+def sanitise_edges(spark, sf):
+    kept, _ = graph.sanitise(edges(spark, sf, repeats=True))
+    return kept.select("reviewer_hash", "product_hash", "star_rating", "week_bucket", "received_at")
+
+
+@query(f"WITH {CLEAN} SELECT CAST(sum(CASE WHEN claims > 1 THEN n ELSE 0 END) AS BIGINT) AS conflicts, CAST(sum(CASE WHEN claims = 1 THEN n - 1 ELSE 0 END) AS BIGINT) AS duplicates FROM ids")
+def sanitation_counts(spark, sf):
+    _, dropped = graph.sanitise(edges(spark, sf, repeats=True))
+    return dropped.agg(F.sum("conflicts").alias("conflicts"), F.sum("duplicates").alias("duplicates"))
+
+
+@query()
+def degree_caps(spark, sf):
+    kept, _ = graph.sanitise(edges(spark, sf))
+    return graph.cap_degrees(kept, 30, 25).select("reviewer_hash", "product_hash", "received_at")
+
+
+PROJECT = f"""{CLEAN},
+deg AS (SELECT reviewer_hash, count(*) AS k FROM clean GROUP BY reviewer_hash),
+pairs AS (SELECT x.reviewer_hash AS a, y.reviewer_hash AS b, count(*) AS overlap FROM clean x JOIN clean y ON x.product_hash = y.product_hash AND x.reviewer_hash < y.reviewer_hash GROUP BY 1, 2),
+prod AS (SELECT count(DISTINCT product_hash) AS n FROM clean),
+combos AS (SELECT DISTINCT x.k AS ka, y.k AS kb, p.overlap FROM pairs p JOIN deg x ON x.reviewer_hash = p.a JOIN deg y ON y.reviewer_hash = p.b),
+tails AS (SELECT ka, kb, overlap, least(1.0, list_sum(list_transform(range(overlap, least(ka, kb) + 1), lambda i: exp(lgamma(ka + 1) - lgamma(i + 1) - lgamma(greatest(ka - i, 0) + 1) + lgamma(n - ka + 1) - lgamma(kb - i + 1) - lgamma(n - ka - kb + i + 1) - lgamma(n + 1) + lgamma(kb + 1) + lgamma(n - kb + 1))))) AS p FROM combos, prod),
+proj AS (SELECT p.a, p.b, p.overlap, t.p AS p_value, CASE WHEN t.p <= 0 THEN 300.0 ELSE least(-log10(t.p), 300.0) END AS weight FROM pairs p JOIN deg x ON x.reviewer_hash = p.a JOIN deg y ON y.reviewer_hash = p.b JOIN tails t ON t.ka = x.k AND t.kb = y.k AND t.overlap = p.overlap WHERE t.p < 0.05)"""
+
+
+def _projected(spark: SparkSession, sf: str) -> DataFrame:
+    kept, _ = graph.sanitise(edges(spark, sf, repeats=True))
+    return graph.project(kept)
+
+
+@query(f"WITH {PROJECT} SELECT a, b, overlap, round(weight, 6) AS weight FROM proj")
+def reviewer_projection(spark, sf):
+    return _rounded(_projected(spark, sf).select("a", "b", "overlap", "weight"), "weight", digits=6)
+
+
+BACKBONE = f"""{PROJECT},
+nodes AS (SELECT node, sum(weight) AS s, count(*) AS k FROM (SELECT a AS node, weight FROM proj UNION ALL SELECT b, weight FROM proj) GROUP BY node),
+bone AS (SELECT p.a, p.b, p.weight FROM proj p JOIN nodes x ON x.node = p.a JOIN nodes y ON y.node = p.b
+  WHERE least(CASE WHEN x.k <= 1 THEN 0 ELSE pow(1 - p.weight / x.s, x.k - 1) END, CASE WHEN y.k <= 1 THEN 0 ELSE pow(1 - p.weight / y.s, y.k - 1) END) < 0.05)"""
+
+
+@query(f"WITH {BACKBONE} SELECT a, b, round(weight, 6) AS weight FROM bone")
+def disparity_backbone(spark, sf):
+    return _rounded(graph.backbone(_projected(spark, sf)), "weight", digits=6)
+
+
+@query(f"WITH RECURSIVE {BACKBONE}, both_ AS (SELECT a, b FROM bone UNION SELECT b, a FROM bone), reach AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, e.b FROM reach r JOIN both_ e ON e.a = r.seen) SELECT node, min(seen) AS comp FROM reach GROUP BY node")
+def communities_cc(spark, sf):
+    return graph.connected(graph.backbone(_projected(spark, sf)).select("a", "b"))
+
+
+@query()
+def communities_modularity(spark, sf):
+    return graph.communities(graph.backbone(_projected(spark, sf)))
+
+
+@query()
+def flagged_hashes(spark, sf):
+    return graph.flagged_reviewers(edges(spark, sf))
+
+
+@query(f"WITH {EDGES}, f AS (SELECT DISTINCT reviewer_hash FROM edges_v WHERE substr(reviewer_hash, 1, 1) IN ('0', '7')), p AS (SELECT DISTINCT substr(sha256(CAST(i AS VARCHAR)), 1, 4) AS prefix FROM range(0, 32) t(i) UNION SELECT min(substr(reviewer_hash, 1, 4)) FROM f) SELECT p.prefix, count(f.reviewer_hash) AS n FROM p LEFT JOIN f ON substr(f.reviewer_hash, 1, 4) = p.prefix GROUP BY p.prefix")
+def prefix_lookup(spark, sf):
+    flags = edges(spark, sf).select("reviewer_hash").distinct().where("substring(reviewer_hash, 1, 1) IN ('0', '7')")
+    asked = spark.range(32).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 4).alias("prefix")).union(flags.agg(F.min(F.substring("reviewer_hash", 1, 4))))
+    return graph.prefix_lookup(flags, asked).select("prefix", F.size("hashes").cast("long").alias("n"))
+
+
+# -- model ---------------------------------------------------------------------------
+
+LABELLED = "lab AS (SELECT doc_id, (doc_id * 37 % 101) / 100.0 AS probability, quality AS label FROM labels)"
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").select("doc_id", (F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0).alias("probability"), F.col("quality").alias("label"))
+
+
+@query(f"""WITH {LABELLED}, c AS (SELECT count(*) FILTER (WHERE probability >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE probability >= 0.5 AND label = 0) AS fp, count(*) FILTER (WHERE probability < 0.5 AND label = 0) AS tn, count(*) FILTER (WHERE probability < 0.5 AND label = 1) AS fn FROM lab)
+SELECT *, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 12) AS f1 FROM c""")
+def confusion(spark, sf):
+    return _rounded(model.rates(model.confusion(_labelled(spark, sf), 0.5)), "f1", digits=12)
+
+
+CURVE = f"""{LABELLED}, per AS (SELECT probability AS threshold, count(*) FILTER (WHERE label = 1) AS pos, count(*) AS n FROM lab GROUP BY probability),
+curve AS (SELECT threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w - sum(pos) OVER w AS BIGINT) AS fp, sum(pos) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS precision, sum(pos) OVER w / CAST(sum(pos) OVER () AS DOUBLE) AS recall FROM per WINDOW w AS (ORDER BY threshold DESC))"""
+
+
+@query(f"WITH {CURVE} SELECT * FROM curve")
+def pr_curve(spark, sf):
+    return model.pr_curve(_labelled(spark, sf))
+
+
+@query(f"WITH {CURVE} SELECT threshold, precision, recall FROM curve WHERE recall > 0.5 ORDER BY precision DESC, recall DESC, threshold DESC LIMIT 1")
+def operating_point(spark, sf):
+    return model.operating_point(model.pr_curve(_labelled(spark, sf)))
+
+
+@query(f"WITH {LABELLED}, b AS (SELECT least(9, CAST(trunc(probability * 10) AS INTEGER)) AS bin, count(*) AS n, avg(probability) AS p, avg(label) AS s FROM lab GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(p - s)) / sum(n), 12) AS ece FROM b")
+def calibration_error(spark, sf):
+    return _rounded(model.calibration_error(_labelled(spark, sf)), "ece", digits=12)
+
+
+@query(f"WITH {FLAT}, {VECTOR} " + "SELECT 'injected_share' AS feature, list_transform(quantile_cont(injected_share, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda x: round(x, 9)) AS sketch FROM vec UNION ALL SELECT 'burst_fraction', list_transform(quantile_cont(burst_fraction, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda x: round(x, 9)) FROM vec")
+def feature_quantiles(spark, sf):
+    out = model.quantile_sketches(_vectors(spark, sf), ["injected_share", "burst_fraction"])
+    return out.select("feature", F.transform("sketch", lambda x: F.round(x, 9)).alias("sketch"))
+
+
+VOTES = """v AS (SELECT doc_id, 'long' AS lf, CASE WHEN n_chars > 1000 THEN 1 WHEN n_chars < 100 THEN 0 ELSE -1 END AS vote FROM documents
+UNION ALL SELECT doc_id, 'loud', CASE WHEN text LIKE '%!!%' THEN 0 ELSE -1 END FROM documents UNION ALL SELECT doc_id, 'odd', CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN 7 ELSE -1 END FROM documents),
+w AS (SELECT doc_id, lf, CASE WHEN vote IN (0, 1) THEN vote ELSE -1 END AS vote FROM v)"""
+
+
+def _votes(spark: SparkSession, sf: str) -> DataFrame:
+    lfs = {
+        "long": F.when(F.col("n_chars") > 1000, 1).when(F.col("n_chars") < 100, 0).otherwise(-1),
+        "loud": F.when(F.col("text").contains("!!"), 0).otherwise(-1),
+        "odd": F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 7).otherwise(-1),
+    }
+    return model.votes(table(spark, sf, "documents"), lfs, "doc_id")
+
+
+@query(f"""WITH {VOTES}, r AS (SELECT doc_id, count(*) AS given, min(vote) AS lo, max(vote) AS hi FROM w WHERE vote >= 0 GROUP BY doc_id)
+SELECT lf, count(*) FILTER (WHERE vote >= 0) / CAST(count(*) AS DOUBLE) AS coverage, count(*) FILTER (WHERE vote >= 0 AND given > 1) / CAST(count(*) AS DOUBLE) AS overlap, count(*) FILTER (WHERE vote >= 0 AND lo < hi) / CAST(count(*) AS DOUBLE) AS conflict,
+CASE WHEN count(*) FILTER (WHERE vote >= 0 AND quality IS NOT NULL) > 0 THEN count(*) FILTER (WHERE vote >= 0 AND vote = quality) / CAST(count(*) FILTER (WHERE vote >= 0 AND quality IS NOT NULL) AS DOUBLE) END AS accuracy
+FROM w LEFT JOIN r USING (doc_id) LEFT JOIN labels l USING (doc_id) GROUP BY lf""")
+def lf_stats(spark, sf):
+    return model.vote_statistics(_votes(spark, sf), table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+@query(f"WITH {VOTES} SELECT doc_id, CASE WHEN sum(CASE WHEN vote = 1 THEN 1 ELSE 0 END) > sum(CASE WHEN vote = 0 THEN 1 ELSE 0 END) THEN 1 WHEN sum(CASE WHEN vote = 1 THEN 1 ELSE 0 END) < sum(CASE WHEN vote = 0 THEN 1 ELSE 0 END) THEN 0 ELSE -1 END AS vote FROM w GROUP BY doc_id")
+def majority_vote(spark, sf):
+    return model.majority(_votes(spark, sf), "doc_id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('3:' || doc_id)) <= floor(count(*) OVER () * 0.2 + 0.5) AS is_test FROM labels")
+def train_test_split(spark, sf):
+    return model.split(table(spark, sf, "labels").select("doc_id"), 0.2, 3, "doc_id")
+
+
+@query()
+def isotonic_fit(spark, sf):
+    points = model.isotonic_table(_labelled(spark, sf), "probability")
+    return spark.createDataFrame(points, "x double, y double")
+
+
+@query()
+def acceptance(spark, sf):
+    return model.acceptance(_labelled(spark, sf))
+
+
+@query()
+def trained_model(spark, sf):
+    v = _vectors(spark, sf).withColumn("label", (F.pmod("listing_id", F.lit(3)) == 0).cast("int")).withColumnRenamed("listing_id", "example_id")
+    fitted, held_out = model.train(v, ["injected_share", "burst_fraction", "flagged_review_share"], 5)
+    return held_out.select("example_id", "label", "status", "probability")
+
+
+PRIORS = f"""{HIST}, trails AS (SELECT listing_id, unnest([lower(n_name), lower(r_name)]) AS key FROM hist JOIN nation ON n_nationkey = listing_id % 25 JOIN region ON r_regionkey = n_regionkey)"""
+
+
+@query(f"WITH {PRIORS}, a AS (SELECT t.key, h.* FROM hist h JOIN trails t USING (listing_id) UNION ALL SELECT NULL, h.* FROM hist h) SELECT key, count(*) AS listings, CAST(sum(n_ratings) AS BIGINT) AS reviews, {', '.join(f'round(avg(h{k}), 9) AS h{k}' for k in range(1, 6))}, count(*) < 5 OR sum(n_ratings) < 500 AS thin FROM a GROUP BY key")
+def priors_fit(spark, sf):
+    h = signals.rating_histogram(reviews(spark, sf).drop("text"))
+    geo = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    keys = h.join(geo, F.col("n_nationkey") == F.col("listing_id") % 25).select("listing_id", F.array(F.lower("n_name"), F.lower("r_name")).alias("keys"))
+    return _rounded(model.fit_priors(h, keys), *[f"h{k}" for k in range(1, 6)])
+
+
+@query("""WITH RECURSIVE k AS (SELECT p_partkey, [lower(p_brand), lower(n_name), lower(r_name)] AS keys FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey),
+f AS (SELECT p_partkey, i AS pos, CASE WHEN keys[i] LIKE '%1' THEN 'europe' ELSE keys[i] END AS key FROM k, range(1, 4) t(i))
+SELECT k.p_partkey AS listing_id, min_by(f.key, f.pos) AS priors_key FROM k LEFT JOIN f ON f.p_partkey = k.p_partkey AND f.key IN ('europe', 'asia', 'france') GROUP BY 1""")
+def priors_lookup(spark, sf):
+    geo = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    part = table(spark, sf, "part").join(geo, F.col("n_nationkey") == F.col("p_partkey") % 25)
+    trails = part.select(F.col("p_partkey").alias("listing_id"), F.array(F.lower("p_brand"), F.lower("n_name"), F.lower("r_name")).alias("keys"))
+    aliases = part.select(F.lower("p_brand").alias("alias")).distinct().where("alias LIKE '%1'").select("alias", F.lit("europe").alias("target"))
+    priors = spark.createDataFrame([("europe",), ("asia",), ("france",)], "key string")
+    return model.resolve_priors(trails, priors, aliases)
