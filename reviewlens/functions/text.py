@@ -24,7 +24,11 @@ def fold_space(text: Column) -> Column:
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct character k-grams of the folded text; the text itself if it has at most k characters."""
     t = fold_space(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i: F.substring(t, i, k))
+    # neighbours come from shifted copies of the character array: a substring by place would walk the text each time
+    c = F.split(t, "")
+    shifted = [F.slice(c, i + 1, F.greatest(F.length(t), F.lit(1))).alias(f"c{i}") for i in range(k)]
+    whole = F.filter(F.arrays_zip(*shifted), lambda x: x[f"c{k - 1}"].isNotNull())
+    grams = F.transform(whole, lambda x: F.concat(*[x[f"c{i}"] for i in range(k)]))
     return F.when(text.isNotNull(), F.when(F.length(t) <= k, F.array(t)).otherwise(F.array_distinct(grams)))
 
 
@@ -145,10 +149,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.transform(F.map_entries(a), lambda e: e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))), F.lit(0), lambda s, x: s + x)
 
 
-def dense(counts: Column, dims: int = DIMENSIONS) -> Column:
-    """Unit vector of a map bucket -> count; null if it is zero."""
-    norm = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0), lambda s, x: s + x * x).cast("double"))
-    return F.when(norm > 0, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0)) / norm))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def embedding(terms_: pd.Series) -> pd.Series:
+    """Unit vector of the signed hashed terms; null if it is zero."""
+    out = []
+    for row in terms_:
+        vector = np.zeros(DIMENSIONS)
+        if row is not None and len(row):
+            h = fnv1a64_many([t.encode() for t in row])
+            np.add.at(vector, (h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0))
+        norm = np.sqrt(vector @ vector)
+        out.append(list(vector / norm) if norm else None)
+    return pd.Series(out)
 
 
 def fnv1a32(text: Column) -> Column:

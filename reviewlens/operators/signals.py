@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -282,21 +280,10 @@ def feature_vectors(reviews: DataFrame, products: DataFrame, flagged: DataFrame
         out = out.join(near_duplicate_features(reviews), "listing_id", "left")
         out = out.join(off_topic(reviews, products).drop("n_embedded"), "listing_id", "left")
         dated = reviews.where(on_timeline() & F.col("text").isNotNull()).select("listing_id", day().alias("day"), "review_id", "text")
-        once = dated.select("text").distinct().withColumn("v", T.dense(T.hashed_terms(T.terms(F.col("text"))))).where("v IS NOT NULL")
+        once = dated.select("text").distinct().withColumn("v", T.embedding(T.terms(F.col("text")))).where("v IS NOT NULL")
         drift = change_points(dated.join(once, "text").select("listing_id", "day", "review_id", "v"), "listing_id", ["day", "review_id"], "v")
         out = out.join(drift.select("listing_id", "drift_statistic"), "listing_id", "left").withColumn("drift_statistic", F.coalesce("drift_statistic", F.lit(0.0)))
     if flagged is not None:
         out = out.join(reviewer_share(reviews, flagged).select("listing_id", "flagged_review_share"), "listing_id", "left")
     missing = [c for c in FEATURES.values() if c not in out.columns]
     return out.select("listing_id", "n_reviews", "meets_minimum", *[F.lit(None).cast("double").alias(c) if c in missing else F.col(c).cast("double").alias(c) for c in FEATURES.values()])
-
-
-def embeddings_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hook for an embedding backend used with ``mapInPandas``: (key, text) -> (key, vector)."""
-    for rows in batches:
-        counts = [T.fnv1a64_many([w.encode() for w in (t or "").lower().split()]) for t in rows["text"]]
-        out = np.zeros((len(rows), T.DIMENSIONS))
-        for i, h in enumerate(counts):
-            np.add.at(out[i], (h % np.uint64(T.DIMENSIONS)).astype(int), np.where(h >> np.uint64(63) == 1, -1.0, 1.0))
-        norm = np.linalg.norm(out, axis=1)
-        yield pd.DataFrame({"key": rows["key"], "vector": [list(v / m) if m else None for v, m in zip(out, norm, strict=True)]})

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.functions import stats
+from reviewlens.functions import stats, urls
 from reviewlens.functions import text as T
-from reviewlens.operators import graph, model, report, signals
+from reviewlens.operators import canary, graph, history, model, report, signals
 from reviewlens.plans.adapters import EDGES, REVIEWS, edges, reviews, table
+from reviewlens.sources import html, jsonpath
+from reviewlens.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -294,7 +296,7 @@ def change_point(spark, sf):
     return out.where("n >= 12").select("label", "n", F.round("drift_statistic", 6).alias("drift_statistic"))
 
 
-@query("""SELECT p_partkey, list_distinct(list_filter(list_reverse(list_transform(string_split_regex(r_name || ' > ' || n_name || ' > ' || p_brand, '[>›»→/|\\n]+'), lambda s: regexp_replace(regexp_replace(lower(s), '[^\\p{L}\\p{N}\\p{M}]+', '-', 'g'), '^-+|-+$', '', 'g'))), lambda s: s <> ''))[1] AS narrowest
+@query("""SELECT p_partkey, (list_filter(list_reverse(list_transform(string_split_regex(r_name || ' > ' || n_name || ' > ' || p_brand, '[>›»→/|\\n]+'), lambda s: regexp_replace(regexp_replace(lower(s), '[^\\p{L}\\p{N}\\p{M}]+', '-', 'g'), '^-+|-+$', '', 'g'))), lambda s: s <> ''))[1] AS narrowest
 FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey""")
 def category_keys(spark, sf):
     return _trails(spark, sf).select("p_partkey", F.get("keys", 0).alias("narrowest"))
@@ -495,3 +497,146 @@ def priors_lookup(spark, sf):
     aliases = part.select(F.lower("p_brand").alias("alias")).distinct().where("alias LIKE '%1'").select("alias", F.lit("europe").alias("target"))
     priors = spark.createDataFrame([("europe",), ("asia",), ("france",)], "key string")
     return model.resolve_priors(trails, priors, aliases)
+
+
+# -- stores, health and pages --------------------------------------------------------
+
+ENTRIES = """entries AS (SELECT o_orderkey AS id, o_orderdate AS ts_, 'title ' || (o_custkey % 40) AS title, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 'p' || (o_custkey % 60) END AS product_key,
+  ['clean', 'mostly-clean', 'mixed', 'doubtful', 'heavily-manipulated'][1 + o_orderkey % 5] AS band, (o_orderkey % 41) / 10.0 + 1 AS claimed, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 31) / 10.0 + 1 END AS adjusted FROM orders)"""
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    bands = F.array(*[F.lit(b) for b in stats.BANDS])
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderdate").alias("at"),
+        F.concat(F.lit("title "), (F.col("o_custkey") % 40).cast("string")).alias("title"),
+        F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("p"), (F.col("o_custkey") % 60).cast("string"))).alias("product_key"),
+        F.get(bands, (F.col("o_orderkey") % 5).cast("int")).alias("band"),
+        ((F.col("o_orderkey") % 41) / 10.0 + 1).alias("claimed"),
+        F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 31) / 10.0 + 1).alias("adjusted"),
+    )
+
+
+GROUPED = f"""{ENTRIES}, g AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY coalesce('p' || product_key, 'i' || id)) AS n FROM entries WINDOW w AS (PARTITION BY coalesce('p' || product_key, 'i' || id) ORDER BY ts_ DESC, id DESC)), grouped AS (SELECT * EXCLUDE (r) FROM g WHERE r = 1)"""
+
+
+@query(f"WITH {GROUPED} SELECT id, title, n FROM grouped")
+def history_groups(spark, sf):
+    return history.grouped(_entries(spark, sf)).select("id", "title", "n")
+
+
+@query(f"WITH {GROUPED} SELECT CAST(sum(n) AS BIGINT) AS checks, count(*) AS listings, round(avg(abs(claimed - adjusted)), 9) AS mean_gap, count(*) FILTER (WHERE band IN ('doubtful', 'heavily-manipulated')) / CAST(count(*) AS DOUBLE) AS doubtful_share FROM grouped")
+def history_figures(spark, sf):
+    return _rounded(history.figures(_entries(spark, sf)), "mean_gap")
+
+
+@query(f"WITH {ENTRIES} SELECT id FROM entries ORDER BY ts_ DESC, id DESC LIMIT 500")
+def history_newest(spark, sf):
+    return history.newest(_entries(spark, sf)).select("id")
+
+
+@query(f"WITH {ENTRIES} SELECT id FROM entries WHERE lower(title) LIKE '%e 1%' AND band = 'mixed'")
+def history_search(spark, sf):
+    return history.search(_entries(spark, sf), "E 1", "mixed").select("id")
+
+
+@query(f"WITH {ENTRIES} SELECT id, strftime(ts_, '%Y-%m-%d %H:%M:%S') || ',' || CASE WHEN title LIKE '=%' THEN '''' || title ELSE title END || ',' || band AS line FROM entries")
+def history_csv(spark, sf):
+    return history.csv_lines(_entries(spark, sf)).select("id", F.array_join(F.slice(F.split("line", ","), 1, 3), ",").alias("line"))
+
+
+@query(f"""WITH {REVIEWS}, k AS (SELECT *, sha256(CASE WHEN reviewer_id IS NOT NULL AND review_date IS NOT NULL THEN 'id|' || reviewer_id || '|' || review_date ELSE 'body|' || coalesce(CAST(CAST(rating AS DECIMAL(2, 1)) AS VARCHAR), 'null') || '|' || coalesce(text, 'null') END) AS key FROM reviews_v),
+e AS (SELECT * FROM k WHERE review_id % 3 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY listing_id, key ORDER BY review_id) AS n FROM k WHERE review_id % 3 <> 0)
+SELECT review_id, listing_id FROM e UNION ALL SELECT review_id, listing_id FROM f WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.listing_id = f.listing_id AND e.key = f.key)""")
+def merged_reviews(spark, sf):
+    r = reviews(spark, sf)
+    return history.merge_reviews(r.where("review_id % 3 = 0"), r.where("review_id % 3 <> 0")).select("review_id", "listing_id")
+
+
+@query(f"""WITH {ENTRIES}, o AS (SELECT product_key, first(band ORDER BY ts_, id) AS b_band, last(band ORDER BY ts_, id) AS l_band, first(claimed ORDER BY ts_, id) AS b_rating, last(claimed ORDER BY ts_, id) AS l_rating FROM entries WHERE product_key IS NOT NULL GROUP BY product_key)
+SELECT product_key, CAST(CASE WHEN b_band <> l_band THEN 1 ELSE 0 END + CASE WHEN abs(l_rating - b_rating) >= 0.2 - 1e-9 THEN 1 ELSE 0 END AS INTEGER) AS n_changes FROM o""")
+def watch_changes(spark, sf):
+    readings = _entries(spark, sf).where("product_key IS NOT NULL").select("product_key", "at", "id", "band", F.col("claimed").alias("rating"), *[F.lit(None).cast("double").alias(c) for c in ("reviews", "burst", "drift")])
+    return history.watch_changes(history.watch_state(readings)).select("product_key", F.size("changes").alias("n_changes"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS listing_id, l_linenumber AS page, l_partkey % 7 AS key FROM lineitem),
+f AS (SELECT listing_id, key, min(page) AS page FROM p GROUP BY listing_id, key), s AS (SELECT DISTINCT listing_id, page FROM p),
+t AS (SELECT s.listing_id, min(s.page) AS stop FROM s LEFT JOIN f ON f.listing_id = s.listing_id AND f.page = s.page WHERE f.key IS NULL GROUP BY s.listing_id)
+SELECT f.listing_id, f.page, f.key FROM f LEFT JOIN t ON t.listing_id = f.listing_id WHERE t.stop IS NULL OR f.page < t.stop""")
+def pages_read(spark, sf):
+    pages = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.col("l_linenumber").alias("page"), (F.col("l_partkey") % 7).alias("key"))
+    return history.pages_read(pages)
+
+
+CHECKS = """checks AS (SELECT event_id AS check_id, 'site' || (user_id % 3) AS site, 'loc' || (user_id % 4) AS locale, ts AS checked_at, CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 25 END AS review_count FROM events),
+judged AS (SELECT *, CASE WHEN review_count = 0 THEN 'failed' WHEN review_count < 10 THEN 'degraded' ELSE 'healthy' END AS status FROM checks)"""
+
+
+def _checks(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    rows = e.select(
+        F.col("event_id").alias("check_id"),
+        F.concat(F.lit("site"), (F.col("user_id") % 3).cast("string")).alias("site"),
+        F.concat(F.lit("loc"), (F.col("user_id") % 4).cast("string")).alias("locale"),
+        F.col("ts").alias("checked_at"),
+        F.when(F.col("event_type") == "error", 0).otherwise(F.col("event_id") % 25).alias("review_count"),
+    )
+    return rows.withColumn("status", canary.classify(F.col("review_count"), F.lit(10), F.lit(None)))
+
+
+@query(f"WITH {CHECKS} SELECT site, locale, count(*) AS checks, max(checked_at) AS checked_at, arg_max(status, (checked_at, check_id)) AS status, CAST(arg_max(review_count, (checked_at, check_id)) AS BIGINT) AS review_count, median(review_count) AS median_count FROM judged GROUP BY site, locale")
+def canary_summary(spark, sf):
+    return canary.summarise(_checks(spark, sf))
+
+
+@query(f"WITH {CHECKS} SELECT site, locale, check_id FROM judged QUALIFY row_number() OVER (PARTITION BY site, locale ORDER BY checked_at DESC, check_id DESC) <= 30")
+def canary_retention(spark, sf):
+    return canary.retain(_checks(spark, sf)).select("site", "locale", "check_id")
+
+
+@query(f"""WITH {CHECKS}, a AS (SELECT site, locale, arg_max(status, (checked_at, check_id)) AS was FROM judged WHERE check_id % 2 = 0 GROUP BY ALL), b AS (SELECT site, locale, arg_max(status, (checked_at, check_id)) AS now FROM judged GROUP BY ALL)
+SELECT b.site, b.locale, was, now, CASE WHEN coalesce(was, 'healthy') = 'healthy' THEN 'broke' WHEN now = 'healthy' THEN 'recovered' ELSE 'changed' END AS direction FROM b LEFT JOIN a ON a.site = b.site AND a.locale = b.locale WHERE coalesce(was, 'healthy') <> now""")
+def canary_changes(spark, sf):
+    c = _checks(spark, sf)
+    return canary.state_changes(canary.summarise(c.where("check_id % 2 = 0")), canary.summarise(c))
+
+
+@query()
+def page_fields(spark, sf):
+    return html.extract(table(spark, sf, "pages"))
+
+
+@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages")
+def page_hosts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) / 7.0) AS INTEGER) AS week FROM lineitem")
+def week_buckets(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", urls.week_bucket(F.to_date("l_shipdate")).alias("week"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_paths(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get(jsonpath.json_path(F.col("props"), "$.k"), 0).alias("k"))
+
+
+@query()
+def rate_limited(spark, sf):
+    e = table(spark, sf, "events").select(F.concat(F.lit("o"), (F.col("user_id") % 5).cast("string")).alias("origin"), F.unix_micros("ts").cast("double").alias("at"))
+    return ingest.limit_rate(e.withColumn("at", F.col("at") / 1e6), 3, 3600.0)
+
+
+@query()
+def token_bucket(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("service"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return ingest.token_bucket(e, 0.0005, 5.0)
+
+
+@query()
+def queue_batches(spark, sf):
+    q = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("queue"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.length("l_returnflag") * 1000 + F.col("l_partkey") % 997).cast("int").alias("size"))
+    return history.batches(q, "queue", "id", "size", 50, 40_000)
