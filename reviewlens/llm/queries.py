@@ -78,13 +78,39 @@ gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, unnest(range(0, 3))
 marked AS (SELECT l.doc_id, i AS pos, l.l[i] AS line, g.pos IS NOT NULL AS out FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines) l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.i)
 """
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 SQL = {
+    "op6_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+rows_ AS (SELECT doc_id, unnest(s) AS sh FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM rows_ a JOIN rows_ b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)),
+both_ AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x AS doc_id, x AS seen FROM both_ UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ b ON b.x = r.seen),
+comp AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(c.component_id, s.doc_id) = s.doc_id AS kept FROM sets s LEFT JOIN comp c USING (doc_id)""",
+    "op7_quality": f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS w FROM d),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest(range(0, 5)) t(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, i, l[i] AS line, regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS lw FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM d))),
+worded AS (SELECT *, array_to_string(lw, ' ') AS norm FROM lines WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
+around AS (SELECT doc_id, source, i, norm, len(lw) AS n, coalesce(lag(norm) OVER p, chr(10)) AS before, coalesce(lead(norm) OVER p, chr(10)) AS after, row_number() OVER (PARTITION BY doc_id, norm ORDER BY i) AS k FROM worded WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+boiler AS (SELECT source, norm FROM around WHERE k = 1 GROUP BY source, norm HAVING count(*) > {quality.MAX_DOCS} AND 2 * count(DISTINCT before || chr(10) || chr(10) || after) >= count(*)),
+lost AS (SELECT a.doc_id, CAST(sum(a.n) AS BIGINT) AS n FROM around a JOIN boiler b ON b.norm = a.norm AND b.source IS NOT DISTINCT FROM a.source GROUP BY a.doc_id),
+m AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_boiler_words
+  FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_boiler_words > 0 AND 100 * (n_words - n_boiler_words) < {quality.MIN_LEFT_PERCENT} * n_words) AS kept FROM m""",
     "op1_line_dedup": f"""WITH {_LINES}
 SELECT d.doc_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m.r, 0) AS BIGINT) AS n_removed, sha256(coalesce(m.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE out) AS r, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT out) AS t FROM marked GROUP BY doc_id) m USING (doc_id)""",
     "op5_ann": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
-d AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.e, b.e) AS score FROM v q JOIN v b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id AND len(b.e) = len(q.e)),
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, b.vec_id, sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - b.e[i]) * (q.e[i] - b.e[i])))) AS score FROM v q JOIN v b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id AND len(b.e) = len(q.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM d)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10""",
 }
