@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions import stats
+from reviewlens.session import ensure_checkpoints
 
 # Degree caps and significance levels.
 MAX_PRODUCTS, MAX_REVIEWERS = 500, 5000
@@ -49,6 +50,7 @@ def cap_degrees(edges: DataFrame, max_products: int = MAX_PRODUCTS, max_reviewer
     free = marked.where("r_over IS NULL AND p_over IS NULL").select(*edges.columns)
     tight = marked.where("r_over IS NOT NULL OR p_over IS NOT NULL")
     group = _groups_of_capped(tight)
+    columns = edges.columns
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["received_at", "reviewer_hash", "product_hash"], kind="stable")
@@ -60,7 +62,7 @@ def cap_degrees(edges: DataFrame, max_products: int = MAX_PRODUCTS, max_reviewer
                 r_count[r] = r_count.get(r, 0) + 1
                 p_count[p] = p_count.get(p, 0) + 1
                 keep[i] = True
-        return rows[keep][list(edges.columns)]
+        return rows[keep][columns]
 
     return free.unionByName(group.groupBy("grp").applyInPandas(scan, edges.schema))
 
@@ -68,6 +70,7 @@ def cap_degrees(edges: DataFrame, max_products: int = MAX_PRODUCTS, max_reviewer
 def _groups_of_capped(tight: DataFrame) -> DataFrame:
     """``tight`` with grp: capped nodes that share an edge are in one group (labels fall to the smallest until nothing changes)."""
     # only edges with both ends over a cap tie groups together
+    ensure_checkpoints(tight.sparkSession)
     ties = tight.where("r_over AND p_over").select("reviewer_hash", "product_hash").distinct()
     labels = tight.where("r_over").select(F.col("reviewer_hash").alias("node")).union(tight.where("p_over").select("product_hash")).distinct().withColumn("grp", F.col("node"))
     pairs = ties.select(F.col("reviewer_hash").alias("a"), F.col("product_hash").alias("b"))
@@ -113,6 +116,7 @@ def backbone(projected: DataFrame, level: float = LEVEL) -> DataFrame:
 
 def connected(pairs: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each can reach (labels fall along edges and are shortened every round)."""
+    ensure_checkpoints(pairs.sparkSession)
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp")).checkpoint()
     while True:
@@ -248,6 +252,7 @@ def score_communities(parts: DataFrame, links: DataFrame, edges: DataFrame) -> D
 
 def flagged_reviewers(edges: DataFrame, max_products: int = MAX_PRODUCTS, max_reviewers: int = MAX_REVIEWERS) -> DataFrame:
     """reviewer_hash of all members of flagged communities, from raw edges."""
+    ensure_checkpoints(edges.sparkSession)
     clean, _ = sanitise(edges)
     clean = cap_degrees(clean, max_products, max_reviewers)
     links = backbone(project(clean)).checkpoint()

@@ -169,7 +169,7 @@ def near_duplicate_features(reviews: DataFrame, group: str = "listing_id", text:
     """group, duplicate_review_share, cluster_count, largest_cluster_share (clusters of two texts or more; null without texts)."""
     texts = distinct_texts(reviews, group, text)
     signed = signatures(texts)
-    links = near_duplicate_links(signed).select("grp", "a", "b")
+    links = near_duplicate_links(signed).select(F.col("grp").alias("of"), "a", "b")
 
     def components(rows: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(set(rows["node"]))
@@ -188,12 +188,12 @@ def near_duplicate_features(reviews: DataFrame, group: str = "listing_id", text:
         for n, c in zip(rows["node"], rows["copies"], strict=True):
             per[root(n)] = per.get(root(n), 0) + int(c)
         total, big = sum(per.values()), [c for c in per.values() if c >= 2]
-        grp = rows["grp"].iloc[0] if len(rows) else linked["grp"].iloc[0]
+        grp = rows["grp"].iloc[0]  # every link is between texts of its group
         return pd.DataFrame({"grp": [grp], "duplicate_review_share": [sum(big) / total if total > 1 else 0.0], "cluster_count": [len(big) if total > 1 else 0], "largest_cluster_share": [max(big, default=0) / total if total > 1 else 0.0]})
 
     kind = reviews.schema[group].dataType.simpleString()
     slim = signed.select("grp", "node", "copies")
-    per = slim.groupBy("grp").cogroup(links.groupBy("grp")).applyInPandas(components, f"grp {kind}, duplicate_review_share double, cluster_count long, largest_cluster_share double")
+    per = slim.groupBy("grp").cogroup(links.groupBy("of")).applyInPandas(components, f"grp {kind}, duplicate_review_share double, cluster_count long, largest_cluster_share double")
     every = reviews.select(F.col(group).alias("grp")).distinct()
     return every.join(per, "grp", "left").withColumnRenamed("grp", group)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +18,11 @@ def build_session(name: str = "reviewlens", master: str | None = None, extra: di
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """A checkpoint folder: the one that the cluster names in spark.checkpoint.dir, a new one only where none is named."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
