@@ -488,7 +488,7 @@ def priors_fit(spark, sf):
 
 
 @query("""WITH RECURSIVE k AS (SELECT p_partkey, [lower(p_brand), lower(n_name), lower(r_name)] AS keys FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey),
-f AS (SELECT p_partkey, i AS pos, CASE WHEN keys[i] LIKE '%1' THEN 'europe' ELSE keys[i] END AS key FROM k, range(1, 4) t(i))
+f AS (SELECT p_partkey, i AS pos, CASE WHEN i = 1 AND keys[i] LIKE '%1' THEN 'europe' ELSE keys[i] END AS key FROM k, range(1, 4) t(i))
 SELECT k.p_partkey AS listing_id, min_by(f.key, f.pos) AS priors_key FROM k LEFT JOIN f ON f.p_partkey = k.p_partkey AND f.key IN ('europe', 'asia', 'france') GROUP BY 1""")
 def priors_lookup(spark, sf):
     geo = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
@@ -626,13 +626,13 @@ def json_paths(spark, sf):
 
 @query()
 def rate_limited(spark, sf):
-    e = table(spark, sf, "events").select(F.concat(F.lit("o"), (F.col("user_id") % 5).cast("string")).alias("origin"), F.unix_micros("ts").cast("double").alias("at"))
+    e = table(spark, sf, "events").select(F.concat(F.lit("o"), (F.col("user_id") % 5).cast("string")).alias("origin"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     return ingest.limit_rate(e.withColumn("at", F.col("at") / 1e6), 3, 3600.0)
 
 
 @query()
 def token_bucket(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_type").alias("service"), (F.unix_micros("ts") / 1e6).alias("at"))
+    e = table(spark, sf, "events").select(F.col("event_type").alias("service"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return ingest.token_bucket(e, 0.0005, 5.0)
 
 
