@@ -19,6 +19,8 @@ def test_stages_match_brute_force(spark, tmp_path):
             words = body.split(" ")
             words[10] = "edited"
             texts.append(" ".join(words))
+        if i % 3 == 1:
+            texts.append(body.replace("\n", " "))  # other lines, the same words
         if i % 4 == 0:
             texts.append(body + "\n" + block)
         if i % 5 == 0:
