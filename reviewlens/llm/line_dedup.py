@@ -66,7 +66,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     spark_type = docs.schema[text].dataType
     starts = repeated_starts(docs, text, key).select(F.col("__ld_k").alias("__ld_rk"), F.col("__ld_a").alias("__ld_ra"), F.col("__ld_b").alias("__ld_rb"), F.col("starts").alias("__ld_starts"))
     left = identity(docs, text, key, "__ld_")
-    joined = left.join(starts, F.col("__ld_k").eqNullSafe(F.col("__ld_rk")) & (F.col("__ld_a") == F.col("__ld_ra")) & (F.col("__ld_b") == F.col("__ld_rb")), "left")
+    # a merge join at every size: the starts grow with the corpus, and small inputs shall behave like large ones
+    joined = left.join(starts.hint("merge"), F.col("__ld_k").eqNullSafe(F.col("__ld_rk")) & (F.col("__ld_a") == F.col("__ld_ra")) & (F.col("__ld_b") == F.col("__ld_rb")), "left")
     columns = [c for c in docs.columns]
     joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__ld_starts")
 
