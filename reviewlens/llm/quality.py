@@ -196,13 +196,13 @@ def filter_quality(docs: DataFrame, text: str = "text", key: str = "doc_id", hos
     rows, boiler = judged(docs, text, key, host, max_docs)
     bad = rows.where("kept").select("__q_k", "__q_a", "__q_b", "__q_h", F.explode("lines").alias("l")).select("__q_k", "__q_a", "__q_b", "__q_h", "l.line")
     bad = bad.join(boiler.select("__q_h", "line"), ["__q_h", "line"]).groupBy("__q_k", "__q_a", "__q_b", "__q_h").agg(F.collect_set("line").alias("gone"))
-    verdict = rows.where("NOT kept").select("__q_k", "__q_a", "__q_b", "__q_h", F.lit(None).cast("array<bigint>").alias("gone"), F.lit(True).alias("out")).distinct()
-    verdict = written(verdict.unionByName(bad.withColumn("out", F.lit(False))), "quality-verdicts")
-    verdict = verdict.select(*[F.col(c).alias(f"{c}v") for c in ("__q_k", "__q_a", "__q_b", "__q_h")], F.col("gone").alias("__q_gone"), F.col("out").alias("__q_out"))
+    ruling = rows.where("NOT kept").select("__q_k", "__q_a", "__q_b", "__q_h", F.lit(None).cast("array<bigint>").alias("gone"), F.lit(True).alias("out")).distinct()
+    ruling = written(ruling.unionByName(bad.withColumn("out", F.lit(False))), "quality-rulings")
+    ruling = ruling.select(*[F.col(c).alias(f"{c}v") for c in ("__q_k", "__q_a", "__q_b", "__q_h")], F.col("gone").alias("__q_gone"), F.col("out").alias("__q_out"))
     left = identity(docs, text, key, "__q_").withColumn("__q_h", F.xxhash64(F.col(host).isNull(), host))
     same = F.col("__q_k").eqNullSafe(F.col("__q_kv")) & (F.col("__q_a") == F.col("__q_av")) & (F.col("__q_b") == F.col("__q_bv")) & (F.col("__q_h") == F.col("__q_hv"))
     columns = docs.columns
-    joined = left.join(verdict, same, "left").where("NOT coalesce(__q_out, false)").select(*[F.col(f"`{c}`") for c in columns], "__q_gone")
+    joined = left.join(ruling, same, "left").where("NOT coalesce(__q_out, false)").select(*[F.col(f"`{c}`") for c in columns], "__q_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):

@@ -49,7 +49,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures and verdict of every document."""
+    """Measures and ruling of every document."""
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
