@@ -5,15 +5,12 @@ n_dup_lines, n_repeat_words; base_failed where there are under ``MIN_WORDS`` wor
 or over a fifth of them lie in repeated five-word windows.
 
 Line frequency: each line is normalised (A-Z lower, white space to single blanks)
-and hashed; for each host (``source``) the documents that have the line are
-counted.  A line in more than ``MAX_DOCS`` documents of the host is boilerplate and
-is removed, if at least half of those documents have it between different
-neighbouring lines: a line that always stands between the same lines belongs to a
-copied document or passage, which the dedup stages treat.  A document whose rest
-is under a fifth of its words is depleted and is rejected.
-
-A null text has no words (and fails), a null host is a host of its own, every row
-counts as a document, an empty table gives no rows, other columns pass through
+and hashed; for each host (``source``) the distinct texts that have the line are
+counted, so exact copies of a document count once.  A line in more than
+``MAX_DOCS`` of them is boilerplate and is removed, whatever stands around it.  A
+document whose rest is under a fifth of its words is depleted and is rejected.
+
+A null text has no words (and fails), a null host is a host of its own, an empty table gives no rows, other columns pass through
 ``filter_quality``; helper columns are named with a leading ``__q_``.
 """
 
@@ -114,11 +111,11 @@ _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
     """__q_k, __q_a, __q_b (the document), __q_h (host), the measures, base_failed and its lines.
 
-    lines: array of (at, line, ctx, words) for the first place of each normalised line.
+    lines: array of (at, line, words) for the first place of each normalised line.
     """
     source = identity(docs, text, key, "__q_").select("__q_k", "__q_a", "__q_b", F.xxhash64(F.col(host).isNull(), host).alias("__q_h"), F.col(text).alias("__q_text"))
     keep = ["__q_k", "__q_a", "__q_b", "__q_h"]
-    kind = pa.struct([("at", pa.int32()), ("line", pa.int64()), ("ctx", pa.int64()), ("words", pa.int32())])
+    kind = pa.struct([("at", pa.int32()), ("line", pa.int64()), ("words", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "__q_text"):
@@ -141,14 +138,6 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
             lower = Words(flat, offsets, lower=True)
             hashed = line_hashes(lines, lower)
             docs_at, value = lines.docs[worded], hashed[worded]
-            with np.errstate(over="ignore"):
-                before = np.concatenate(([np.uint64(0)], value[:-1])) if len(value) else value
-                after = np.concatenate((value[1:], [np.uint64(0)])) if len(value) else value
-                if len(value):
-                    edge = docs_at[1:] != docs_at[:-1]
-                    before[1:][edge] = 0
-                    after[:-1][edge] = 0
-                ctx = mix64(mix64(before + np.uint64(5)) ^ after)
             order = np.lexsort((worded, value, docs_at))
             fresh = np.ones(len(order), np.bool_)
             fresh[1:] = (value[order][1:] != value[order][:-1]) | (docs_at[order][1:] != docs_at[order][:-1])
@@ -158,7 +147,7 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
             first = order[fresh]
             bounds = np.searchsorted(docs_at[first], np.arange(len(n_words) + 1))
             items = pa.StructArray.from_arrays(
-                [pa.array(lines.place[worded][first], pa.int32()), pa.array(value[first].view(np.int64)), pa.array(ctx[first].view(np.int64)), pa.array(total, pa.int32())], fields=list(kind)
+                [pa.array(lines.place[worded][first], pa.int32()), pa.array(value[first].view(np.int64)), pa.array(total, pa.int32())], fields=list(kind)
             )
             failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
             values = (n_words, chars, symbols, dup_lines, repeats)
@@ -169,16 +158,16 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
 
     key_type = source.schema["__q_k"].dataType.simpleString()
     fields = ", ".join(f"{c} long" for c in _MEASURES)
-    return source.mapInArrow(run, f"__q_k {key_type}, __q_a long, __q_b long, __q_h long, {fields}, base_failed boolean, lines array<struct<at: int, line: long, ctx: long, words: int>>")
+    return source.mapInArrow(run, f"__q_k {key_type}, __q_a long, __q_b long, __q_h long, {fields}, base_failed boolean, lines array<struct<at: int, line: long, words: int>>")
 
 
 def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
     """A row for each row of ``docs``: document, measures, base_failed, n_boiler_words, kept; and the boilerplate (__q_h, line)."""
     measured = written(measures(docs, text, key, host).withColumn("__q_row", F.monotonically_increasing_id()), "measures")
-    lines = measured.select("__q_row", "__q_h", F.explode("lines").alias("l")).select("__q_row", "__q_h", "l.line", "l.ctx", "l.words")
-    contexts = lines.groupBy("__q_h", "line", "ctx").count()
-    found = contexts.groupBy("__q_h", "line").agg(F.sum("count").alias("n_docs"), F.count("*").alias("n_contexts"))
-    boiler = written(found.where((F.col("n_docs") > max_docs) & (2 * F.col("n_contexts") >= F.col("n_docs"))), "boilerplate")
+    lines = measured.select("__q_row", "__q_a", "__q_b", "__q_h", F.explode("lines").alias("l")).select("__q_row", "__q_a", "__q_b", "__q_h", "l.line", "l.words")
+    texts = lines.select("__q_h", "line", "__q_a", "__q_b").distinct()
+    found = texts.groupBy("__q_h", "line").agg(F.count("*").alias("n_texts"))
+    boiler = written(found.where(F.col("n_texts") > max_docs), "boilerplate")
     lost = lines.join(boiler.select("__q_h", "line"), ["__q_h", "line"]).groupBy("__q_row").agg(F.sum("words").alias("lost"))
     rows = measured.join(lost, "__q_row", "left").withColumn("n_boiler_words", F.coalesce("lost", F.lit(0)))
     depleted = (F.col("n_boiler_words") > 0) & (100 * (F.col("n_words") - F.col("n_boiler_words")) < MIN_LEFT_PERCENT * F.col("n_words"))

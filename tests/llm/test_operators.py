@@ -270,6 +270,24 @@ def test_line_frequency(spark):
     assert quality.quality(docs.where("false")).count() == 0
 
 
+def test_line_frequency_of_blocks_and_copies(spark):
+    rng = random.Random(21)
+    block = [prose(rng, 9) for _ in range(5)]  # its inner lines always have the same neighbours
+    line = prose(rng, 9)
+    texts = ["\n".join([prose(rng, 30), *block, prose(rng, 30)]) for _ in range(6)]
+    texts += ["\n".join([prose(rng, 4), *block])]
+    texts += ["\n".join([prose(rng, 30), line, prose(rng, 30)]) for _ in range(5)]
+    texts += ["\n".join([prose(rng, 30), line, prose(rng, 30)])] * 30
+    few = prose(rng, 9)
+    texts += ["\n".join([prose(rng, 30), few, prose(rng, 30)]) for _ in range(4)]
+    texts += ["\n".join([prose(rng, 30), few, prose(rng, 30)])] * 30  # five texts: not above the limit
+    docs = frame(spark, texts, source=[None] * len(texts))
+    got = {r["doc_id"]: (r["n_boiler_words"], r["kept"]) for r in quality.quality(docs, max_docs=5).collect()}
+    assert got == {i: (45, i != 6) if i < 7 else (9, True) if i < 42 else (0, True) for i in range(len(texts))}
+    kept = {r["doc_id"]: r["text"] for r in quality.filter_quality(docs, max_docs=5).collect()}
+    assert kept == {i: t if i >= 42 else "\n".join(x for x in t.split("\n") if x not in block and x != line) for i, t in enumerate(texts) if i != 6}
+
+
 def test_packing(spark, library):
     rng = random.Random(12)
     texts = [None, "", "word " * 9000] + [prose(rng, rng.randrange(1, 900)) for _ in range(120)]
