@@ -209,7 +209,8 @@ def off_topic(reviews: DataFrame, products: DataFrame) -> DataFrame:
     """
     texts = reviews.where("text IS NOT NULL").select("listing_id", "text")
     once = texts.select("text").distinct().withColumn("r", T.hashed_terms(T.terms(F.col("text"))))
-    p = products.select("listing_id", T.hashed_terms(T.terms(F.col("product_text"))).alias("p"))
+    wanted = products.join(reviews.select("listing_id").distinct(), "listing_id", "left_semi")
+    p = wanted.select("listing_id", T.hashed_terms(T.terms(F.col("product_text"))).alias("p"))
     joined = texts.join(once, "text").select("listing_id", "r").join(p, "listing_id")
     norm = lambda c: F.sqrt(F.aggregate(F.map_values(c), F.lit(0), lambda s, x: s + x * x).cast("double"))
     inner = joined.select("listing_id", T.dot(F.col("r"), F.col("p")).alias("d"), norm("r").alias("nr"), norm("p").alias("np")).where("nr > 0")

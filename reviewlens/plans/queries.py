@@ -151,11 +151,25 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return signals.feature_vectors(r, None, _flagged_ids(spark), texts=False)
 
 
+def _products(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("listing_id"), F.col("text").alias("product_text"))
+
+
+def _text_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.feature_vectors(reviews(spark, sf), _products(spark, sf), _flagged_ids(spark))
+
+
 @query(f"WITH {FLAT}, {VECTOR} SELECT listing_id, meets_minimum, {', '.join(f'round({c}, 9) AS {c}' for c in SHORT)} FROM vec")
 def feature_vector(spark, sf):
     return _rounded(_vectors(spark, sf).select("listing_id", "meets_minimum", *SHORT), *SHORT)
 
 
+@query()
+def feature_vector_texts(spark, sf):
+    """The whole vector, with the text signals that the SQL of feature_vector lacks."""
+    return _rounded(_text_vectors(spark, sf).select("listing_id", "meets_minimum", *signals.FEATURES.values()), *signals.FEATURES.values())
+
+
 #: A model with fixed weights, so that scores can be checked by SQL.
 DEMO = model.Model(
     -1.0,
@@ -199,6 +213,12 @@ def evidence_rows(spark, sf):
     return _rounded(report.evidence(_vectors(spark, sf)), "value")
 
 
+@query()
+def evidence_rows_texts(spark, sf):
+    """Evidence of the whole vector; the SQL of evidence_rows has no text signals."""
+    return _rounded(report.evidence(_text_vectors(spark, sf)), "value")
+
+
 _CONTRIB = " UNION ALL ".join(f"SELECT listing_id, '{c}' AS feature, coalesce({c}, {DEMO.sketches[c][1]}) * {w} AS contribution, {c} IS NULL AS imputed FROM vec" for c, w in DEMO.coefficients.items())
 
 
@@ -234,9 +254,8 @@ def bootstrap_interval(spark, sf):
 @query()
 def listing_reports(spark, sf):
     r = reviews(spark, sf).drop("text")
-    vectors = signals.feature_vectors(r, None, _flagged_ids(spark), texts=False)
-    ratings = report.adjusted_rating(r, vectors.select("listing_id", "injected_share"))
-    return report.report_text(report.reports(model.score(vectors, DEMO), ratings, report.bootstrap_shares(r, resamples=20)))
+    ratings = report.adjusted_rating(r, signals.rating_deconvolution(signals.rating_histogram(r)))
+    return report.report_text(report.reports(model.score(_text_vectors(spark, sf), DEMO), ratings, report.bootstrap_shares(r, resamples=20)))
 
 
 # -- text ----------------------------------------------------------------------------
