@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions import dates, urls
-from reviewlens.sources import files
+from reviewlens.sources import files, html
 
 
 @pytest.mark.parametrize(
@@ -85,3 +85,18 @@ def test_examples(spark, tmp_path):
     path.write_text(json.dumps({"exampleId": "1", "features": {"a": 0.5, "b": None}, "label": 1, "metadata": {}}) + "\n")
     row = files.load_examples(spark, str(path)).first()
     assert row["features"] == {"a": 0.5, "b": None} and row["label"] == 1
+
+
+def test_long_page(spark):
+    links = "".join(f'<p><a href="/{i}">x</a></p>' for i in range(15_000))
+    end = '<script type="application/ld+json">{"@type": "Product", "name": "Kettle", "aggregateRating": {"ratingValue": 4.5}}</script><div><a href="/last">y</a></div>'
+    page = f"<html><body><div>{links}</i></div>{end}</body></html>"
+    got = {r["field"]: r for r in html.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()}
+    assert got["links"]["n_values"] == 15_001
+    assert (got["title"]["value"], got["title"]["depth"], got["rating"]["value"]) == ("Kettle", 0, "4.5")
+
+
+def test_node_budget_of_items():
+    item = "<div itemscope>" + "<b></b>" * (html.MAX_NODES - 2) + '<i itemprop="a">1</i><i itemprop="b">2</i>{}</div>'
+    assert html.microdata(html.tree("<p></p>" * 100 + item.format(""))) == [{"a": "1", "b": "2"}]
+    assert html.microdata(html.tree(item.format('<i itemprop="c">3</i>'))) == [{"a": "1", "b": "2"}]
