@@ -301,8 +301,7 @@ def near_dup_features(spark, sf):
 @query()
 def off_topic_share(spark, sf):
     r = reviews(spark, sf).select("listing_id", "review_id", "text")
-    products = table(spark, sf, "documents").select(F.col("doc_id").alias("listing_id"), F.substring("text", 1, 200).alias("product_text"))
-    return signals.off_topic(r, products)
+    return signals.off_topic(r, _products(spark, sf))
 
 
 @query("""WITH o AS (SELECT label, vec_id, embedding AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),

@@ -87,3 +87,14 @@ def test_reports_hold_text_evidence(spark, folder):
         values = {e["signal"]: e.get("value") for e in document["evidence"]}
         want = _brute(texts, rows, k)
         assert values["duplicate text"] == pytest.approx(want[0]) and values["different product"] == (want[3] if want[3] is None else pytest.approx(want[3]))
+
+
+def test_off_topic_reads_whole_products(spark, folder):
+    path, texts, rows = folder
+    assert all(len(t) > 200 for t in texts if t)
+    got = {r["listing_id"]: r for r in __spark_entry__.queries()["off_topic_share"](spark, path).collect()}
+    assert sorted(got) == [0, 1, 7]  # listing 50 has no product, and 7's has no text
+    for k, r in got.items():
+        share, distance = _brute(texts, rows, k)[3:5]
+        assert r["n_embedded"] == sum(user == k and texts[i % DOCS] is not None for i, _, user, _ in rows)
+        assert (r["off_topic_share"], r["mean_distance"]) == ((None, None) if share is None else (pytest.approx(share), pytest.approx(distance)))
