@@ -241,21 +241,31 @@ _DRAW = "CASE " + " ".join(f"WHEN place < c{k} THEN {k}" for k in range(1, 5)) +
 _AX = " + ".join(f"(h{i + 1} - {p}) * {d!r}" for i, (p, d) in enumerate(zip(signals.ORGANIC_PRIOR, AXIS, strict=True)))
 
 
-@query(f"""WITH {REVIEWS},
+INTERVAL = f"""WITH {REVIEWS},
 c AS (SELECT listing_id, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE rating <= {k}) AS c{k}" for k in range(1, 6))} FROM reviews_v WHERE rating IS NOT NULL GROUP BY listing_id),
 d AS (SELECT listing_id, b, n, c1, c2, c3, c4, floor(CAST(('0x' || substr(sha256('0:' || listing_id || ':' || b || ':' || i), 1, 13)) AS BIGINT) / 4503599627370496.0 * n) AS place FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, 20)) AS b FROM c))),
 h AS (SELECT listing_id, b, {", ".join(f"count(*) FILTER (WHERE {_DRAW} = {k}) / CAST(count(*) AS DOUBLE) AS h{k}" for k in range(1, 6))} FROM d GROUP BY listing_id, b),
 s AS (SELECT listing_id, least(1.0, greatest(0.0, ({_AX}) / {sum(d * d for d in AXIS)!r})) AS injected_share FROM h)
-SELECT listing_id, round(quantile_cont(injected_share, 0.25), 9) AS low, round(quantile_cont(injected_share, 0.75), 9) AS high FROM s GROUP BY listing_id""")
+SELECT listing_id, round(quantile_cont(injected_share, 0.25), 9) AS low, round(quantile_cont(injected_share, 0.75), 9) AS high FROM s GROUP BY listing_id"""
+
+
+@query(INTERVAL)
 def bootstrap_interval(spark, sf):
+    """20 resamples, as its SQL has."""
     return _rounded(report.bootstrap_shares(reviews(spark, sf).drop("text"), resamples=20), "low", "high")
 
 
+@query(INTERVAL.replace("range(0, 20)", f"range(0, {report.RESAMPLES})"))
+def bootstrap_interval_whole(spark, sf):
+    """All resamples of the operator's default."""
+    return _rounded(report.bootstrap_shares(reviews(spark, sf).drop("text")), "low", "high")
+
+
 @query()
 def listing_reports(spark, sf):
     r = reviews(spark, sf).drop("text")
     ratings = report.adjusted_rating(r, signals.rating_deconvolution(signals.rating_histogram(r)))
-    return report.report_text(report.reports(model.score(_text_vectors(spark, sf), DEMO), ratings, report.bootstrap_shares(r, resamples=20)))
+    return report.report_text(report.reports(model.score(_text_vectors(spark, sf), DEMO), ratings, report.bootstrap_shares(r)))
 
 
 # -- text ----------------------------------------------------------------------------

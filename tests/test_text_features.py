@@ -1,6 +1,7 @@
 """Queries with text signals over small tables, against brute force."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 import re
@@ -11,7 +12,7 @@ import pytest
 
 import __spark_entry__
 from reviewlens.functions import text as T
-from reviewlens.operators import report
+from reviewlens.operators import report, signals
 
 DOCS = 8
 
@@ -98,3 +99,27 @@ def test_off_topic_reads_whole_products(spark, folder):
         share, distance = _brute(texts, rows, k)[3:5]
         assert r["n_embedded"] == sum(user == k and texts[i % DOCS] is not None for i, _, user, _ in rows)
         assert (r["off_topic_share"], r["mean_distance"]) == ((None, None) if share is None else (pytest.approx(share), pytest.approx(distance)))
+
+
+def _interval(rows, listing, resamples=200):
+    """Quartiles of the injected share over resamples of a listing's ratings, in order of size."""
+    stars = sorted(1 + (i * 7 + user * 3) % 5 for i, _, user, kind in rows if user == listing and kind != "error")
+    prior, kernel = np.array(signals.ORGANIC_PRIOR), np.array(signals.INJECTION_KERNEL)
+    axis, n, shares = kernel - prior, len(stars), []
+    for b in range(resamples):
+        drawn = [stars[int(int(hashlib.sha256(f"0:{listing}:{b}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52) * n)] for i in range(n)]
+        histogram = np.array([drawn.count(k) / n for k in range(1, 6)])
+        shares.append(min(1.0, max(0.0, (histogram - prior) @ axis / (axis @ axis))))
+    return np.quantile(shares, [0.25, 0.75])
+
+
+def test_intervals_of_200_resamples(spark, folder):
+    path, _, rows = folder
+    queries = __spark_entry__.queries()
+    got = {r["listing_id"]: (r["low"], r["high"]) for r in queries["bootstrap_interval_whole"](spark, path).collect()}
+    documents = {r["listing_id"]: json.loads(r["document"]) for r in queries["listing_reports"](spark, path).collect()}
+    assert sorted(got) == [0, 1, 7, 50]
+    for k, interval in got.items():
+        assert interval == pytest.approx(_interval(rows, k), abs=1e-8)
+        assert (documents[k]["low"], documents[k]["high"]) == pytest.approx(interval, abs=1e-8)
+    assert any(got[k] != pytest.approx(_interval(rows, k, 20), abs=1e-8) for k in got)
