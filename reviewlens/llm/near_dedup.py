@@ -182,7 +182,7 @@ def _merge(edges: list[DataFrame]) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Sketches (a row for each row of ``docs``), and for each distinct set: n_shingles, f1, f2, component_id (a key)."""
+    """Sketches (a row for each row of ``docs``), and for each distinct set: n_shingles, f1, f2, comp, component_id (a key)."""
     rows = written(sketches(docs, text, key), "sketches")
     first = F.min(F.struct("__nd_k", "__nd_a", "__nd_b"))
     sets = rows.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(first.alias("rep"), F.min("__nd_k").alias("low_key"), F.first("sig").alias("sig"))
@@ -207,20 +207,44 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
     drop(texts, shared, needed, *found)
     labelled = sets.select("n_shingles", "f1", "f2", "c", "low_key").join(comp, F.col("c") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "c"))
     low = written(labelled.groupBy("comp").agg(F.min("low_key").alias("component_id")), "component-ids")
-    out = written(labelled.join(low, "comp").select("n_shingles", "f1", "f2", "c", "component_id"), "classes")
+    out = written(labelled.join(low, "comp").select("n_shingles", "f1", "f2", "c", "comp", "component_id"), "classes")
     return rows, out
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """``key``, n_shingles, component_id and kept of every row."""
+def _marked(docs: DataFrame, text: str, key: str, percent: int, trees: int, leaf: int, depth: int) -> DataFrame:
+    """__nd_k, __nd_a, __nd_b, n_shingles, comp (null without shingles), component_id and kept of every row."""
     rows, sets = classes(docs, text, key, percent, trees, leaf, depth)
-    sets = sets.select(F.col("n_shingles").alias("n2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "component_id")
+    sets = sets.select(F.col("n_shingles").alias("n2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "comp", "component_id")
     out = rows.join(sets, (F.col("n_shingles") == F.col("n2")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__nd_k"))
-    return out.select(F.col("__nd_k").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("__nd_k")).alias("kept"))
+    return out.select("__nd_k", "__nd_a", "__nd_b", "n_shingles", "comp", component.alias("component_id"), component.eqNullSafe(F.col("__nd_k")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """``key``, n_shingles, component_id and kept of every row."""
+    return _marked(docs, text, key, percent, trees, leaf, depth).select(F.col("__nd_k").alias(key), "n_shingles", "component_id", "kept")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with the smallest key of their component, in the same columns."""
-    marks = near_duplicates(docs, text, key, percent).where("NOT kept").select(F.col(key).alias("__nd_gone")).distinct()
-    return docs.join(written(marks, "copies"), F.col(key).eqNullSafe(F.col("__nd_gone")), "left_anti")
+    """One row of each component, with its smallest key, in the same columns.
+
+    Rows are told apart by key and text: of equal ones one stays, and of different
+    texts of a component under its smallest key the one with the smallest hashes.
+    """
+    same = ["__nd_k", "__nd_a", "__nd_b"]
+    each = written(_marked(docs, text, key, percent, TREES, LEAF, DEPTH).groupBy(*same).agg(F.count("*").alias("n"), F.first("comp").alias("comp"), F.first("kept").alias("kept")), "near-marks")
+    first = each.where("kept AND comp IS NOT NULL")
+    ties = first.groupBy("comp").agg(F.min(F.struct("__nd_a", "__nd_b")).alias("low"), F.max(F.struct("__nd_a", "__nd_b")).alias("high")).where("low <> high").select("comp", "low")
+    later = first.join(ties, "comp").where(F.struct("__nd_a", "__nd_b") != F.col("low"))
+    gone = written(each.where("NOT kept").select(*same).unionByName(later.select(*same)), "copies")
+    equal = lambda other: F.col("__nd_k").eqNullSafe(other["__nd_kv"]) & (F.col("__nd_a") == other["__nd_av"]) & (F.col("__nd_b") == other["__nd_bv"])
+    named = lambda rows: rows.select(*[F.col(c).alias(f"{c}v") for c in same])
+    left = identity(docs, text, key, "__nd_")
+    gone = named(gone)
+    out = left.join(gone, equal(gone), "left_anti")
+    repeated = written(named(each.where("kept AND n > 1")), "repeated-rows")
+    drop(each)
+    if not repeated.isEmpty():
+        once = out.join(repeated, equal(repeated), "left_semi").dropDuplicates(same)
+        out = out.join(repeated, equal(repeated), "left_anti").unionByName(once)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -65,6 +65,20 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert max(total.values()) <= 2048
 
 
+def test_repeated_rows(spark, tmp_path):
+    rng = random.Random(22)
+    a, b, c, d, e = ("\n".join(prose(rng, 12) for _ in range(8)) for _ in range(5))
+    # 1: a row twice; 2: two texts, one a copy of 0's; 3: two near copies; 4: two texts, twice each; without a key: different texts
+    rows = [(0, b), (1, a), (1, a), (2, c), (2, b), (3, d), (3, d.replace("\n", " ")), (4, e), (4, e), (4, e[::-1]), (4, e[::-1]), (None, a[::-1]), (None, b[::-1]), (None, None), (None, None)]
+    docs = frame(spark, [t for _, t in rows], [k for k, _ in rows])
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(x for x in left if x[0] != 3 and x[0] is not None) == sorted([(0, b), (1, a), (2, c), (4, e), (4, e[::-1])])
+    assert [t.replace("\n", " ") for k, t in left if k == 3] == [d.replace("\n", " ")]
+    assert sorted((t or "" for k, t in left if k is None)) == sorted(["", a[::-1], b[::-1]])
+    docs.where("doc_id < 4").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+
+
 def test_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
