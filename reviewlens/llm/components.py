@@ -18,16 +18,16 @@ def _step(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star over edges (hi, lo), hi > lo."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-min")
-    large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct(), "cc-large")
+    large = written(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct(), "cc-large")
     low = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "cc-low")
-    small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", F.col("m").alias("lo")))
+    small = large.join(low.hint("merge"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", F.col("m").alias("lo")))
     out = written(small.distinct(), "cc-edges")
     drop(least, large, low)
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) of every node of ``edges`` (u, v long) that isn't its component's smallest id.
+def components(edges: DataFrame, name: str = "id") -> DataFrame:
+    """(``name``, comp) of every node of ``edges`` (u, v long) that isn't its component's smallest id.
 
     Loops and repeated edges don't matter; nulls take no part.
     """
@@ -44,4 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state(now)
         if seen == last:
             break
-    return now.select(F.col("hi").alias("id"), F.col("lo").alias("comp"))
+    out = now.select(F.col("hi").alias(name), F.col("lo").alias("comp"))
+    out._shared_path = now._shared_path
+    return out

@@ -144,14 +144,40 @@ def shingle_hashes(words: Words, width: int = 5, seed: int = 0) -> tuple[np.ndar
             if len(at):
                 value += np.where(inside, mix64(per_word[at] ^ _FOLD[k]), np.uint64(0))
         value = mix64(value + spans.astype(np.uint64) * _FOLD[40])
-    order = np.lexsort((value, doc_of))
-    value, doc_of = value[order], doc_of[order]
+    bounds = np.concatenate(([0], np.cumsum(n_shingles))).tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a > 1:
+            value[a:b].sort()
     fresh = np.ones(len(value), np.bool_)
     fresh[1:] = (value[1:] != value[:-1]) | (doc_of[1:] != doc_of[:-1])
     value, doc_of = value[fresh], doc_of[fresh]
     return value, np.searchsorted(doc_of, np.arange(len(counts) + 1))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of consecutive equal ``column``, closed once they have ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and size >= limit:
+            last = held[-1].column(column)[-1].as_py()
+            other = np.flatnonzero(np.asarray(batch.column(column)) != last)
+            step = int(other[0]) if len(other) else batch.num_rows
+            if step:
+                held.append(batch.slice(0, step))
+            if not len(other):
+                size += batch.nbytes
+                continue
+            yield pa.Table.from_batches(held)
+            held, size, batch = [], 0, batch.slice(step)
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def reduce_min(values: np.ndarray, offsets: np.ndarray, empty) -> np.ndarray:
     """Minimum of each segment; ``empty`` where a segment has nothing."""
     out = np.full(len(offsets) - 1, empty, values.dtype)

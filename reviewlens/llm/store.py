@@ -1,18 +1,22 @@
 """Tables and files in the folder that all executors of the cluster share.
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) one is made and set.  Lineage is cut by writing a table there
-and reading it back, so a lost executor costs a re-read and nothing else.
+(tests, a laptop) one inside the warehouse is set.  Lineage is cut by writing a
+table there and reading it back, so a lost executor costs a re-read and nothing
+else; the shuffle files of the write go as soon as the table is complete.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder."""
     sc = spark.sparkContext
@@ -21,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
         at = sc._jsc.sc().getCheckpointDir()
         folder = at.get() if at.isDefined() else None
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        # the warehouse is shared, too
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -35,7 +40,12 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
