@@ -52,23 +52,26 @@ def repeated_starts(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     place = F.struct("__ld_k", "__ld_a", "__ld_b", "pos")
     repeated = rows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT (first <=> last)")
     repeated = written(repeated.drop("last"), "line-repeats")
-    later = rows.join(repeated, ["w1", "w2"]).where(~F.struct("__ld_k", "__ld_a", "__ld_b", "pos").eqNullSafe(F.col("first")))
+    later = rows.join(repeated.hint("merge"), ["w1", "w2"]).where(~F.struct("__ld_k", "__ld_a", "__ld_b", "pos").eqNullSafe(F.col("first")))
     starts = written(later.groupBy("__ld_k", "__ld_a", "__ld_b").agg(F.collect_set("pos").alias("starts")), "line-starts")
     drop(rows, repeated)
     return starts
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", prefix: str = "") -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, plus n_lines and n_removed (long).
 
-    A document that loses every line keeps its row with an empty text.
+    A document that loses every line keeps its row with an empty text.  The new
+    columns' names begin with ``prefix``; a column of ``docs`` that has the name of
+    one of them gives way to it.
     """
+    new_names = [prefix + c for c in ("n_lines", "n_removed")]
     spark_type = docs.schema[text].dataType
     starts = repeated_starts(docs, text, key).select(F.col("__ld_k").alias("__ld_rk"), F.col("__ld_a").alias("__ld_ra"), F.col("__ld_b").alias("__ld_rb"), F.col("starts").alias("__ld_starts"))
     left = identity(docs, text, key, "__ld_")
     # a merge join at every size: the starts grow with the corpus, and small inputs shall behave like large ones
     joined = left.join(starts.hint("merge"), F.col("__ld_k").eqNullSafe(F.col("__ld_rk")) & (F.col("__ld_a") == F.col("__ld_ra")) & (F.col("__ld_b") == F.col("__ld_rb")), "left")
-    columns = [c for c in docs.columns]
+    columns = [c for c in docs.columns if c.lower() not in {x.lower() for x in new_names}]
     joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__ld_starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +91,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 n_removed[i] = gone.sum()
                 texts[i] = "\n".join(line for line, out in zip(value.split("\n"), gone.tolist(), strict=True) if not out)
             arrays = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines), pa.array(n_removed)], names=[*columns, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines), pa.array(n_removed)], names=[*columns, *new_names])
 
-    schema = T.StructType([*(T.StructField(c, spark_type if c == text else docs.schema[c].dataType) for c in columns), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*(T.StructField(c, spark_type if c == text else docs.schema[c].dataType) for c in columns), *(T.StructField(c, T.LongType()) for c in new_names)])
     return joined.mapInArrow(run, schema)

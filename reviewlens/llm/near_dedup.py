@@ -396,9 +396,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
     return slim, out
 
 
-def _marked(docs: DataFrame, text: str, key: str, percent: int, trees: int, leaf: int, depth: int) -> DataFrame:
+def _marked(docs: DataFrame, text: str, key: str, percent: int, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """__nd_k, __nd_a, __nd_b, n_shingles, comp (null without shingles), component_id and kept of every row."""
-    rows, sets = classes(docs, text, key, percent, trees, leaf, depth)
+    rows, sets = classes(docs, text, key, percent, trees, leaf, depth, block)
     sets = sets.select(F.col("n_shingles").alias("n2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "comp", "component_id")
     out = rows.join(sets.hint("merge"), (F.col("n_shingles") == F.col("n2")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__nd_k"))
@@ -417,7 +417,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     texts of a component under its smallest key the one with the smallest hashes.
     """
     same = ["__nd_k", "__nd_a", "__nd_b"]
-    each = written(_marked(docs, text, key, percent, TREES, LEAF, DEPTH).groupBy(*same).agg(F.count("*").alias("n"), F.first("comp").alias("comp"), F.first("kept").alias("kept")), "near-marks")
+    each = written(_marked(docs, text, key, percent).groupBy(*same).agg(F.count("*").alias("n"), F.first("comp").alias("comp"), F.first("kept").alias("kept")), "near-marks")
     first = each.where("kept AND comp IS NOT NULL")
     ties = first.groupBy("comp").agg(F.min(F.struct("__nd_a", "__nd_b")).alias("low"), F.max(F.struct("__nd_a", "__nd_b")).alias("high")).where("low <> high").select("comp", "low")
     later = first.join(ties.hint("merge"), "comp").where(F.struct("__nd_a", "__nd_b") != F.col("low"))

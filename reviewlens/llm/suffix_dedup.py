@@ -18,9 +18,11 @@ Every byte that lies in a ``LENGTH``-byte string which also starts anywhere else
    covers [start - L, start + R) if L + R >= 400.  The furthest valid R and L are
    those of its neighbours in the two orders, or else come from all of its group.
 
-A gram at over ``GROUP`` places isn't gathered: the hashes of all its windows are
-counted by a grouping instead.  So memory is bounded by ``GROUP`` contexts.
+A gram at over ``GROUP`` places isn't gathered and sorted in one task: 128-bit
+hashes of all its windows are counted by a grouping instead, which the engine can
+split.  So memory is bounded by ``GROUP`` contexts.
 
+``length`` is a parameter (over ``GRAM`` bytes); the numbers above are for 400.
 Null texts are empty; repeated rows are copies of each other; null keys don't
 matter, as texts are told apart by content.  An empty table gives no rows.
 """
@@ -28,6 +30,7 @@ matter, as texts are told apart by content.  An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +68,28 @@ def gram_hashes(flat: np.ndarray, gram: int = GRAM) -> np.ndarray:
         return mix64(h)
 
 
+def window_hashes(flat: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """64-bit hash of the ``width`` bytes from each place that has them, put together from hashes of powers of two."""
+    n = len(flat) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, power, step = np.full(n, seed, np.uint64), 0, 1, 0
+    salt = seeds(40, seed) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        h = mix64(seeds(256, seed + 1)[flat])
+        while power <= width:
+            if width & power:
+                out = mix64(out * salt[step] + h[at : at + n])
+                at += power
+            power, step = power * 2, step + 1
+            if power <= width:
+                half = power // 2
+                h = h[:-half] * salt[step + 16] + h[half:]
+                h ^= h >> np.uint64(29)
+                h *= salt[step + 8]
+    return out
+
+
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` over each ``width`` consecutive values."""
     done = 1
@@ -125,11 +150,19 @@ class Strings:
         b = np.where(k < self.sizes[q], self.matrix[q, at].astype(np.int64), -1)
         return np.sign(a - b)
 
+    def true(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Length of the common prefixes of rows p and q, by their bytes."""
+        out = np.empty(len(p), np.int64)
+        for i in range(0, len(p), 1 << 14):
+            a, b = p[i : i + (1 << 14)], q[i : i + (1 << 14)]
+            differ = self.matrix[a] != self.matrix[b]
+            first = np.where(differ.any(axis=1), differ.argmax(axis=1), self.matrix.shape[1])
+            out[i : i + (1 << 14)] = np.minimum(first, np.minimum(self.sizes[a], self.sizes[b]))
+        return out
+
     def verified(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, bool]:
         """Common prefixes by bytes, and whether the hashes had said the same."""
-        differ = self.matrix[p] != self.matrix[q]
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), self.matrix.shape[1])
-        true = np.minimum(first, np.minimum(self.sizes[p], self.sizes[q]))
+        true = self.true(p, q)
         return true, bool((true == self.common(p, q)).all())
 
     def order(self, groups: np.ndarray) -> np.ndarray:
@@ -233,7 +266,10 @@ def covered(matrix: np.ndarray, before: np.ndarray, after: np.ndarray, groups: n
             p, q = p[p != q], q[p != q]
             for a in range(0, len(p), 1 << 17):
                 pp, qq = p[a : a + (1 << 17)], q[a : a + (1 << 17)]
-                ext_l, ext_r = left.common(pp, qq), right.common(pp, qq)
+                # the hashes sort out, the bytes decide
+                maybe = left.common(pp, qq) + right.common(pp, qq) >= length
+                pp, qq = pp[maybe], qq[maybe]
+                ext_l, ext_r = left.true(pp, qq), right.true(pp, qq)
                 fine = ext_l + ext_r >= length
                 credit(pp[fine], qq[fine], ext_l[fine], ext_r[fine])
         for a, b in {(int(groups[k]), int(groups[k + 1])) for k, s in zip(g.tolist(), size.tolist(), strict=True) if s > DIRECT}:
@@ -252,6 +288,11 @@ def covered(matrix: np.ndarray, before: np.ndarray, after: np.ndarray, groups: n
                 hit = np.zeros(len(r), np.bool_)
                 hit[order[1:][same]] = True
                 hit[order[:-1][same]] = True
+                x, y = order[:-1][same], order[1:][same]
+                if not np.array_equal(matrix[r[x], mid - j : mid - j + length], matrix[r[y], mid - j : mid - j + length]):
+                    strings = [row.tobytes() for row in matrix[r, mid - j : mid - j + length]]
+                    times = Counter(strings)
+                    hit = np.fromiter((times[t] > 1 for t in strings), np.bool_, len(strings))
                 hits = r[hit & unsettled[ok]]
                 best_l[hits] = np.maximum(best_l[hits], j)
                 best_r[hits] = np.maximum(best_r[hits], length - j)
@@ -264,8 +305,10 @@ def _identity(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("*", F.xxhash64(body).alias("__sd_a"), F.xxhash64(F.lit(1), body).alias("__sd_b"))
 
 
-def covered_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", group: int = GROUP) -> DataFrame:
+def covered_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", group: int = GROUP, length: int = LENGTH) -> DataFrame:
     """__sd_a, __sd_b (the text), spans array<struct<s, e>>: covered bytes, not merged."""
+    if length <= GRAM:
+        raise ValueError(f"length must be over {GRAM} bytes")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = _identity(docs, text).select(F.col(key).alias("k"), F.col("__sd_a").alias("a"), F.col("__sd_b").alias("b"), F.coalesce(F.col(text), F.lit("")).alias("body"))
@@ -274,7 +317,7 @@ def covered_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", grou
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "body"):
             flat, offsets = text_buffer(batch.column("body"))
-            at, gram = anchors(flat, offsets)
+            at, gram = anchors(flat, offsets, length)
             owner = np.searchsorted(offsets, at, "right") - 1
             bounds = pa.array(np.searchsorted(at, offsets), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -283,17 +326,17 @@ def covered_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", grou
             )
 
     found = written(source.mapInArrow(find, f"k {kind}, a long, b long, n long, pos array<int>, gram array<long>"), "anchors")
-    texts = written(found.where(F.col("n") >= LENGTH).groupBy("a", "b", "n").agg(F.count("*").alias("copies"), F.min("k").alias("rep")), "texts")
+    texts = written(found.where(F.col("n") >= length).groupBy("a", "b", "n").agg(F.count("*").alias("copies"), F.min("k").alias("rep")), "texts")
     same = (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")) & F.col("k").eqNullSafe(F.col("rep"))
-    single = found.join(texts.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "rep"), same).select("k", "a", "b", F.explode(F.arrays_zip("pos", "gram")).alias("x"))
+    single = found.join(texts.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "rep").hint("merge"), same).select("k", "a", "b", F.explode(F.arrays_zip("pos", "gram")).alias("x"))
     single = written(single.select("k", "a", "b", "x.pos", "x.gram"), "anchor-places")
     place = F.struct("a", "b", "pos")
     grams = single.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("gram", "n")
     grams = written(grams, "grams")
-    wanted = single.join(grams, "gram").groupBy("k", "a", "b").agg(F.collect_set(F.struct("pos", "gram", "n")).alias("x"))
+    wanted = single.join(grams.hint("merge"), "gram").groupBy("k", "a", "b").agg(F.collect_set(F.struct("pos", "gram", "n")).alias("x"))
     wanted = written(wanted.select(F.col("k").alias("wk"), F.col("a").alias("wa"), F.col("b").alias("wb"), "x"), "anchors-wanted")
-    joined = source.join(wanted, (F.col("a") == F.col("wa")) & (F.col("b") == F.col("wb")) & F.col("k").eqNullSafe(F.col("wk"))).select("a", "b", "body", "x.pos", "x.gram", "x.n")
-    reach = LENGTH - GRAM
+    joined = source.join(wanted.hint("merge"), (F.col("a") == F.col("wa")) & (F.col("b") == F.col("wb")) & F.col("k").eqNullSafe(F.col("wk"))).select("a", "b", "body", "x.pos", "x.gram", "x.n")
+    reach = length - GRAM
     names = ["a", "b", "pos", "gram", "n", "before", "ctx"]
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +348,7 @@ def covered_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", grou
             pos = np.asarray(lists.flatten(), dtype=np.int64)
             gram, n = (batch.column(c).flatten() for c in ("gram", "n"))
             before = np.minimum(pos, reach)
-            size = before + np.minimum(np.diff(offsets)[owner] - pos, LENGTH)
+            size = before + np.minimum(np.diff(offsets)[owner] - pos, length)
             for i in range(0, len(pos), 8192):
                 s = slice(i, i + 8192)
                 data = flat[ranges(offsets[owner[s]] + pos[s] - before[s], size[s])]
@@ -328,10 +371,10 @@ def covered_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", grou
             gram, a, b, pos, before = (x[order] for x in (gram, a, b, pos, before))
             flat, offsets = text_buffer(table["ctx"].combine_chunks().take(pa.array(order)))
             size = np.diff(offsets)
-            matrix = np.zeros((len(order), reach + LENGTH), np.uint8)
-            matrix.ravel()[ranges(np.arange(len(order)) * (reach + LENGTH) + reach - before, size)] = flat
+            matrix = np.zeros((len(order), reach + length), np.uint8)
+            matrix.ravel()[ranges(np.arange(len(order)) * (reach + length) + reach - before, size)] = flat
             groups = np.append(np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))), len(gram))
-            ext_l, ext_r = covered(matrix, before, size - before, groups)
+            ext_l, ext_r = covered(matrix, before, size - before, groups, length)
             hit = np.flatnonzero(ext_r > 0)
             return pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit]), pa.array(pos[hit] - ext_l[hit]), pa.array(pos[hit] + ext_r[hit])], names=["a", "b", "s", "e"])
 
@@ -360,39 +403,49 @@ def covered_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", grou
     spans = written(usual.mapInArrow(sort, "a long, b long, s long, e long"), "spans")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "ctx", 1 << 16):
-            out: dict[str, list] = {c: [] for c in ("a", "b", "s", "x", "y")}
-            for a, b, pos, before, ctx in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "pos", "before", "ctx")), strict=True):
-                for i in range(0, len(ctx) - LENGTH + 1):
-                    digest = hashlib.blake2b(ctx[i : i + LENGTH], digest_size=16).digest()
-                    for c, v in zip(out, (a, b, pos - before + i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)), strict=True):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
+        for batch in pieces(batches, "ctx", 1 << 18):
+            flat, offsets = text_buffer(batch.column("ctx"))
+            count = np.maximum(np.diff(offsets) - length + 1, 0)
+            within = ranges(np.zeros(len(count), np.int64), count)
+            row = np.repeat(np.arange(len(count)), count)
+            at = offsets[:-1][row] + within
+            start = np.asarray(batch.column("pos"), dtype=np.int64) - np.asarray(batch.column("before"), dtype=np.int64)
+            x, y = (window_hashes(flat, length, seed)[at].view(np.int64) for seed in (51, 61))
+            rows = pa.array(row)
+            for i in range(0, len(row), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a").take(rows[cut]), batch.column("b").take(rows[cut]), pa.array((start[row] + within)[cut]), pa.array(x[cut]), pa.array(y[cut])], names=["a", "b", "s", "x", "y"]
+                )
 
     marks = [spans.select("a", "b", "s", "e"), texts.where("copies > 1").select("a", "b", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))]
     crowded = contexts.where(F.col("n") > group)
+    passing = []
     if not crowded.isEmpty():
         each = written(crowded.mapInArrow(windows, "a long, b long, s long, x long, y long").distinct(), "windows")
         spot = F.struct("a", "b", "s")
         again = written(each.groupBy("x", "y").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("x", "y"), "windows-repeated")
-        marks.append(each.join(again, ["x", "y"]).select("a", "b", "s", (F.col("s") + LENGTH).alias("e")))
+        passing = [each, again]
+        marks.append(each.join(again.hint("merge"), ["x", "y"]).select("a", "b", "s", (F.col("s") + length).alias("e")))
     union = marks[0]
     for m in marks[1:]:
         union = union.unionByName(m)
     out = written(union.groupBy("a", "b").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select(F.col("a").alias("__sd_sa"), F.col("b").alias("__sd_sb"), F.col("spans").alias("__sd_spans")), "covered")
-    drop(found, single, grams, wanted, contexts, spans, texts)
+    drop(found, single, grams, wanted, contexts, spans, texts, *passing)
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", group: int = GROUP, length: int = LENGTH, prefix: str = "") -> DataFrame:
     """All columns of ``docs`` with ``text`` cut, plus n_bytes, n_removed, n_spans (long) and kept_sha256.
 
     The digest is of the kept bytes; in ``text`` a character of which only some
-    bytes are kept is left out.
+    bytes are kept is left out.  The new columns' names begin with ``prefix``; a
+    column of ``docs`` that has the name of one of them gives way to it.
     """
-    spans = covered_spans(docs, text, key, group)
-    columns = docs.columns
-    joined = _identity(docs, text).join(spans, (F.col("__sd_a") == F.col("__sd_sa")) & (F.col("__sd_b") == F.col("__sd_sb")), "left").select(*[F.col(f"`{c}`") for c in columns], "__sd_spans")
+    spans = covered_spans(docs, text, key, group, length)
+    new_names = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
+    columns = [c for c in docs.columns if c.lower() not in {x.lower() for x in new_names}]
+    joined = _identity(docs, text).join(spans.hint("merge"), (F.col("__sd_a") == F.col("__sd_sa")) & (F.col("__sd_b") == F.col("__sd_sb")), "left").select(*[F.col(f"`{c}`") for c in columns], "__sd_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -419,8 +472,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", gro
                 digests.append(hashlib.sha256(body.tobytes()).hexdigest())
             new = source if texts is None else pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*(new if c == text else batch.column(c) for c in columns), pa.array(np.diff(offsets), pa.int64()), pa.array(n_removed), pa.array(n_spans), pa.array(digests)], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                [*(new if c == text else batch.column(c) for c in columns), pa.array(np.diff(offsets), pa.int64()), pa.array(n_removed), pa.array(n_spans), pa.array(digests)], names=[*columns, *new_names]
             )
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(c, T.LongType()) for c in new_names[:3]), T.StructField(new_names[3], T.StringType())])
     return joined.mapInArrow(run, schema)

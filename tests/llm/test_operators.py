@@ -206,6 +206,42 @@ def test_near_dedup(spark, leaf):
         assert (got[k]["n_shingles"], got[k]["component_id"], got[k]["kept"]) == (len(s), component, component == k)
 
 
+def test_near_dedup_hot_nodes(spark):
+    """Large nodes: many near copies of one text, many texts with one passage, and small limits, so that nodes branch."""
+    rng = random.Random(31)
+    base, passage = prose(rng, 60).split(), prose(rng, 14)
+    texts = []
+    for _ in range(70):
+        copy = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 4))):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(999)}"
+        texts.append(" ".join(copy))
+    for _ in range(40):
+        texts.append(passage + " " + prose(rng, 12))
+        if rng.random() < 0.3:
+            texts.append(texts[-1] + " more")
+    keys = rng.sample(range(1000), len(texts))
+    for percent in (85, 80):
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup._marked(frame(spark, texts, keys), "text", "doc_id", percent, 8, 6, 3, 4).withColumnRenamed("__nd_k", "doc_id").collect()}
+        want, _ = _components(texts, keys, percent)
+        assert got == dict(zip(keys, want, strict=True))
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(32)
+    need = near_dedup.agreement(85)
+    assert 80 < need < 100
+    equal = []
+    for _ in range(200):
+        common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (170, 15, 15))  # 170 of 200
+        value = np.concatenate((common, a, common, b))
+        sig, code = near_dedup.coordinates(value, np.array([0, 185, 370]))
+        equal.append((np.count_nonzero(code[0] == code[1]), np.count_nonzero(sig[0] == sig[1])))
+    codes, coordinates = np.array(equal).T
+    assert abs(codes.mean() / near_dedup.CODES - 0.85) < 0.02 and abs(coordinates.mean() / near_dedup.COORDINATES - 0.85) < 0.03
+    assert codes.min() >= need and codes.std() < 6
+
+
 def test_near_dedup_odd_rows(spark):
     docs = frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "z"], [None, 4, 4, 9]).withColumnRenamed("lang", "c").withColumnRenamed("source", "node")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()), key=str)
@@ -334,30 +370,56 @@ def test_fullest_is_optimal():
         assert sum(s * n for s, n in chosen.items()) == seed + max(a for a in sums if a <= 50 - seed)
 
 
-def _repeats(texts):
+def _repeats(texts, length=400):
     places = defaultdict(list)
     for i, t in enumerate(texts):
-        for s in range(len(t) - 399):
-            places[t[s : s + 400]].append((i, s))
+        for s in range(len(t) - length + 1):
+            places[t[s : s + length]].append((i, s))
     gone = [bytearray(len(t)) for t in texts]
     for own in places.values():
         if len(own) > 1:
             for i, s in own:
-                gone[i][s : s + 400] = b"\1" * 400
+                gone[i][s : s + length] = b"\1" * length
     return gone
 
 
-@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 3])
-def test_suffix_dedup(spark, group):
+def test_window_hashes():
+    flat = np.frombuffer(b"abcabcabcabcxabcabcabcabc", np.uint8)
+    for width in (1, 5, 12, 25, 26):
+        h = suffix_dedup.window_hashes(flat, width, 51).tolist()
+        strings = [flat[i : i + width].tobytes() for i in range(len(flat) - width + 1)]
+        assert len(h) == len(strings) and len(set(h)) == len(set(strings)) == len(set(zip(h, strings, strict=True)))
+
+
+def test_hash_collisions_are_verified(monkeypatch):
+    # all bytes alike to the hashes: every comparison by hashes is wrong
+    monkeypatch.setattr(suffix_dedup, "_BYTE", np.zeros(256, np.uint64))
+    rng = random.Random(30)
+    width, mid = 40 + 8, 8
+    for direct in (64, 2):
+        monkeypatch.setattr(suffix_dedup, "DIRECT", direct)
+        parts = ["".join(rng.choices("ab", k=width)).encode() for _ in range(4)]
+        rows = [rng.choice(parts)[:k] + rng.choice(parts)[k:] for k in [rng.randrange(width) for _ in range(24)]]
+        matrix = np.array([np.frombuffer(r, np.uint8) for r in rows])
+        before, after = np.full(len(rows), mid), np.full(len(rows), width - mid)
+        ext_l, ext_r = suffix_dedup.covered(matrix, before, after, np.array([0, len(rows)]), length=40, gram=32)
+        places = Counter((s, r[s : s + 40]) for r in rows for s in range(9))
+        for r, a, b in zip(rows, ext_l.tolist(), ext_r.tolist(), strict=True):
+            hits = [s for s in range(9) if places[s, r[s : s + 40]] > 1]
+            assert (a, b) == ((mid - min(hits), max(hits) + 40 - mid) if hits else (0, 0))
+
+
+@pytest.mark.parametrize(("group", "length"), [(suffix_dedup.GROUP, 400), (3, 400), (suffix_dedup.GROUP, 250), (3, 250)])
+def test_suffix_dedup(spark, group, length):
     rng = random.Random(14)
-    passages = ["".join(rng.choices("abcdé ", k=n)) for n in (390, 398, 420, 700, 1500)]
-    texts = [None, "", "short", "x" * 399, "ab" * 300, "y" * 1200]
+    passages = ["".join(rng.choices("abcdé ", k=n)) for n in (length - 10, length - 2, length + 20, 700, 1500)]
+    texts = [None, "", "short", "x" * (length - 1), "ab" * 300, "y" * 1200]
     for _ in range(25):
         texts.append("".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choices("abcdé ", k=rng.randrange(300))) for _ in range(rng.randrange(1, 6))))
     texts += [texts[-1], texts[-1]]
-    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, texts), group=group).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, texts), group=group, length=length).collect()}
     raw = [(t or "").encode() for t in texts]
-    for i, (t, gone) in enumerate(zip(raw, _repeats(raw), strict=True)):
+    for i, (t, gone) in enumerate(zip(raw, _repeats(raw, length), strict=True)):
         left = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         runs = len(re.findall(b"\1+", bytes(gone)))
         r = got[i]
