@@ -59,8 +59,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document in 400-byte strings that occur elsewhere, removed."""
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Bytes of every document in 400-byte strings that occur elsewhere, removed; text: what is left."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +98,8 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest(range(0
 lines AS (SELECT doc_id, source, i, l[i] AS line, regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS lw FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM d))),
 worded AS (SELECT *, array_to_string(lw, ' ') AS norm FROM lines WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
-around AS (SELECT doc_id, source, i, norm, len(lw) AS n, coalesce(lag(norm) OVER p, chr(10)) AS before, coalesce(lead(norm) OVER p, chr(10)) AS after, row_number() OVER (PARTITION BY doc_id, norm ORDER BY i) AS k FROM worded WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
-boiler AS (SELECT source, norm FROM around WHERE k = 1 GROUP BY source, norm HAVING count(*) > {quality.MAX_DOCS} AND 2 * count(DISTINCT before || chr(10) || chr(10) || after) >= count(*)),
-lost AS (SELECT a.doc_id, CAST(sum(a.n) AS BIGINT) AS n FROM around a JOIN boiler b ON b.norm = a.norm AND b.source IS NOT DISTINCT FROM a.source GROUP BY a.doc_id),
+boiler AS (SELECT x.source, x.norm FROM worded x JOIN d USING (doc_id) GROUP BY x.source, x.norm HAVING count(DISTINCT d.text) > {quality.MAX_DOCS}),
+lost AS (SELECT x.doc_id, CAST(sum(len(x.lw)) AS BIGINT) AS n FROM worded x JOIN boiler b ON b.norm = x.norm AND b.source IS NOT DISTINCT FROM x.source GROUP BY x.doc_id),
 m AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_boiler_words
   FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id))
