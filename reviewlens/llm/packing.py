@@ -154,6 +154,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", key: str
                 [*(batch.column(c) for c in names), pa.array(run[:, 4] + within // each), pa.array(run[:, 5] + within % each * length)], names=[*names, "sequence_id", "offset"]
             )
 
-    ranked = placed.join(bases, ["part", "length"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
+    ranked = placed.join(bases.hint("merge"), ["part", "length"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
     kind = docs.schema[key].dataType.simpleString()
     return ranked.mapInArrow(place, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

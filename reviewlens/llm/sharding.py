@@ -115,7 +115,7 @@ def number(rows: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFra
     before = Window.partitionBy(shard).orderBy("__sh_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each partition and shard
     base = written(counts.select("__sh_part", shard, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__sh_base")), "shard-bases")
-    return placed.join(base, ["__sh_part", shard]).select(*columns, (F.col("__sh_base") + F.col("__sh_local")).alias(slot))
+    return placed.join(base.hint("merge"), ["__sh_part", shard]).select(*columns, (F.col("__sh_base") + F.col("__sh_local")).alias(slot))
 
 
 def write_shards(docs: DataFrame, tree: Node, path: str, key: str = "doc_id") -> None:

@@ -15,7 +15,8 @@ the weights, bounded by the sample.
 
 A null or empty text has no words and gets the models' intercepts; documents whose
 label is null, or which aren't in the table, take no part in the fit; labels that
-repeat a key count once (the largest).  If a category has one class only in the
+repeat a key count once (the largest), and so do texts that repeat one (the
+smallest).  If a category has one class only in the
 sample, its probability is that class's everywhere.  An empty table gives no rows.
 """
 
@@ -192,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], text:
 
     # the bounded sample: its keys first, then only their texts
     chosen = marks.join(body.select("k").distinct(), "k").orderBy(F.xxhash64("k"), "k").limit(limit)
-    joined = body.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("k", *[f"y{i}" for i in range(len(categories))], "t")
+    ys = [f"y{i}" for i in range(len(categories))]
+    # ``chosen`` has at most ``limit`` rows of numbers
+    joined = body.join(F.broadcast(chosen), "k").groupBy("k", *ys).agg(F.min("t").alias("t"))
     fields = ", ".join(f"y{i} int" for i in range(len(categories)))
     kind = joined.schema["k"].dataType.simpleString()
     rows = joined.mapInArrow(sets, f"k {kind}, {fields}, w array<bigint>").toArrow().sort_by("k")

@@ -52,7 +52,7 @@ def test_stages_match_brute_force(spark, tmp_path):
     keys = sorted(before)
     raw = [before[k].encode() for k in keys]
     want = {}
-    for k, t, gone in zip(keys, raw, _repeats(raw), strict=True):
+    for k, t, gone in zip(keys, raw, _repeats(raw, corpus_pipeline.PASSAGE_BYTES), strict=True):
         left = bytes(b for b, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
         if left.strip() or not any(gone):
             want[k] = left
