@@ -1,4 +1,13 @@
-"""Five stages that turn raw documents into packed training sequences."""
+"""Five stages that turn raw documents into packed training sequences.
+
+Every stage takes a table with doc_id, text and any other columns and returns the
+same columns in the same order, but for the last, which returns pieces.  For all of
+them: a null text is a text without words (the quality rules reject it), an empty
+table gives an empty table, rows that repeat key and text are treated alike until
+near-dedup leaves one of them, a null key is one more key, very long texts are
+taken whole, and a column of any name passes through, also one that is named like
+a measure of an operator (names that begin with two underscores are helpers').
+"""
 
 from __future__ import annotations
 
@@ -15,38 +24,53 @@ from reviewlens.llm.suffix_dedup import remove_repeats
 #: No SQL: the stages after the first work on hashes of shingles, grams and token ids; tests hold them against brute force.
 ORACLE_SQL = None
 
+#: Bytes of a repeated passage: 50 words of four letters and a blank.
+PASSAGE_BYTES = 250
+
 
 def _with_text(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents' columns; those that a stage left without any text go, n_chars follows the text."""
-    rest = cleaned.where("n_removed = 0 OR trim(BOTH ' \\n\\t\\r' FROM text) <> ''")
+    removed = F.col("__cp_n_removed")
+    rest = cleaned.where((removed == 0) | (F.trim(F.col("text"), F.lit(" \n\t\r")) != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rest = rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rest.select(*docs.columns)
+        rest = rest.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without boilerplate lines."""
+    """Documents that the quality rules keep, without lines that stand in too many documents of a host."""
     return filter_quality(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of windows that occurred before."""
-    return _with_text(dedup_lines(docs), docs)
+    """Documents without the lines of three-line windows that occurred before, in the order of keys.
+
+    Documents of fewer than three lines stay as they are; of rows without a key the
+    text's hash decides which is first.
+    """
+    return _with_text(dedup_lines(docs, prefix="__cp_"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity 0.8 or more)."""
+    """One document of each near-duplicate group (similarity 0.8 or more): that of the smallest key.
+
+    Documents without words stay; of rows with the same key and text one stays.
+    """
     return keep_first(docs, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without 400-byte strings that occur elsewhere."""
-    return _with_text(remove_repeats(docs), docs)
+    """Documents without the passages of ``PASSAGE_BYTES`` bytes or more that occur elsewhere.
+
+    All occurrences go, as they are judged on the stage's input; a character that
+    is covered in part goes whole.
+    """
+    return _with_text(remove_repeats(docs, length=PASSAGE_BYTES, prefix="__cp_"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(docs)
 
 
