@@ -24,8 +24,8 @@ from reviewlens.llm.suffix_dedup import remove_repeats
 #: No SQL: the stages after the first work on hashes of shingles, grams and token ids; tests hold them against brute force.
 ORACLE_SQL = None
 
-#: Bytes of a repeated passage: 50 words of four letters and a blank.
-PASSAGE_BYTES = 250
+#: Bytes of a repeated passage: 50 words have 285 with 4.7 letters and a blank, as in English; the rest is for short words.
+PASSAGE_BYTES = 240
 
 
 def _with_text(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
