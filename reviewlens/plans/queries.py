@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions import stats, urls
 from reviewlens.functions import text as T
 from reviewlens.operators import canary, graph, history, model, report, signals
 from reviewlens.plans.adapters import EDGES, REVIEWS, edges, reviews, table
-from reviewlens.sources import html, jsonpath
+from reviewlens.plans.registry import query
+from reviewlens.sources import jsonpath
 from reviewlens.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- signals -------------------------------------------------------------------------
 
 HIST = f"""{REVIEWS},
@@ -632,11 +615,6 @@ def canary_changes(spark, sf):
     return canary.state_changes(canary.summarise(c.where("check_id % 2 = 0")), canary.summarise(c))
 
 
-@query()
-def page_fields(spark, sf):
-    return html.extract(table(spark, sf, "pages"))
-
-
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages")
 def page_hosts(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -21,8 +19,8 @@ def build_session(name: str = "reviewlens", master: str | None = None, extra: di
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder: the one that the cluster names in spark.checkpoint.dir, a new one only where none is named."""
+    """A checkpoint folder: the one that the cluster names in spark.checkpoint.dir, one in the warehouse only where none is named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")

@@ -159,17 +159,10 @@ def test_jsonpath():
     assert jsonpath.parse("$.a[?(@.n > 3)]") is None
 
 
-def test_html(spark):
-    page = '<html><head><title>T</title></head><body><div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">Kettle</h1></div><script type="application/ld+json">{bad</script></body></html>'
-    got = {r["field"]: r for r in html.extract(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).where("page_id = 1").collect()}
-    assert got["title"]["value"] == "Kettle" and got["title"]["depth"] == 1 and got["rating"]["depth"] is None
-    assert one(spark, canary.field_health(F.col("d"), F.col("n")), d=1, n=4) == "fallback"
-
-
 def test_numbers(spark):
-    cases = [("8,043", "com", 8043.0), ("4,6", "fr", 4.6), ("4.6", "fr", 4.0), ("1,23,456 ratings", "in", 123456.0), ("1,23,456", "com", 1.0), ("x", "com", None), ("5", "nowhere", None)]
+    cases = [("8,043", "com", 8043.0), ("4,6", "fr", 4.6), ("4.6", "fr", 4.0), ("1,23,456 ratings", "in", 123456.0), ("1,23,456", "com", 1.0), ("x", "com", None), ("5", "nowhere", None), ("1.234,5 €", "fr", 1234.5), ("1\u202f234,5", "pl", 1234.5), ("-3.5", "com", -3.5), ("1 234", "com", 1234.0)]
     for raw, locale, want in cases:
-        assert one(spark, urls.number(F.col("r"), F.col("l")), r=raw, l=locale) == want, raw
+        assert one(spark, urls.number(F.col("r"), F.col("l")), r=raw, l=locale) == urls.read_number(raw, locale) == want, raw
 
 
 def test_history(spark):

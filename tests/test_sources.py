@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlens.functions import dates, urls
-from reviewlens.sources import files, html
+from reviewlens.functions import dates
+from reviewlens.sources import files
 
 
 @pytest.mark.parametrize(
@@ -29,11 +29,47 @@ def test_dates(text, locale, want):
     assert dates.read_date(text, locale) == (want and dt.date(*want))
 
 
-def test_relative_dates():
-    today = dt.date(2026, 3, 31)
-    assert dates.relative_date("a month ago", today) == (dt.date(2026, 2, 28), "month")
-    assert dates.relative_date("3 weeks ago", today) == (dt.date(2026, 3, 10), "week")
-    assert dates.relative_date("1001 days ago", today) is None
+@pytest.mark.parametrize(
+    "text, locale, want",
+    [
+        ("3 juil. 2024", "fr", (2024, 7, 3)),
+        ("5 sept. 2024", "es", (2024, 9, 5)),
+        ("Sept 5, 2024", "com", (2024, 9, 5)),
+        ("12 mrt 2024", "nl", (2024, 3, 12)),
+        ("7 października 2023", "pl", (2023, 10, 7)),
+        ("4 août 2022", "ca", (2022, 8, 4)),
+        ("2024-02-29", "nowhere", (2024, 2, 29)),
+        ("on 2024-02-29", "com", None),
+        ("1/2/24", "de", (2024, 2, 1)),
+        ("2024/3/9", "co.jp", (2024, 3, 9)),
+        ("March 2024", "com", None),
+    ],
+)
+def test_more_dates(text, locale, want):
+    assert dates.read_date(text, locale) == (want and dt.date(*want))
+
+
+@pytest.mark.parametrize(
+    "text, locale, want",
+    [
+        ("a month ago", "com", ((2026, 2, 28), "month")),
+        ("3 weeks ago", "com", ((2026, 3, 10), "week")),
+        ("1001 days ago", "com", None),
+        ("12 minutes ago", "com", ((2026, 3, 31), "day")),
+        ("il y a 2 ans", "fr", ((2024, 3, 31), "year")),
+        ("vor einem Tag", "de", ((2026, 3, 30), "day")),
+        ("hace 2 meses", "es", ((2026, 1, 31), "month")),
+        ("rok temu", "pl", ((2025, 3, 31), "year")),
+        ("há 4 dias", "com.br", ((2026, 3, 27), "day")),
+        ("3日前", "co.jp", ((2026, 3, 28), "day")),
+        ("gisteren", "nl", ((2026, 3, 30), "day")),
+        ("2 weeks", "com", None),
+        ("ago", "com", None),
+        ("yesterday", "nowhere", None),
+    ],
+)
+def test_relative_dates(text, locale, want):
+    assert dates.relative_date(text, locale, dt.date(2026, 3, 31)) == (want and (dt.date(*want[0]), want[1]))
 
 
 def test_date_columns(spark):
@@ -74,29 +110,8 @@ def test_vectors_and_snapshots(spark, tmp_path):
     assert len(files.snapshots(spark, root)) == 2 and files.restore(spark, root).count() == 4
 
 
-def test_product_pages(spark):
-    registry = spark.createDataFrame([(0, "shop", "com", "www.shop.com", r"(?i)^/(?:[^/]+/)?dp/([a-z0-9]{4})(?:[/]|$)")], "place int, site string, locale string, host string, pattern string")
-    got = {r["url"]: (r["site"], r["product_id"]) for r in urls.product_pages(spark.createDataFrame([("https://www.shop.com/x/dp/ab12",), ("https://evil.com/dp/ab12",), ("not a url",)], "url string"), registry).collect()}
-    assert got == {"https://www.shop.com/x/dp/ab12": ("shop", "AB12"), "https://evil.com/dp/ab12": (None, None), "not a url": (None, None)}
-
-
 def test_examples(spark, tmp_path):
     path = tmp_path / "e.jsonl"
     path.write_text(json.dumps({"exampleId": "1", "features": {"a": 0.5, "b": None}, "label": 1, "metadata": {}}) + "\n")
     row = files.load_examples(spark, str(path)).first()
     assert row["features"] == {"a": 0.5, "b": None} and row["label"] == 1
-
-
-def test_long_page(spark):
-    links = "".join(f'<p><a href="/{i}">x</a></p>' for i in range(15_000))
-    end = '<script type="application/ld+json">{"@type": "Product", "name": "Kettle", "aggregateRating": {"ratingValue": 4.5}}</script><div><a href="/last">y</a></div>'
-    page = f"<html><body><div>{links}</i></div>{end}</body></html>"
-    got = {r["field"]: r for r in html.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()}
-    assert got["links"]["n_values"] == 15_001
-    assert (got["title"]["value"], got["title"]["depth"], got["rating"]["value"]) == ("Kettle", 0, "4.5")
-
-
-def test_node_budget_of_items():
-    item = "<div itemscope>" + "<b></b>" * (html.MAX_NODES - 2) + '<i itemprop="a">1</i><i itemprop="b">2</i>{}</div>'
-    assert html.microdata(html.tree("<p></p>" * 100 + item.format(""))) == [{"a": "1", "b": "2"}]
-    assert html.microdata(html.tree(item.format('<i itemprop="c">3</i>'))) == [{"a": "1", "b": "2"}]
