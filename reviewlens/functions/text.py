@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import unicodedata
 
 import numpy as np
@@ -21,6 +22,94 @@ def fold_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+class Grams:
+    """Character k-grams of a batch of folded texts as numbers: distinct within each text, sorted.
+
+    Characters are numbered by the batch's own alphabet, so that a gram is one word
+    (a pair of words where the alphabet is too large for that).
+    """
+
+    def __init__(self, texts: list[str], k: int = 5):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.alphabet, code = np.unique(points, return_inverse=True)
+        self.k, self.bits = k, max(1, int(len(self.alphabet)).bit_length())
+        # short texts are one gram of their own length, filled up with zeros
+        counts = np.where(sizes > 0, np.maximum(sizes - k + 1, 1), 0)
+        ends = np.cumsum(sizes)
+        doc = np.repeat(np.arange(len(texts)), counts)
+        first = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + (ends - sizes)[doc]
+        word = 64 // self.bits
+        self.words = -(-k // word)
+        keys = [np.zeros(len(first), np.uint64) for _ in range(self.words)]
+        for i in range(k):
+            inside = first + i < ends[doc]
+            at = np.where(inside, first + i, 0)
+            value = np.where(inside, code[at].astype(np.uint64) + np.uint64(1), np.uint64(0)) if len(code) else keys[0]
+            keys[i // word] |= value << np.uint64(self.bits * (i % word))
+        if self.words == 1:
+            bounds = np.concatenate(([0], np.cumsum(counts))).tolist()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                keys[0][a:b].sort()
+        else:
+            order = np.lexsort((*keys[::-1], doc))
+            keys, doc = [x[order] for x in keys], doc[order]
+        fresh = np.ones(len(doc), np.bool_)
+        fresh[1:] = np.logical_or.reduce([doc[1:] != doc[:-1], *(x[1:] != x[:-1] for x in keys)])
+        self.keys = np.column_stack([x[fresh] for x in keys])
+        self.offsets = np.searchsorted(doc[fresh], np.arange(len(texts) + 1))
+
+    def unique(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the batch's distinct grams (0: none), and the number of each text's grams among them."""
+        keys, inverse = np.unique(self.keys, axis=0, return_inverse=True) if self.words > 1 else np.unique(self.keys[:, 0], return_inverse=True)
+        keys = keys.reshape(len(keys), self.words)
+        table, word, mask = np.append(np.uint32(0), self.alphabet), 64 // self.bits, np.uint64((1 << self.bits) - 1)
+        points = [table[(keys[:, i // word] >> np.uint64(self.bits * (i % word)) & mask).astype(np.int64)] for i in range(self.k)]
+        return np.column_stack(points) if len(keys) else np.zeros((0, self.k), np.uint32), inverse.reshape(-1)
+
+
+def fnv1a64_points(points: np.ndarray) -> np.ndarray:
+    """64-bit FNV-1a of the UTF-8 bytes of rows of code points; zeros at a row's end stand for nothing."""
+    h = np.full(len(points), FNV_BASIS, np.uint64)
+    with np.errstate(over="ignore"):
+        for c in points.T.astype(np.uint64):
+            size = 1 + (c >= 0x80).astype(np.int8) + (c >= 0x800) + (c >= 0x10000)
+            for j in range(4):
+                live = np.flatnonzero((j < size) & (c > 0))
+                shift = 6 * (size[live] - 1 - j).astype(np.uint64)
+                lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint64)[size[live]] if j == 0 else np.uint64(0x80)
+                byte = lead | (c[live] >> shift & np.where(j == 0, np.uint64(0x7F), np.uint64(0x3F)))
+                h[live] = (h[live] ^ byte) * np.uint64(FNV_PRIME)
+    return h
+
+
+@F.pandas_udf(T.LongType())
+def shingle_count(folded: pd.Series) -> pd.Series:
+    """Distinct shingles of folded texts (an empty text has one, itself); null for null."""
+    there = folded.notna().to_numpy()
+    counts = np.diff(Grams(folded[there].tolist()).offsets)
+    out = pd.Series([None] * len(folded), dtype=object)
+    out[there] = np.maximum(counts, 1)
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def shingle_digest(folded: pd.Series) -> pd.Series:
+    """Sum of the first 32 bits of the MD5 of each distinct shingle of folded texts; null for null."""
+    there = folded.notna().to_numpy()
+    texts = folded[there].tolist()
+    grams = Grams(texts)
+    points, inverse = grams.unique()
+    words = ["".join(map(chr, row[row > 0])) for row in points]
+    part = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words], np.int64)
+    total = np.concatenate(([0], np.cumsum(part[inverse] if len(inverse) else np.zeros(0, np.int64))))
+    empty = int(hashlib.md5(b"").hexdigest()[:8], 16)
+    sums = np.where(np.diff(grams.offsets) > 0, total[grams.offsets[1:]] - total[grams.offsets[:-1]], empty)
+    out = pd.Series([None] * len(folded), dtype=object)
+    out[there] = sums
+    return out
+
+
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct character k-grams of the folded text; the text itself if it has at most k characters."""
     t = fold_space(text)
@@ -45,9 +134,13 @@ def tokens(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Tokens, then pairs of neighbours."""
-    t = tokens(text)
-    pairs = F.transform(F.arrays_zip(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))).alias("a"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
-    return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
+
+    def both(t: Column) -> Column:
+        pairs = F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t)), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
+
+    # the lambda binds the tokens, so that they are found once
+    return F.get(F.transform(F.array(tokens(text)), both), 0)
 
 
 def fnv1a64_of(data: bytes) -> int:
@@ -94,6 +187,14 @@ def coefficients(n: int = 128) -> tuple[np.ndarray, np.ndarray]:
     return np.array([max(1, draw("a", i)) for i in range(n)], np.uint64), np.array([draw("b", i) for i in range(n)], np.uint64)
 
 
+def read_coefficients(text: str, most: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) from a JSON list of pairs of decimal strings, for signatures that others must be able to compare."""
+    pairs = [(int(a), int(b)) for a, b in json.loads(text)]
+    if not 0 < len(pairs) <= most or any(not 0 < a < MERSENNE or not 0 <= b < MERSENNE for a, b in pairs):
+        raise ValueError(f"coefficients must be 1 to {most} pairs below 2^61 - 1")
+    return np.array([a for a, _ in pairs], np.uint64), np.array([b for _, b in pairs], np.uint64)
+
+
 def mulmod(a: np.ndarray, h: np.ndarray) -> np.ndarray:
     """a * h mod 2^61 - 1 on unsigned 64-bit words, by halves."""
     low32, m = np.uint64(0xFFFFFFFF), np.uint64(MERSENNE)
@@ -106,9 +207,9 @@ def mulmod(a: np.ndarray, h: np.ndarray) -> np.ndarray:
     return total % m
 
 
-def minhash_of(hashes: np.ndarray, n: int = 128) -> np.ndarray:
-    """MinHash signature of element hashes."""
-    a, b = coefficients(n)
+def minhash_of(hashes: np.ndarray, n: int = 128, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """MinHash signature of element hashes, by ``pairs`` of coefficients or the derived ones."""
+    a, b = coefficients(n) if pairs is None else pairs
     h = hashes % np.uint64(MERSENNE)
     return np.array([((mulmod(np.full_like(h, x), h) + y) % np.uint64(MERSENNE)).min() for x, y in zip(a, b, strict=True)], np.uint64)
 
@@ -122,6 +223,23 @@ def minhash(sets: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def signature(folded: Column, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> Column:
+    """``minhash`` of the shingles of folded texts, without making the shingles; null for null."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(texts: pd.Series) -> pd.Series:
+        there = texts.notna().to_numpy()
+        grams = Grams(texts[there].tolist())
+        points, inverse = grams.unique()
+        hashes = fnv1a64_points(points)
+        own = [hashes[inverse[a:b]] if b > a else np.array([FNV_BASIS], np.uint64) for a, b in zip(grams.offsets[:-1].tolist(), grams.offsets[1:].tolist(), strict=True)]
+        out = pd.Series([None] * len(texts), dtype=object)
+        out[there] = pd.Series([minhash_of(h, pairs=pairs).astype(np.int64) for h in own], index=out.index[there], dtype=object)
+        return out
+
+    return run(folded)
+
+
 def estimated_jaccard(a: Column, b: Column) -> Column:
     """Share of equal places of two signatures."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -186,6 +304,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_each(texts: pd.Series) -> pd.Series:
+    """Unicode normal form KC of each text of an array."""
+    return texts.map(lambda row: None if row is None else [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in row])
+
+
 def category_slug(segment: Column) -> Column:
     """Lower-case letters, digits and marks; runs of anything else become one hyphen."""
     return F.regexp_replace(F.regexp_replace(F.lower(segment), r"[^\p{L}\p{N}\p{M}]+", "-"), "^-+|-+$", "")
@@ -193,7 +317,7 @@ def category_slug(segment: Column) -> Column:
 
 def category_keys(trail: Column) -> Column:
     """Slugs of a breadcrumb, narrowest first, distinct, none empty."""
-    parts = F.transform(F.split(trail, r"[>›»→/|\n]+"), category_slug)
+    parts = F.transform(nfkc_each(F.split(trail, r"[>›»→/|\n]+")), category_slug)
     return F.array_distinct(F.reverse(F.filter(parts, lambda s: s != "")))
 
 

@@ -38,16 +38,21 @@ def rating_histogram(reviews: DataFrame) -> DataFrame:
     return counted.select("listing_id", "n_ratings", *[(F.col(f"c{k}") / F.col("n_ratings")).alias(f"h{k}") for k in range(1, 6)])
 
 
-def rating_deconvolution(histogram: DataFrame, prior: tuple = ORGANIC_PRIOR, kernel: tuple = INJECTION_KERNEL) -> DataFrame:
-    """listing_id, injected_share (least squares, clamped to 0..1) and residual_error (RMSE over the five bins)."""
+def _shape(prior: tuple = ORGANIC_PRIOR, kernel: tuple = INJECTION_KERNEL) -> dict[str, Column]:
+    """Expressions over h1..h5: injected_share, then residual_error."""
     axis = [k - p for p, k in zip(prior, kernel, strict=True)]
     norm = sum(d * d for d in axis)
     seen = [F.col(f"h{i + 1}") - F.lit(p) for i, p in enumerate(prior)]
-    raw = sum((s * F.lit(d) for s, d in zip(seen, axis, strict=True)), F.lit(0.0)) / F.lit(norm) if norm else F.lit(0.0)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
-    out = histogram.select("listing_id", share.alias("injected_share"), *[f"h{k}" for k in range(1, 6)])
-    left = [F.pow(F.col(f"h{i + 1}") - (F.lit(p) + F.col("injected_share") * F.lit(d)), 2) for i, (p, d) in enumerate(zip(prior, axis, strict=True))]
-    return out.select("listing_id", "injected_share", F.sqrt(sum(left, F.lit(0.0)) / 5).alias("residual_error"))
+    raw = sum((s * F.lit(d) for s, d in zip(seen, axis, strict=True)), F.lit(0.0)) / F.lit(norm) if norm else F.col("h1") * 0
+    # least() skips nulls, which a listing without ratings has
+    share = F.when(F.col("h1").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    left = [F.pow(F.col(f"h{i + 1}") - (F.lit(p) + share * F.lit(d)), 2) for i, (p, d) in enumerate(zip(prior, axis, strict=True))]
+    return {"injected_share": share, "residual_error": F.sqrt(sum(left, F.lit(0.0)) / 5)}
+
+
+def rating_deconvolution(histogram: DataFrame, prior: tuple = ORGANIC_PRIOR, kernel: tuple = INJECTION_KERNEL) -> DataFrame:
+    """listing_id, injected_share (least squares, clamped to 0..1) and residual_error (RMSE over the five bins)."""
+    return histogram.select("listing_id", *[e.alias(c) for c, e in _shape(prior, kernel).items()])
 
 
 def daily_counts(reviews: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def distinct_texts(reviews: DataFrame, group: str = "listing_id", text: str = "t
 
 def signatures(texts: DataFrame) -> DataFrame:
     """grp, node, copies, sig of distinct texts.  A text that several groups hold is hashed once."""
-    once = texts.select("text").distinct().withColumn("sig", T.minhash(T.shingles(F.col("text"))))
+    once = texts.select("text").distinct().withColumn("sig", T.signature(F.col("text")))
     return texts.join(once, "text").select("grp", F.sha2("text", 256).alias("node"), "copies", "sig")
 
 
@@ -265,6 +270,41 @@ FEATURES = {
 }
 
 
+def listing_aggregates(marked: DataFrame) -> DataFrame:
+    """All that one pass over the reviews can say of a listing: the columns of the histogram, the minimum-data gate, the lift and the reviewer share.
+
+    marked: reviews with in_burst, and flagged (null: the network wasn't asked).
+    """
+    star = F.when(F.col("rating").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), stats.half_up(F.col("rating")).cast("int"))))
+    known = F.col("verified").isNotNull()
+    inside = known & F.col("in_burst") & (F.col("rating") == 5)
+    named = F.col("reviewer_id").isNotNull()
+    per = marked.withColumn("_day", day()).groupBy("listing_id").agg(
+        F.count("*").alias("n_reviews"),
+        F.count("review_date").alias("n_dated"),
+        F.count("_day").alias("n_timeline"),
+        (F.max("_day") - F.min("_day")).alias("span"),
+        F.count("rating").alias("n_ratings"),
+        *[F.count_if(star == k).alias(f"c{k}") for k in range(1, 6)],
+        F.count_if(inside).alias("base"),
+        F.count_if(inside & ~F.col("verified")).alias("bad"),
+        F.count_if(known).alias("known"),
+        F.count_if(known & ~F.col("verified")).alias("all_bad"),
+        F.count_if(named & F.col("flagged").isNotNull()).alias("identified"),
+        F.count_if(named & F.col("flagged")).alias("flagged_reviews"),
+    )
+    spread = (F.col("n_timeline") < MIN_TIMELINE) | (F.col("span") >= MIN_SPAN_DAYS)
+    return per.select(
+        "listing_id",
+        "n_reviews",
+        ((F.col("n_reviews") >= MIN_REVIEWS) & (F.col("n_dated") >= MIN_DATED) & spread).alias("meets_minimum"),
+        "n_ratings",
+        *[F.when(F.col("n_ratings") > 0, F.col(f"c{k}") / F.col("n_ratings")).alias(f"h{k}") for k in range(1, 6)],
+        F.when((F.col("base") > 0) & (F.col("all_bad") > 0), (F.col("bad") / F.col("base")) / (F.col("all_bad") / F.col("known"))).alias("lift"),
+        F.when(F.col("identified") > 0, F.col("flagged_reviews") / F.col("identified")).alias("flagged_review_share"),
+    )
+
+
 def feature_vectors(reviews: DataFrame, products: DataFrame, flagged: DataFrame | None = None, texts: bool = True) -> DataFrame:
     """listing_id, meets_minimum, n_reviews and the flat features of every listing.
 
@@ -273,10 +313,15 @@ def feature_vectors(reviews: DataFrame, products: DataFrame, flagged: DataFrame
     """
     counts = daily_counts(reviews)
     days = burst_days(counts)
-    out = minimum_data(reviews).select("listing_id", "n_reviews", "meets_minimum")
-    out = out.join(rating_deconvolution(rating_histogram(reviews)), "listing_id", "left")
+    marked = inside_burst(reviews, days)
+    if flagged is None:
+        marked = marked.withColumn("flagged", F.lit(None).cast("boolean"))
+    else:
+        marks = flagged.select(F.col("reviewer_id").alias("_r")).distinct()
+        marked = marked.join(marks, F.col("reviewer_id") == F.col("_r"), "left").withColumn("flagged", F.col("_r").isNotNull()).drop("_r")
+    out = listing_aggregates(marked)
+    out = out.withColumns(_shape()).drop("n_ratings", *[f"h{k}" for k in range(1, 6)])
     out = out.join(burst_features(counts, bursts(days)), "listing_id", "left")
-    out = out.join(verification_lift(inside_burst(reviews, days)).select("listing_id", "lift"), "listing_id", "left")
     if texts:
         out = out.join(near_duplicate_features(reviews), "listing_id", "left")
         out = out.join(off_topic(reviews, products).drop("n_embedded"), "listing_id", "left")
@@ -284,7 +329,5 @@ def feature_vectors(reviews: DataFrame, products: DataFrame, flagged: DataFrame
         once = dated.select("text").distinct().withColumn("v", T.embedding(T.terms(F.col("text")))).where("v IS NOT NULL")
         drift = change_points(dated.join(once, "text").select("listing_id", "day", "review_id", "v"), "listing_id", ["day", "review_id"], "v")
         out = out.join(drift.select("listing_id", "drift_statistic"), "listing_id", "left").withColumn("drift_statistic", F.coalesce("drift_statistic", F.lit(0.0)))
-    if flagged is not None:
-        out = out.join(reviewer_share(reviews, flagged).select("listing_id", "flagged_review_share"), "listing_id", "left")
     missing = [c for c in FEATURES.values() if c not in out.columns]
     return out.select("listing_id", "n_reviews", "meets_minimum", *[F.lit(None).cast("double").alias(c) if c in missing else F.col(c).cast("double").alias(c) for c in FEATURES.values()])

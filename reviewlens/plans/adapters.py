@@ -11,17 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """listing_id, review_id, rating, text, review_date, date_precision, verified, reviewer_id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = docs.count()
-    e = table(spark, sf_dir, "events").withColumn("doc_id", F.pmod("event_id", F.lit(n)))
+def reviews(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """listing_id, review_id, rating, text (if wanted), review_date, date_precision, verified, reviewer_id."""
+    e = table(spark, sf_dir, "events")
+    if text:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        e = e.withColumn("doc_id", F.pmod("event_id", F.lit(docs.count()))).join(docs, "doc_id", "left")
     kind = F.col("event_type")
-    return e.join(docs, "doc_id", "left").select(
+    return e.select(
         F.col("user_id").alias("listing_id"),
         F.col("event_id").alias("review_id"),
         F.when(kind == "error", None).otherwise((1 + F.pmod(F.col("event_id") * 7 + F.col("user_id") * 3, F.lit(5))).cast("double")).alias("rating"),
-        "text",
+        *(["text"] if text else []),
         F.to_date("ts").alias("review_date"),
         F.when(F.col("event_id") % 11 == 0, "month").when(F.col("event_id") % 13 == 0, "day").alias("date_precision"),
         F.when(kind == "purchase", True).when(kind.isin("view", "click"), False).alias("verified"),
@@ -64,3 +65,29 @@ SELECT sha256('c' || CAST(o.o_custkey AS VARCHAR) || 'salt') AS reviewer_hash, s
   CASE l.l_returnflag WHEN 'A' THEN TRUE WHEN 'R' THEN FALSE END AS verified, o.o_orderdate AS received_at
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
 edges_v AS (SELECT * FROM edges_1 UNION ALL SELECT reviewer_hash, product_hash, star_rating, week_bucket, verified, received_at + INTERVAL 1 DAY FROM edges_1 WHERE week_bucket % 5 = 0)"""
+
+
+def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edges`` with rings: customers divisible by 10 review nothing but twelve products with one partner, those that leave 5 do so in fours beside their own reviews."""
+    orders = table(spark, sf_dir, "orders")
+    own = edges(spark, sf_dir).join(_ring_hash(orders.where("o_custkey % 10 = 0")).select("reviewer_hash").distinct(), "reviewer_hash", "left_anti")
+    rings = _ring_hash(orders.where("o_custkey % 5 = 0")).select("reviewer_hash", "ring").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    extra = rings.select(
+        "reviewer_hash",
+        F.sha2(F.concat(F.lit("d"), "ring", F.lit("-"), F.col("j").cast("string"), F.lit("salt")), 256).alias("product_hash"),
+        F.lit(5).alias("star_rating"),
+        F.lit(2800).alias("week_bucket"),
+        F.lit(None).cast("boolean").alias("verified"),
+        F.lit("2024-01-01").cast("timestamp_ntz").cast(own.schema["received_at"].dataType).alias("received_at"),
+    )
+    return own.unionByName(extra)
+
+
+def _ring_hash(orders: DataFrame) -> DataFrame:
+    ring = F.when(F.col("o_custkey") % 10 == 0, F.concat(F.lit("a"), F.floor(F.col("o_custkey") / 20).cast("string"))).otherwise(F.concat(F.lit("b"), F.floor(F.col("o_custkey") / 40).cast("string")))
+    return orders.select(F.sha2(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("salt")), 256).alias("reviewer_hash"), ring.alias("ring"))
+
+
+DENSE = EDGES.replace("edges_v AS", "edges_repeated AS").replace("FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)", "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_custkey % 10 <> 0)") + """,
+rings AS (SELECT DISTINCT sha256('c' || CAST(o_custkey AS VARCHAR) || 'salt') AS reviewer_hash, CASE WHEN o_custkey % 10 = 0 THEN 'a' || CAST(o_custkey // 20 AS VARCHAR) ELSE 'b' || CAST(o_custkey // 40 AS VARCHAR) END AS ring FROM orders WHERE o_custkey % 5 = 0),
+edges_v AS (SELECT * FROM edges_1 UNION ALL SELECT reviewer_hash, sha256('d' || ring || '-' || CAST(j AS VARCHAR) || 'salt'), 5, 2800, NULL, TIMESTAMP '2024-01-01' FROM rings, range(0, 12) t(j))"""

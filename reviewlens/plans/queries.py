@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions import stats, urls
 from reviewlens.functions import text as T
 from reviewlens.operators import canary, graph, history, model, report, signals
-from reviewlens.plans.adapters import EDGES, REVIEWS, edges, reviews, table
+from reviewlens.plans.adapters import DENSE, EDGES, REVIEWS, dense_edges, edges, reviews, table
 from reviewlens.plans.registry import query
 from reviewlens.sources import jsonpath
 from reviewlens.streaming import ingest
@@ -26,7 +26,7 @@ decon AS (SELECT listing_id, injected_share, sqrt(({" + ".join(f"pow(h{i + 1} -
 
 @query(f"WITH {HIST} SELECT * FROM hist")
 def rating_histogram(spark, sf):
-    return signals.rating_histogram(reviews(spark, sf))
+    return signals.rating_histogram(reviews(spark, sf, text=False))
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -35,7 +35,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
 
 @query(f"WITH {DECON} SELECT listing_id, round(injected_share, 9) AS injected_share, round(residual_error, 9) AS residual_error FROM decon")
 def rating_deconvolution(spark, sf):
-    return _rounded(signals.rating_deconvolution(signals.rating_histogram(reviews(spark, sf))), "injected_share", "residual_error")
+    return _rounded(signals.rating_deconvolution(signals.rating_histogram(reviews(spark, sf, text=False))), "injected_share", "residual_error")
 
 
 DAYS = f"""{REVIEWS},
@@ -53,22 +53,22 @@ runs AS (SELECT listing_id, min(day) AS start_day, max(day) AS end_day, sum(n) A
 
 @query(f"WITH {DAYS} SELECT listing_id, day, n FROM counts")
 def daily_counts(spark, sf):
-    return signals.daily_counts(reviews(spark, sf))
+    return signals.daily_counts(reviews(spark, sf, text=False))
 
 
 @query(f"WITH {DAYS} SELECT listing_id, day, n, usual FROM trail WHERE n > 0")
 def trailing_median(spark, sf):
-    return signals.trailing_median(signals.daily_counts(reviews(spark, sf)))
+    return signals.trailing_median(signals.daily_counts(reviews(spark, sf, text=False)))
 
 
 @query(f"WITH {DAYS} SELECT listing_id, day, n FROM flags")
 def burst_days(spark, sf):
-    return signals.burst_days(signals.daily_counts(reviews(spark, sf)))
+    return signals.burst_days(signals.daily_counts(reviews(spark, sf, text=False)))
 
 
 @query(f"WITH {DAYS} SELECT listing_id, start_day, end_day, CAST(review_count AS BIGINT) AS review_count FROM runs")
 def burst_islands(spark, sf):
-    return signals.bursts(signals.burst_days(signals.daily_counts(reviews(spark, sf))))
+    return signals.bursts(signals.burst_days(signals.daily_counts(reviews(spark, sf, text=False))))
 
 
 BURST = f"""{DAYS},
@@ -78,13 +78,13 @@ bf AS (SELECT c.listing_id, coalesce(r.inside, 0) / CAST(c.total AS DOUBLE) AS b
 
 @query(f"WITH {BURST} SELECT listing_id, round(burst_fraction, 9) AS burst_fraction, burst_count, round(largest_burst_share, 9) AS largest_burst_share FROM bf")
 def burst_features(spark, sf):
-    counts = signals.daily_counts(reviews(spark, sf))
+    counts = signals.daily_counts(reviews(spark, sf, text=False))
     return _rounded(signals.burst_features(counts, signals.bursts(signals.burst_days(counts))), "burst_fraction", "largest_burst_share")
 
 
 @query(f"WITH {DAYS} SELECT d.review_id, r.listing_id IS NOT NULL AS in_burst FROM dated d LEFT JOIN runs r ON r.listing_id = d.listing_id AND d.day BETWEEN r.start_day AND r.end_day")
 def inside_burst(spark, sf):
-    r = reviews(spark, sf).drop("text")
+    r = reviews(spark, sf, text=False)
     return signals.inside_burst(r, signals.burst_days(signals.daily_counts(r))).select("review_id", "in_burst")
 
 
@@ -96,7 +96,7 @@ lifts AS (SELECT listing_id, base, CASE WHEN base > 0 AND all_bad > 0 THEN (bad
 
 @query(f"WITH {LIFT} SELECT listing_id, base, round(lift, 9) AS lift FROM lifts")
 def verification_lift(spark, sf):
-    r = reviews(spark, sf).drop("text")
+    r = reviews(spark, sf, text=False)
     return _rounded(signals.verification_lift(signals.inside_burst(r, signals.burst_days(signals.daily_counts(r)))), "lift")
 
 
@@ -106,7 +106,7 @@ GATE = """gate AS (SELECT listing_id, count(*) AS n_reviews, count(review_date)
 
 @query(f"WITH {DAYS}, {GATE} SELECT * FROM gate")
 def minimum_data_gate(spark, sf):
-    return signals.minimum_data(reviews(spark, sf))
+    return signals.minimum_data(reviews(spark, sf, text=False))
 
 
 FLAGGED = "SELECT 'u' || CAST(i AS VARCHAR) AS reviewer_id FROM range(0, 97) t(i) WHERE i % 7 = 0"
@@ -120,7 +120,7 @@ def _flagged_ids(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {REVIEWS}, {SHARE} SELECT * FROM share")
 def reviewer_share(spark, sf):
-    return signals.reviewer_share(reviews(spark, sf).drop("text"), _flagged_ids(spark))
+    return signals.reviewer_share(reviews(spark, sf, text=False), _flagged_ids(spark))
 
 
 FLAT = f"{LIFT}, {DECON.removeprefix(REVIEWS + ',')}, {GATE}, {SHARE}"
@@ -130,7 +130,7 @@ SHORT = ["injected_share", "residual_error", "burst_fraction", "burst_count", "l
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    r = reviews(spark, sf).drop("text")
+    r = reviews(spark, sf, text=False)
     return signals.feature_vectors(r, None, _flagged_ids(spark), texts=False)
 
 
@@ -175,9 +175,12 @@ def score_listings(spark, sf):
     return out.select("listing_id", "status", F.round("probability", 8).alias("probability"), stats.band(F.col("probability")).alias("band"))
 
 
-@query(f"WITH {FLAT}, {VECTOR}, {SCORES} SELECT listing_id, {', '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in DEMO.coefficients).replace(', CASE', ' + CASE')} AS n_imputed FROM scores")
+_MISSING = "[" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in DEMO.coefficients) + "]"
+
+
+@query(f"WITH {FLAT}, {VECTOR}, {SCORES} SELECT listing_id, array_to_string(list_filter({_MISSING}, lambda x: x IS NOT NULL), ',') AS imputed FROM scores")
 def impute_listings(spark, sf):
-    return _scored(spark, sf).select("listing_id", F.size("imputed").alias("n_imputed"))
+    return _scored(spark, sf).select("listing_id", F.array_join("imputed", ",").alias("imputed"))
 
 
 @query(f"WITH {FLAT}, {VECTOR}, {SCORES} SELECT coalesce(['clean', 'mostly-clean', 'mixed', 'doubtful', 'heavily-manipulated'][1 + least(4, CAST(floor(probability * 5) AS INTEGER))], 'none') AS band, count(*) AS n FROM scores GROUP BY 1")
@@ -216,7 +219,7 @@ ranked AS (SELECT r.listing_id, r.rating, row_number() OVER (PARTITION BY r.list
 
 @query(f"WITH {ADJUSTED} SELECT listing_id, count(*) AS n_ratings, round(avg(rating), 9) AS claimed, max(excluded) AS excluded, round(coalesce(avg(rating) FILTER (WHERE k > excluded), avg(rating)), 9) AS adjusted FROM ranked GROUP BY listing_id")
 def adjusted_rating(spark, sf):
-    r = reviews(spark, sf).drop("text")
+    r = reviews(spark, sf, text=False)
     return _rounded(report.adjusted_rating(r, signals.rating_deconvolution(signals.rating_histogram(r))), "claimed", "adjusted")
 
 
@@ -226,7 +229,7 @@ _AX = " + ".join(f"(h{i + 1} - {p}) * {d!r}" for i, (p, d) in enumerate(zip(sign
 
 INTERVAL = f"""WITH {REVIEWS},
 c AS (SELECT listing_id, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE rating <= {k}) AS c{k}" for k in range(1, 6))} FROM reviews_v WHERE rating IS NOT NULL GROUP BY listing_id),
-d AS (SELECT listing_id, b, n, c1, c2, c3, c4, floor(CAST(('0x' || substr(sha256('0:' || listing_id || ':' || b || ':' || i), 1, 13)) AS BIGINT) / 4503599627370496.0 * n) AS place FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, 20)) AS b FROM c))),
+d AS (SELECT listing_id, b, n, c1, c2, c3, c4, floor(CAST(('0x' || substr(sha256('0:' || listing_id || ':' || b || ':' || i), 1, 13)) AS BIGINT) / 4503599627370496.0 * n) AS place FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, {report.RESAMPLES})) AS b FROM c))),
 h AS (SELECT listing_id, b, {", ".join(f"count(*) FILTER (WHERE {_DRAW} = {k}) / CAST(count(*) AS DOUBLE) AS h{k}" for k in range(1, 6))} FROM d GROUP BY listing_id, b),
 s AS (SELECT listing_id, least(1.0, greatest(0.0, ({_AX}) / {sum(d * d for d in AXIS)!r})) AS injected_share FROM h)
 SELECT listing_id, round(quantile_cont(injected_share, 0.25), 9) AS low, round(quantile_cont(injected_share, 0.75), 9) AS high FROM s GROUP BY listing_id"""
@@ -234,19 +237,12 @@ SELECT listing_id, round(quantile_cont(injected_share, 0.25), 9) AS low, round(q
 
 @query(INTERVAL)
 def bootstrap_interval(spark, sf):
-    """20 resamples, as its SQL has."""
-    return _rounded(report.bootstrap_shares(reviews(spark, sf).drop("text"), resamples=20), "low", "high")
-
-
-@query(INTERVAL.replace("range(0, 20)", f"range(0, {report.RESAMPLES})"))
-def bootstrap_interval_whole(spark, sf):
-    """All resamples of the operator's default."""
-    return _rounded(report.bootstrap_shares(reviews(spark, sf).drop("text")), "low", "high")
+    return _rounded(report.bootstrap_shares(reviews(spark, sf, text=False)), "low", "high")
 
 
 @query()
 def listing_reports(spark, sf):
-    r = reviews(spark, sf).drop("text")
+    r = reviews(spark, sf, text=False)
     ratings = report.adjusted_rating(r, signals.rating_deconvolution(signals.rating_histogram(r)))
     return report.report_text(report.reports(model.score(_text_vectors(spark, sf), DEMO), ratings, report.bootstrap_shares(r)))
 
@@ -254,19 +250,23 @@ def listing_reports(spark, sf):
 # -- text ----------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, len(t) AS n_tokens, CASE WHEN len(t) > 1 THEN 2 * len(t) - 1 ELSE len(t) END AS n_terms, coalesce(t[1], '') AS first_token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)""")
+@query("""SELECT doc_id, len(t) AS n_tokens, CASE WHEN len(t) > 1 THEN 2 * len(t) - 1 ELSE len(t) END AS n_terms,
+  md5(array_to_string(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), '|')) AS terms_md5 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)""")
 def tokenize_terms(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"), T.terms(F.col("text")).alias("terms"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size("terms").cast("long").alias("n_terms"), F.coalesce(F.get("t", 0), F.lit("")).alias("first_token"))
+    d = table(spark, sf, "documents").select("doc_id", T.terms(F.col("text")).alias("terms"))
+    n = F.size("terms")
+    return d.select("doc_id", F.when(n > 0, (n + 1) / 2).otherwise(0).cast("long").alias("n_tokens"), n.cast("long").alias("n_terms"), F.md5(F.array_join("terms", "|")).alias("terms_md5"))
 
 
 _FOLD = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
 
-@query(f"""WITH f AS (SELECT doc_id, {_FOLD} AS t FROM documents)
-SELECT doc_id, CAST(CASE WHEN length(t) <= 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, CAST(i AS INTEGER), 5)))) END AS BIGINT) AS n_shingles FROM f""")
+@query(f"""WITH f AS (SELECT doc_id, {_FOLD} AS t FROM documents),
+g AS (SELECT doc_id, CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, CAST(i AS INTEGER), 5))) END AS s FROM f)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(list_sum(list_transform(s, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT))) AS BIGINT) AS digest FROM g""")
 def shingle_sets(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).cast("long").alias("n_shingles"))
+    folded = T.fold_space(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", folded.alias("t")).select("doc_id", T.shingle_count("t").alias("n_shingles"), T.shingle_digest("t").alias("digest"))
 
 
 @query("""SELECT user_id, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split('u' || user_id, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
@@ -276,14 +276,21 @@ def fnv_hashes(spark, sf):
     return u.select("user_id", T.fnv1a64(F.concat(F.lit("u"), F.col("user_id").cast("string"))).cast("string").alias("h"))
 
 
-@query()
+_BYTES = "list_transform(range(0, octet_length(encode(t))), lambda i: CAST('0x' || substr(hex(encode(t)), CAST(2 * i + 1 AS INTEGER), 2) AS HUGEINT))"
+HASHED = f"""tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
+terms AS (SELECT doc_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS t FROM tk),
+hashes AS (SELECT t, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), {_BYTES}), lambda h, b: (CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * 1099511628211) % 18446744073709551616) AS h FROM (SELECT DISTINCT t FROM terms)),
+vec AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h >= 9223372036854775808 THEN -1 ELSE 1 END) AS INTEGER) AS n FROM terms JOIN hashes USING (t) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {HASHED} SELECT doc_id, bucket, n FROM vec")
 def hashed_term_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(T.hashed_terms(T.terms(F.col("text")))).alias("bucket", "n"))
 
 
 @query()
 def minhash_signatures(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.minhash(T.shingles(F.col("text"))).alias("sig"))
+    return table(spark, sf, "documents").select("doc_id", T.signature(T.fold_space(F.col("text"))).alias("sig"))
 
 
 @query()
@@ -291,10 +298,14 @@ def near_dup_features(spark, sf):
     return _rounded(signals.near_duplicate_features(table(spark, sf, "documents"), "source"), "duplicate_review_share", "largest_cluster_share")
 
 
-@query()
+@query(f"""WITH {HASHED}, norms AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM vec GROUP BY doc_id),
+r AS (SELECT user_id AS listing_id, event_id % (SELECT count(*) FROM documents) AS doc_id, count(*) AS m FROM events GROUP BY 1, 2),
+d AS (SELECT r.listing_id, r.doc_id, any_value(r.m) AS m, CAST(sum(a.n * coalesce(b.n, 0)) AS BIGINT) AS dot FROM r JOIN vec a ON a.doc_id = r.doc_id LEFT JOIN vec b ON b.doc_id = r.listing_id AND b.bucket = a.bucket GROUP BY 1, 2),
+x AS (SELECT d.*, y.norm AS nr, p.norm AS np FROM d JOIN norms y ON y.doc_id = d.doc_id JOIN norms p ON p.doc_id = d.listing_id WHERE y.norm > 0)
+SELECT listing_id, CAST(sum(m) AS BIGINT) AS n_embedded, CASE WHEN max(np) > 0 THEN sum(CASE WHEN dot <= 0 THEN m ELSE 0 END) / CAST(sum(m) AS DOUBLE) END AS off_topic_share, round(sum(m * (1 - dot / (nr * np))) / sum(m), 9) AS mean_distance FROM x GROUP BY listing_id""")
 def off_topic_share(spark, sf):
     r = reviews(spark, sf).select("listing_id", "review_id", "text")
-    return signals.off_topic(r, _products(spark, sf))
+    return _rounded(signals.off_topic(r, _products(spark, sf)), "mean_distance")
 
 
 @query("""WITH o AS (SELECT label, vec_id, embedding AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
@@ -307,10 +318,10 @@ def change_point(spark, sf):
     return out.where("n >= 12").select("label", "n", F.round("drift_statistic", 6).alias("drift_statistic"))
 
 
-@query("""SELECT p_partkey, (list_filter(list_reverse(list_transform(string_split_regex(r_name || ' > ' || n_name || ' > ' || p_brand, '[>›»→/|\\n]+'), lambda s: regexp_replace(regexp_replace(lower(s), '[^\\p{L}\\p{N}\\p{M}]+', '-', 'g'), '^-+|-+$', '', 'g'))), lambda s: s <> ''))[1] AS narrowest
+@query("""SELECT p_partkey, array_to_string(list_filter(list_reverse(list_transform(string_split_regex(r_name || ' > ' || n_name || ' > ' || p_brand, '[>›»→/|\\n]+'), lambda s: regexp_replace(regexp_replace(lower(s), '[^\\p{L}\\p{N}\\p{M}]+', '-', 'g'), '^-+|-+$', '', 'g'))), lambda s: s <> ''), '|') AS keys
 FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey""")
 def category_keys(spark, sf):
-    return _trails(spark, sf).select("p_partkey", F.get("keys", 0).alias("narrowest"))
+    return _trails(spark, sf).select("p_partkey", F.array_join("keys", "|").alias("keys"))
 
 
 def _trails(spark: SparkSession, sf: str) -> DataFrame:
@@ -364,7 +375,7 @@ def reviewer_projection(spark, sf):
     return _rounded(_projected(spark, sf).select("a", "b", "overlap", "weight"), "weight", digits=6)
 
 
-BACKBONE = f"""{PROJECT},
+BACKBONE = f"""{PROJECT.replace(EDGES, DENSE)},
 nodes AS (SELECT node, sum(weight) AS s, count(*) AS k FROM (SELECT a AS node, weight FROM proj UNION ALL SELECT b, weight FROM proj) GROUP BY node),
 bone AS (SELECT p.a, p.b, p.weight FROM proj p JOIN nodes x ON x.node = p.a JOIN nodes y ON y.node = p.b
   WHERE least(CASE WHEN x.k <= 1 THEN 0 ELSE pow(1 - p.weight / x.s, x.k - 1) END, CASE WHEN y.k <= 1 THEN 0 ELSE pow(1 - p.weight / y.s, y.k - 1) END) < 0.05)"""
@@ -372,29 +383,57 @@ bone AS (SELECT p.a, p.b, p.weight FROM proj p JOIN nodes x ON x.node = p.a JOIN
 
 @query(f"WITH {BACKBONE} SELECT a, b, round(weight, 6) AS weight FROM bone")
 def disparity_backbone(spark, sf):
-    return _rounded(graph.backbone(_projected(spark, sf)), "weight", digits=6)
+    return _rounded(_backbone(spark, sf), "weight", digits=6)
+
+
+def _backbone(spark: SparkSession, sf: str) -> DataFrame:
+    kept, _ = graph.sanitise(dense_edges(spark, sf))
+    return graph.backbone(graph.project(kept))
+
 
+COMPONENTS = f"""{BACKBONE}, both_ AS (SELECT a, b FROM bone UNION SELECT b, a FROM bone), reach AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, e.b FROM reach r JOIN both_ e ON e.a = r.seen), comps AS (SELECT node, min(seen) AS comp FROM reach GROUP BY node)"""
 
-@query(f"WITH RECURSIVE {BACKBONE}, both_ AS (SELECT a, b FROM bone UNION SELECT b, a FROM bone), reach AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, e.b FROM reach r JOIN both_ e ON e.a = r.seen) SELECT node, min(seen) AS comp FROM reach GROUP BY node")
+
+@query(f"WITH RECURSIVE {COMPONENTS} SELECT node, comp FROM comps")
 def communities_cc(spark, sf):
-    return graph.connected(graph.backbone(_projected(spark, sf)).select("a", "b"))
+    return graph.connected(_backbone(spark, sf).select("a", "b"))
 
 
 @query()
 def communities_modularity(spark, sf):
-    return graph.communities(graph.backbone(_projected(spark, sf)))
+    return graph.communities(_backbone(spark, sf))
 
 
-@query()
+def _scored_communities(spark: SparkSession, sf: str) -> DataFrame:
+    kept, _ = graph.sanitise(dense_edges(spark, sf))
+    links = graph.backbone(graph.project(kept))
+    return graph.score_communities(graph.connected(links.select("a", "b")).select("node", F.col("comp").alias("community")), links, kept)
+
+
+SCORED = f"""{COMPONENTS}, sizes AS (SELECT comp, count(*) AS n FROM comps GROUP BY comp),
+inner_ AS (SELECT x.comp, count(*) AS links FROM bone JOIN comps x ON x.node = a GROUP BY x.comp),
+own AS (SELECT comp, count(star_rating) AS m, stddev_pop(star_rating) AS sd, max(week_bucket) - min(week_bucket) AS weeks FROM clean JOIN comps ON node = reviewer_hash GROUP BY comp),
+parts AS (SELECT s.comp AS community, s.n, CASE WHEN s.n < 2 THEN 0.0 ELSE coalesce(links, 0) / (s.n * (s.n - 1) / 2.0) END AS density, CASE WHEN coalesce(m, 0) < 2 THEN 0.0 ELSE greatest(0.0, 1 - sd / 2) END AS homogeneity, CASE WHEN coalesce(m, 0) < 2 THEN 0.0 ELSE greatest(0.0, 1 - weeks * 7 / 365.0) END AS clustering
+  FROM sizes s LEFT JOIN inner_ i USING (comp) LEFT JOIN own o USING (comp))"""
+
+
+@query(f"WITH RECURSIVE {SCORED} SELECT community, n, round(density, 9) AS density, round(homogeneity, 9) AS homogeneity, round(clustering, 9) AS clustering, round((density + homogeneity + clustering) / 4, 9) AS combined, (density + homogeneity + clustering) / 4 >= 0.6 AS flagged FROM parts")
+def community_scores(spark, sf):
+    """Scores of the backbone's connected components."""
+    return _rounded(_scored_communities(spark, sf).drop("incoherence"), "density", "homogeneity", "clustering", "combined")
+
+
+@query(f"WITH RECURSIVE {SCORED} SELECT node AS reviewer_hash FROM comps JOIN parts ON community = comp WHERE (density + homogeneity + clustering) / 4 >= 0.6")
 def flagged_hashes(spark, sf):
-    return graph.flagged_reviewers(edges(spark, sf))
+    """Rings of two are components of their own, which are their communities; no larger component is dense and alike enough to be flagged."""
+    return graph.flagged_reviewers(dense_edges(spark, sf))
 
 
-@query(f"WITH {EDGES}, f AS (SELECT DISTINCT reviewer_hash FROM edges_v WHERE substr(reviewer_hash, 1, 1) IN ('0', '7')), p AS (SELECT DISTINCT substr(sha256(CAST(i AS VARCHAR)), 1, 4) AS prefix FROM range(0, 32) t(i) UNION SELECT min(substr(reviewer_hash, 1, 4)) FROM f) SELECT p.prefix, count(f.reviewer_hash) AS n FROM p LEFT JOIN f ON substr(f.reviewer_hash, 1, 4) = p.prefix GROUP BY p.prefix")
+@query(f"WITH {EDGES}, f AS (SELECT DISTINCT reviewer_hash FROM edges_v WHERE substr(reviewer_hash, 1, 1) IN ('0', '7')), p AS (SELECT DISTINCT substr(sha256(CAST(i AS VARCHAR)), 1, 4) AS prefix FROM range(0, 32) t(i) UNION SELECT min(substr(reviewer_hash, 1, 4)) FROM f) SELECT p.prefix, coalesce(string_agg(f.reviewer_hash, ',' ORDER BY f.reviewer_hash), '') AS hashes FROM p LEFT JOIN f ON substr(f.reviewer_hash, 1, 4) = p.prefix GROUP BY p.prefix")
 def prefix_lookup(spark, sf):
     flags = edges(spark, sf).select("reviewer_hash").distinct().where("substring(reviewer_hash, 1, 1) IN ('0', '7')")
     asked = spark.range(32).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 4).alias("prefix")).union(flags.agg(F.min(F.substring("reviewer_hash", 1, 4))))
-    return graph.prefix_lookup(flags, asked).select("prefix", F.size("hashes").cast("long").alias("n"))
+    return graph.prefix_lookup(flags, asked).select("prefix", F.array_join("hashes", ",").alias("hashes"))
 
 
 # -- model ---------------------------------------------------------------------------
@@ -469,15 +508,22 @@ def train_test_split(spark, sf):
     return model.split(table(spark, sf, "labels").select("doc_id"), 0.2, 3, "doc_id")
 
 
-@query()
+# the pooled value at a place is the largest over its starts of the least mean to any end
+@query(f"""WITH {LABELLED}, per AS (SELECT probability AS x, sum(label) AS s, count(*) AS n, row_number() OVER (ORDER BY probability) AS i FROM lab GROUP BY probability),
+run AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn FROM per),
+means AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM run a JOIN run b ON b.i >= a.i),
+low AS (SELECT p.i, m.j, min(m.m) AS m FROM per p JOIN means m ON m.j <= p.i AND m.k >= p.i GROUP BY p.i, m.j)
+SELECT p.x, round(max(l.m), 9) AS y FROM per p JOIN low l USING (i) GROUP BY p.x""")
 def isotonic_fit(spark, sf):
     points = model.isotonic_table(_labelled(spark, sf), "probability")
-    return spark.createDataFrame(points, "x double, y double")
+    return _rounded(spark.createDataFrame(points, "x double, y double"), "y")
 
 
-@query()
+@query(f"""WITH {CURVE}, p AS (SELECT threshold, precision, recall FROM curve WHERE recall > 0.5 ORDER BY precision DESC, recall DESC, threshold DESC LIMIT 1),
+b AS (SELECT least(9, CAST(trunc(probability * 10) AS INTEGER)) AS bin, count(*) AS n, avg(probability) AS p, avg(label) AS s FROM lab GROUP BY 1), e AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(n * abs(p - s)) / sum(n) AS ece FROM b)
+SELECT threshold, precision, recall, round(ece, 9) AS ece, n, CAST((CASE WHEN threshold IS NULL THEN 1 ELSE 0 END) + (CASE WHEN precision <= 0.8 THEN 1 ELSE 0 END) + (CASE WHEN ece >= 0.05 THEN 1 ELSE 0 END) AS INTEGER) AS n_problems FROM e LEFT JOIN p ON true""")
 def acceptance(spark, sf):
-    return model.acceptance(_labelled(spark, sf))
+    return _rounded(model.acceptance(_labelled(spark, sf)), "ece").withColumn("n_problems", F.size("problems")).drop("problems")
 
 
 @query()
@@ -492,7 +538,7 @@ PRIORS = f"""{HIST}, trails AS (SELECT listing_id, unnest([lower(n_name), lower(
 
 @query(f"WITH {PRIORS}, a AS (SELECT t.key, h.* FROM hist h JOIN trails t USING (listing_id) UNION ALL SELECT NULL, h.* FROM hist h) SELECT key, count(*) AS listings, CAST(sum(n_ratings) AS BIGINT) AS reviews, {', '.join(f'round(avg(h{k}), 9) AS h{k}' for k in range(1, 6))}, count(*) < 5 OR sum(n_ratings) < 500 AS thin FROM a GROUP BY key")
 def priors_fit(spark, sf):
-    h = signals.rating_histogram(reviews(spark, sf).drop("text"))
+    h = signals.rating_histogram(reviews(spark, sf, text=False))
     geo = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     keys = h.join(geo, F.col("n_nationkey") == F.col("listing_id") % 25).select("listing_id", F.array(F.lower("n_name"), F.lower("r_name")).alias("keys"))
     return _rounded(model.fit_priors(h, keys), *[f"h{k}" for k in range(1, 6)])
@@ -553,9 +599,9 @@ def history_search(spark, sf):
     return history.search(_entries(spark, sf), "E 1", "mixed").select("id")
 
 
-@query(f"WITH {ENTRIES} SELECT id, strftime(ts_, '%Y-%m-%d %H:%M:%S') || ',' || CASE WHEN title LIKE '=%' THEN '''' || title ELSE title END || ',' || band AS line FROM entries")
+@query(f"WITH {ENTRIES} SELECT id, strftime(ts_, '%Y-%m-%d %H:%M:%S') || ',' || CASE WHEN title LIKE '=%' THEN '''' || title ELSE title END || ',' || band || ',' || CAST(CAST(claimed AS DOUBLE) AS VARCHAR) || ',' || coalesce(CAST(CAST(adjusted AS DOUBLE) AS VARCHAR), '') AS line FROM entries")
 def history_csv(spark, sf):
-    return history.csv_lines(_entries(spark, sf)).select("id", F.array_join(F.slice(F.split("line", ","), 1, 3), ",").alias("line"))
+    return history.csv_lines(_entries(spark, sf)).select("id", "line")
 
 
 @query(f"""WITH {REVIEWS}, k AS (SELECT *, sha256(CASE WHEN reviewer_id IS NOT NULL AND review_date IS NOT NULL THEN 'id|' || reviewer_id || '|' || review_date ELSE 'body|' || coalesce(CAST(CAST(rating AS DECIMAL(2, 1)) AS VARCHAR), 'null') || '|' || coalesce(text, 'null') END) AS key FROM reviews_v),
@@ -566,11 +612,18 @@ def merged_reviews(spark, sf):
     return history.merge_reviews(r.where("review_id % 3 = 0"), r.where("review_id % 3 <> 0")).select("review_id", "listing_id")
 
 
-@query(f"""WITH {ENTRIES}, o AS (SELECT product_key, first(band ORDER BY ts_, id) AS b_band, last(band ORDER BY ts_, id) AS l_band, first(claimed ORDER BY ts_, id) AS b_rating, last(claimed ORDER BY ts_, id) AS l_rating FROM entries WHERE product_key IS NOT NULL GROUP BY product_key)
-SELECT product_key, CAST(CASE WHEN b_band <> l_band THEN 1 ELSE 0 END + CASE WHEN abs(l_rating - b_rating) >= 0.2 - 1e-9 THEN 1 ELSE 0 END AS INTEGER) AS n_changes FROM o""")
+_WATCHED = {"band": "band", "rating": "claimed", "reviews": "id % 400", "burst": "(id % 11) / 10.0", "drift": "(id % 13) / 12.0"}
+_ENDS = ", ".join(f"first({c} ORDER BY ts_, id) AS b_{k}, last({c} ORDER BY ts_, id) AS l_{k}" for k, c in _WATCHED.items())
+
+
+@query(f"""WITH {ENTRIES}, o AS (SELECT product_key, {_ENDS} FROM entries WHERE product_key IS NOT NULL GROUP BY product_key)
+SELECT product_key, array_to_string(list_filter([CASE WHEN b_band <> l_band THEN 'band ' || b_band || ' ' || l_band END, CASE WHEN abs(l_rating - b_rating) >= 0.2 - 1e-9 THEN 'rating' END,
+  CASE WHEN abs(l_reviews - b_reviews) >= greatest(50, b_reviews * 0.25) THEN 'reviews' END, CASE WHEN l_burst - b_burst >= 0.1 - 1e-9 THEN 'burst' END, CASE WHEN b_drift < 0.5 AND l_drift >= 0.5 THEN 'drift' END], lambda x: x IS NOT NULL), ',') AS changes FROM o""")
 def watch_changes(spark, sf):
-    readings = _entries(spark, sf).where("product_key IS NOT NULL").select("product_key", "at", "id", "band", F.col("claimed").alias("rating"), *[F.lit(None).cast("double").alias(c) for c in ("reviews", "burst", "drift")])
-    return history.watch_changes(history.watch_state(readings)).select("product_key", F.size("changes").alias("n_changes"))
+    extra = {"reviews": (F.col("id") % 400).cast("double"), "burst": (F.col("id") % 11) / 10.0, "drift": (F.col("id") % 13) / 12.0}
+    readings = _entries(spark, sf).where("product_key IS NOT NULL").select("product_key", "at", "id", "band", F.col("claimed").alias("rating"), *[c.alias(n) for n, c in extra.items()])
+    told = F.transform("changes", lambda c: F.when(c["kind"] == "band", F.concat_ws(" ", c["kind"], c["from"], c["to"])).otherwise(c["kind"]))
+    return history.watch_changes(history.watch_state(readings)).select("product_key", F.array_join(told, ",").alias("changes"))
 
 
 @query("""WITH p AS (SELECT l_orderkey AS listing_id, l_linenumber AS page, l_partkey % 7 AS key FROM lineitem),
@@ -625,24 +678,50 @@ def week_buckets(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", urls.week_bucket(F.to_date("l_shipdate")).alias("week"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
+#: Paths over {"a": [props, {"@type": ["P", "Q"], "k": id % 9}], "k": id}, and what they give in SQL.
+_PATHS = {
+    "$.k": "id",
+    "$['a'][0].k": "k",
+    "$.a[-1].k": "n",
+    "$.a[*].k": "k || ',' || n",
+    "$..k": "id || ',' || k || ',' || n",
+    "$.a[?(@.@type=='P')].k": "n",
+    "$.a[?(@.@type!='Q')].k": "k",
+    "$.a[?(@.k==7)].k": "array_to_string(list_filter([k, n], lambda x: x = '7'), ',')",
+    "$..[?(@.@type=='Q')].k": "n",
+    "$.none": "''",
+}
+
+
+@query(f"WITH e AS (SELECT event_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id % 9 AS VARCHAR) AS n, json_extract_string(props, '$.k') AS k FROM events) SELECT event_id, {', '.join(f'{sql} AS p{i}' for i, sql in enumerate(_PATHS.values()))} FROM e")
 def json_paths(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get(jsonpath.json_path(F.col("props"), "$.k"), 0).alias("k"))
+    document = F.concat(F.lit('{"a": ['), "props", F.lit(', {"@type": ["P", "Q"], "k": '), (F.col("event_id") % 9).cast("string"), F.lit('}], "k": '), F.col("event_id").cast("string"), F.lit("}"))
+    e = table(spark, sf, "events").select("event_id", document.alias("d"))
+    return e.select("event_id", *[F.array_join(jsonpath.json_path(F.col("d"), path), ",").alias(f"p{i}") for i, path in enumerate(_PATHS)])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT 'o' || (user_id % 5) AS origin, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT origin, tm, i, true AS allowed, [tm] AS hits FROM e WHERE i = 1
+  UNION ALL SELECT origin, tm, i, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, tm) ELSE live END FROM (SELECT e.origin, e.tm, e.i, list_filter(s.hits, lambda h: h > e.tm - 3600.0) AS live FROM s JOIN e ON e.origin = s.origin AND e.i = s.i + 1))
+SELECT origin, tm AS "at", allowed FROM s""")
 def rate_limited(spark, sf):
     e = table(spark, sf, "events").select(F.concat(F.lit("o"), (F.col("user_id") % 5).cast("string")).alias("origin"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     return ingest.limit_rate(e.withColumn("at", F.col("at") / 1e6), 3, 3600.0)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type AS service, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT service, tm, i, true AS allowed, CAST(4.0 AS DOUBLE) AS tokens FROM e WHERE i = 1
+  UNION ALL SELECT service, tm, i, held >= 1, held - CASE WHEN held >= 1 THEN 1 ELSE 0 END FROM (SELECT e.service, e.tm, e.i, least(5.0, s.tokens + (e.tm - s.tm) * 0.0005) AS held FROM s JOIN e ON e.service = s.service AND e.i = s.i + 1))
+SELECT service, tm AS "at", allowed FROM s""")
 def token_bucket(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("service"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return ingest.token_bucket(e, 0.0005, 5.0)
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT o_custkey % 100 AS queue, o_orderkey AS id, CAST(1000 + o_orderkey * 37 % 997 AS INTEGER) AS size, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS i FROM orders),
+s AS (SELECT queue, id, size, i, CAST(0 AS BIGINT) AS batch, 1 AS n, size AS total FROM q WHERE i = 1
+  UNION ALL SELECT q.queue, q.id, q.size, q.i, s.batch + CASE WHEN s.n + 1 > 50 OR s.total + q.size > 40000 THEN 1 ELSE 0 END, CASE WHEN s.n + 1 > 50 OR s.total + q.size > 40000 THEN 1 ELSE s.n + 1 END, CASE WHEN s.n + 1 > 50 OR s.total + q.size > 40000 THEN q.size ELSE s.total + q.size END FROM s JOIN q ON q.queue = s.queue AND q.i = s.i + 1)
+SELECT queue, id, size, batch FROM s""")
 def queue_batches(spark, sf):
-    q = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("queue"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.length("l_returnflag") * 1000 + F.col("l_partkey") % 997).cast("int").alias("size"))
+    q = table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("queue"), F.col("o_orderkey").alias("id"), (1000 + F.col("o_orderkey") * 37 % 997).cast("int").alias("size"))
     return history.batches(q, "queue", "id", "size", 50, 40_000)

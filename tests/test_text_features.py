@@ -116,7 +116,7 @@ def _interval(rows, listing, resamples=200):
 def test_intervals_of_200_resamples(spark, folder):
     path, _, rows = folder
     queries = __spark_entry__.queries()
-    got = {r["listing_id"]: (r["low"], r["high"]) for r in queries["bootstrap_interval_whole"](spark, path).collect()}
+    got = {r["listing_id"]: (r["low"], r["high"]) for r in queries["bootstrap_interval"](spark, path).collect()}
     documents = {r["listing_id"]: json.loads(r["document"]) for r in queries["listing_reports"](spark, path).collect()}
     assert sorted(got) == [0, 1, 7, 50]
     for k, interval in got.items():
