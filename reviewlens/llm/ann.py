@@ -10,10 +10,12 @@ by the correction scalar it estimates the inner product of the vectors, and with
 high probability bounds the error.
 
 1. Every vector is encoded once.
-2. Blocks of codes meet blocks of the stated query set.  A block returns, for each
-   query, the vectors whose lower bound isn't above the k-th smallest upper bound.
-3. The k-th smallest upper bound over all blocks cuts that down again.
-4. Only what is left is measured exactly, on the original vectors, and ranked.
+2. Blocks of codes meet blocks of the stated query set; a block returns, for each
+   query, the ``FIRST`` x k vectors with the smallest estimates.
+3. The best estimates of all blocks are measured exactly; the k-th smallest distance
+   is a limit that the k nearest cannot exceed.
+4. The blocks meet again and return all vectors whose lower bound isn't above the
+   limit.  Only those are measured exactly, on the original vectors, and ranked.
 
 Blocks bound memory: ``BASE_BLOCK`` codes and ``QUERY_BLOCK`` queries at once; the
 vectors themselves move only for what is left to measure.  Vectors that are null,
@@ -43,6 +45,8 @@ EPSILON = 3.0
 CODE_BITS = 512
 #: Bits to which a query's rotated components are rounded.
 PLANES = 4
+#: Times k: estimates that are measured for the limit.
+FIRST = 3
 #: Pairs that are estimated at once.
 CELLS = 1 << 17
 
@@ -100,18 +104,24 @@ class Codes:
         return middle - error, middle + error
 
 
-def survivors(query_ids: np.ndarray, queries: np.ndarray, base_ids: np.ndarray, codes: Codes, mean: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query place, code place, lower and upper bound of what may be among each query's k nearest of the block."""
+def chosen(query_ids: np.ndarray, queries: np.ndarray, base_ids: np.ndarray, codes: Codes, mean: np.ndarray, turn: np.ndarray, few: int, limits: np.ndarray | None = None, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query place, code place and estimate: of the ``few`` smallest estimates of each query or, with limits, of all whose lower bound isn't above the query's limit (a squared distance)."""
     out = []
     step = max(1, CELLS // max(1, len(base_ids)))
     for a in range(0, len(queries), step):
         low, high = codes.bounds(queries[a : a + step], mean, turn, epsilon)
         own = query_ids[a : a + step, None] == base_ids[None, :]
-        low[own], high[own] = np.inf, np.inf
-        few = min(k, len(base_ids))
-        limit = np.partition(high, few - 1, axis=1)[:, few - 1]
-        q, b = np.nonzero((low <= limit[:, None]) & ~own)
-        out.append((q + a, b, low[q, b], high[q, b]))
+        middle = (low + high) / 2
+        if limits is None:
+            middle[own] = np.inf
+            best = np.argpartition(middle, min(few, len(base_ids)) - 1, axis=1)[:, :few]
+            q = np.repeat(np.arange(len(middle)), best.shape[1])
+            b = best.ravel()
+            there = ~own[q, b]
+            q, b = q[there], b[there]
+        else:
+            q, b = np.nonzero((low <= limits[a : a + step, None]) & ~own)
+        out.append((q + a, b, middle[q, b]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -174,25 +184,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     base_parts, query_parts = max(1, -(-base.count() // base_block)), max(1, -(-asked.count() // query_block))
     spread = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     left = codes.select("*", spread(base_parts).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("h"))
-    right = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(base_parts - 1))).alias("g"), spread(query_parts).alias("h"))
-
-    def block(code_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(code_rows) or not len(query_rows):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)})
-        dim = int(code_rows["dim"].iloc[0])
-        words = np.frombuffer(b"".join(code_rows["code"]), np.uint64).reshape(len(code_rows), -1)
-        coded = Codes(words, code_rows["norm"].to_numpy(), code_rows["own"].to_numpy())
-        query_ids, base_ids = query_rows["id"].to_numpy(np.int64), code_rows["id"].to_numpy(np.int64)
-        q, b, low, high = survivors(query_ids, np.stack(query_rows["v"].to_numpy()), base_ids, coded, centre.get(dim, np.zeros(dim)), rotation(dim), k, epsilon)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": base_ids[b], "low": low, "high": high})
-
-    found = written(left.groupBy("g", "h", "dim").cogroup(right.groupBy("g", "h", "dim")).applyInPandas(block, "query_id long, vec_id long, low double, high double"), "within-bounds")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("high", "vec_id"))
-    limits = found.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.max("high").alias("limit"), F.count("*").alias("n"))
-    kept = found.join(limits.hint("merge"), "query_id").where((F.col("n") < k) | (F.col("low") <= F.col("limit"))).select("query_id", "vec_id")
-    measured = kept.join(base.select(F.col("id").alias("vec_id"), F.col("v").alias("bv")).hint("merge"), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")).hint("merge"), "query_id")
-    squared = F.aggregate(F.zip_with("qv", "bv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
-    scored = written(measured.select("query_id", "vec_id", F.sqrt(squared).alias("score")), "distances")
-    drop(base, asked, codes, found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def meet(limited: DataFrame) -> DataFrame:
+        """query_id, vec_id, estimate of what the blocks return for queries id, dim, v, limit (null: the smallest estimates)."""
+        right = limited.select("*", F.explode(F.sequence(F.lit(0), F.lit(base_parts - 1))).alias("g"), spread(query_parts).alias("h"))
+
+        def block(code_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(code_rows) or not len(query_rows):
+                return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "estimate": np.zeros(0)})
+            dim = int(code_rows["dim"].iloc[0])
+            words = np.frombuffer(b"".join(code_rows["code"]), np.uint64).reshape(len(code_rows), -1)
+            coded = Codes(words, code_rows["norm"].to_numpy(), code_rows["own"].to_numpy())
+            query_ids, base_ids = query_rows["id"].to_numpy(np.int64), code_rows["id"].to_numpy(np.int64)
+            limits = query_rows["limit"].to_numpy(float)
+            first = np.isnan(limits).all()
+            q, b, estimate = chosen(query_ids, np.stack(query_rows["v"].to_numpy()), base_ids, coded, centre.get(dim, np.zeros(dim)), rotation(dim), FIRST * k, None if first else limits, epsilon)
+            return pd.DataFrame({"query_id": query_ids[q], "vec_id": base_ids[b], "estimate": estimate})
+
+        return left.groupBy("g", "h", "dim").cogroup(right.groupBy("g", "h", "dim")).applyInPandas(block, "query_id long, vec_id long, estimate double")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """query_id, vec_id and score of pairs."""
+        both = pairs.select("query_id", "vec_id").join(base.select(F.col("id").alias("vec_id"), F.col("v").alias("bv")).hint("merge"), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")).hint("merge"), "query_id")
+        squared = F.aggregate(F.zip_with("qv", "bv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
+        return both.select("query_id", "vec_id", F.sqrt(squared).alias("score"))
+
+    by = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    best = written(meet(asked.withColumn("limit", F.lit(None).cast("double"))), "best-estimates")
+    first = written(measured(best.withColumn("place", by("estimate", "vec_id")).where(F.col("place") <= FIRST * k)), "first-distances")
+    limits = first.withColumn("place", by("score", "vec_id")).where(F.col("place") <= k).groupBy("query_id").agg(F.max("score").alias("far"), F.count("*").alias("n"))
+    # fewer than k: all there are; a little more than the limit for rounding
+    limits = limits.select(F.col("query_id").alias("id"), F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("far") * F.col("far") * (1 + 1e-9)).alias("limit"))
+    limited = asked.join(limits.hint("merge"), "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    rest = meet(limited).select("query_id", "vec_id").join(first.select("query_id", "vec_id").hint("merge"), ["query_id", "vec_id"], "left_anti")
+    scored = written(first.unionByName(measured(rest)), "distances")
+    drop(base, asked, codes, best, first)
+    return scored.withColumn("rank", by("score", "vec_id")).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -93,12 +93,14 @@ def test_bounds_hold():
     true = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
     assert np.mean((low <= true) & (true <= high)) > 0.995
     assert np.mean(high - low) < 0.5 * np.mean(true)
-    ids = np.arange(3000)
-    hits = 0
-    places, found, _, _ = ann.survivors(np.arange(5000, 5040), q, ids, codes, mean, ann.rotation(64), 10)
-    for i in range(40):
-        hits += len(set(found[places == i].tolist()) & set(np.argsort(true[i], kind="stable")[:10].tolist()))
-    assert hits >= 395 and len(places) < 0.2 * true.size
+    ids, asked = np.arange(3000), np.arange(5000, 5040)
+    nearest = np.argsort(true, axis=1, kind="stable")[:, :10]
+    places, found, estimate = ann.chosen(asked, q, ids, codes, mean, ann.rotation(64), 30)
+    assert len(places) == 40 * 30 and estimate.max() < np.median(true)
+    limits = np.array([np.sort(true[i, found[places == i]])[9] for i in range(40)])
+    places, found, _ = ann.chosen(asked, q, ids, codes, mean, ann.rotation(64), 30, limits)
+    hits = sum(len(set(found[places == i].tolist()) & set(nearest[i].tolist())) for i in range(40))
+    assert hits >= 398 and len(places) < 0.1 * true.size
 
 
 def _spark_xxhash64(parts):
