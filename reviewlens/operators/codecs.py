@@ -73,7 +73,7 @@ def parse_vectors(documents: DataFrame, column: str = "document") -> DataFrame:
     number is unreadable as a whole: no feature of it is taken.
     """
     leaf = ", ".join
-    schema = "meetsMinimumData boolean, " + leaf(f"{g} struct<{leaf(f'{n}: string' for n in names)}>" for g, names in _PARTS.items())
+    schema = "meetsMinimumData boolean, " + leaf(f"{g} struct<{leaf(f'{n}: double' for n in names)}>" for g, names in _PARTS.items())
     rows = documents.withColumn("_v", F.from_json(column, schema))
     fine = F.col("_v.meetsMinimumData").isNotNull()
     values: dict[str, Column] = {}
@@ -81,12 +81,11 @@ def parse_vectors(documents: DataFrame, column: str = "document") -> DataFrame:
         body = F.col(f"_v.{group}")
         whole = F.lit(True)
         for name, needed in names.items():
-            raw = F.col(f"_v.{group}.{name}")
-            # numbers only: a quoted number isn't one
-            quoted = F.get_json_object(column, f"$.{group}.{name}")
-            number = _number(F.when(F.coalesce(quoted.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), F.lit(False)), raw.try_cast("double")))
+            # only a number reads as one; what is null must be null in the document, too
+            number = _number(F.col(f"_v.{group}.{name}"))
             present = F.json_object_keys(F.get_json_object(column, f"$.{group}"))
-            whole = whole & (number.isNotNull() if needed else number.isNotNull() | (F.array_contains(present, name) & raw.isNull()))
+            null = F.array_contains(present, name) & F.get_json_object(column, f"$.{group}.{name}").isNull()
+            whole = whole & (number.isNotNull() if needed else number.isNotNull() | null)
             values[f"{group}.{name}"] = number
         fine = fine & (F.coalesce(whole, F.lit(False)) if group in _REQUIRED else body.isNull() | F.coalesce(whole, F.lit(False)))
     rows = rows.withColumn("readable", F.coalesce(fine, F.lit(False)))

@@ -146,3 +146,13 @@ def batches(queue: DataFrame, group: str, order: str, size: str, max_rows: int =
 def due(queue: DataFrame, now: Column) -> DataFrame:
     """Entries whose time has come, oldest first."""
     return queue.where(F.col("ready_at") <= now).orderBy("ready_at")
+
+
+def previous(entries: DataFrame, product_key: str, before: Column) -> DataFrame:
+    """Earlier entries of a product, newest first."""
+    return entries.where((F.col("product_key") == product_key) & (F.col("at") < before)).orderBy(F.col("at").desc(), F.col("id").desc())
+
+
+def export_json(entries: DataFrame) -> DataFrame:
+    """document: every entry as JSON, newest first (a line each)."""
+    return entries.orderBy(F.col("at").desc(), F.col("id").desc()).select(F.to_json(F.struct(*entries.columns), {"ignoreNullFields": "false"}).alias("document"))

@@ -216,7 +216,7 @@ def holdings(checks: DataFrame, watched: DataFrame, cache: DataFrame, queue: Dat
 
 def counted(n: Column, one: str, many: str) -> Column:
     """A count with its noun, with group separators."""
-    return F.concat_ws(" ", F.format_number(n, 0), F.when(n == 1, one).otherwise(many))
+    return F.when(n.isNotNull(), F.concat_ws(" ", F.format_number(n, 0), F.when(n == 1, one).otherwise(many)))
 
 
 def ago(then: Column, now: Column) -> Column:
