@@ -109,6 +109,19 @@ def watch_changes(pairs: DataFrame) -> DataFrame:
     return pairs.select("product_key", F.array_compact(F.array(*rows)).alias("changes"))
 
 
+def changed_kinds(first: dict, latest: dict) -> list[str]:
+    """Kinds of ``watch_changes`` between two readings (band, rating, reviews, burst, drift; None: not known)."""
+    both = lambda kind: first[kind] is not None and latest[kind] is not None
+    told = {
+        "band": both("band") and first["band"] != latest["band"],
+        "rating": both("rating") and abs(latest["rating"] - first["rating"]) >= RATING_STEP - SLACK,
+        "reviews": both("reviews") and abs(latest["reviews"] - first["reviews"]) >= max(REVIEW_FLOOR, first["reviews"] * REVIEW_SHARE),
+        "burst": both("burst") and latest["burst"] - first["burst"] >= BURST_STEP - SLACK,
+        "drift": both("drift") and first["drift"] < DRIFT_AT <= latest["drift"],
+    }
+    return [kind for kind, hit in told.items() if hit]
+
+
 def watch_state(readings: DataFrame) -> DataFrame:
     """product_key, checks, and the first (baseline) and last reading's columns as b_ and l_."""
     fields = [c for c in readings.columns if c not in ("product_key", "at", "id")]
