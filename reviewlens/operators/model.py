@@ -47,6 +47,23 @@ class Model:
             raise ValueError("calibration or sketch is not sorted")
         return model
 
+    def probability(self, features: dict[str, float | None], fraction: float = 0.5) -> float | None:
+        """What ``score`` gives a row with these features; None where it isn't ok."""
+        if self.coefficients and all(features.get(n) is None for n in self.coefficients):
+            return None
+        z = self.intercept
+        for name, weight in self.coefficients.items():
+            value = features.get(name)
+            if value is None:
+                sketch = self.sketches.get(name)
+                if not sketch:
+                    return None
+                value = float(np.interp(min(1.0, max(0.0, fraction)) * (len(sketch) - 1), range(len(sketch)), sketch))
+            z += weight * value
+        e = math.exp(-abs(z))
+        raw = 1 / (1 + e) if z >= 0 else e / (1 + e)
+        return float(np.interp(raw, *zip(*self.calibration, strict=True))) if self.calibration else raw
+
     def digest(self) -> str:
         return hashlib.sha256(self.to_json().encode()).hexdigest()[:8]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import stats, urls
 from reviewlens.functions import text as T
-from reviewlens.operators import canary, graph, history, model, report, signals
+from reviewlens.operators import canary, codecs, evaluate, graph, history, lookup, model, report, signals, store
 from reviewlens.plans.adapters import DENSE, EDGES, REVIEWS, dense_edges, edges, reviews, table
 from reviewlens.plans.registry import query
 from reviewlens.sources import jsonpath
@@ -240,11 +240,18 @@ def bootstrap_interval(spark, sf):
     return _rounded(report.bootstrap_shares(reviews(spark, sf, text=False)), "low", "high")
 
 
+@query()
+def probability_interval(spark, sf):
+    """The interval of the model's probability over 200 resamples of each listing's reviews."""
+    return _rounded(report.bootstrap_probability(reviews(spark, sf, text=False), DEMO, _flagged_ids(spark)), "low", "high")
+
+
 @query()
 def listing_reports(spark, sf):
     r = reviews(spark, sf, text=False)
     ratings = report.adjusted_rating(r, signals.rating_deconvolution(signals.rating_histogram(r)))
-    return report.report_text(report.reports(model.score(_text_vectors(spark, sf), DEMO), ratings, report.bootstrap_shares(r)))
+    scored = model.score(_text_vectors(spark, sf), DEMO)
+    return report.report_text(report.reports(scored, ratings, report.bootstrap_probability(r, DEMO, _flagged_ids(spark))))
 
 
 # -- text ----------------------------------------------------------------------------
@@ -725,3 +732,103 @@ SELECT queue, id, size, batch FROM s""")
 def queue_batches(spark, sf):
     q = table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("queue"), F.col("o_orderkey").alias("id"), (1000 + F.col("o_orderkey") * 37 % 997).cast("int").alias("size"))
     return history.batches(q, "queue", "id", "size", 50, 40_000)
+
+
+# -- lookups, stored documents and evaluation -------------------------------------------
+
+SALT = "salt"
+
+
+@query(f"""WITH {REVIEWS} SELECT sha256(reviewer_id || 'salt') AS reviewer_hash, sha256(CAST(listing_id AS VARCHAR) || 'salt') AS product_hash, CAST(rating AS INTEGER) AS star_rating,
+  CAST(floor(date_diff('day', DATE '1970-01-01', review_date) / 7.0) AS INTEGER) AS week_bucket, verified FROM reviews_v WHERE reviewer_id IS NOT NULL AND rating IS NOT NULL AND review_date IS NOT NULL AND coalesce(date_precision, 'exact') IN ('exact', 'day')""")
+def contributed_edges(spark, sf):
+    return lookup.contribution_edges(reviews(spark, sf, text=False), SALT)
+
+
+ASKED = f"""ids AS (SELECT DISTINCT listing_id, reviewer_id FROM reviews_v WHERE reviewer_id IS NOT NULL),
+pre AS (SELECT DISTINCT listing_id, substr(sha256(reviewer_id || 'salt'), 1, 4) AS prefix FROM ids),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY sha256('0:' || listing_id || ':' || prefix), prefix) AS k FROM pre)"""
+
+
+@query(f"WITH {REVIEWS}, {ASKED} SELECT l.listing_id, CAST(greatest(1, ceil(least(64, count(r.prefix)) / 8.0)) AS BIGINT) AS requests, CAST(greatest(1, ceil(least(64, count(r.prefix)) / 8.0)) AS BIGINT) AS valid FROM (SELECT DISTINCT listing_id FROM reviews_v) l LEFT JOIN ranked r USING (listing_id) GROUP BY l.listing_id")
+def lookup_requests(spark, sf):
+    asked = lookup.requests(reviews(spark, sf, text=False).select("listing_id", "reviewer_id"), SALT)
+    return asked.groupBy("listing_id").agg(F.count("*").alias("requests"), F.count_if(lookup.valid_request(F.col("prefixes"))).alias("valid"))
+
+
+@query(f"WITH {REVIEWS}, {ASKED} SELECT i.listing_id, i.reviewer_id FROM ids i JOIN ({FLAGGED}) f USING (reviewer_id) JOIN ranked r ON r.listing_id = i.listing_id AND r.prefix = substr(sha256(i.reviewer_id || 'salt'), 1, 4) WHERE r.k <= 64")
+def lookup_flagged(spark, sf):
+    """Who is flagged among each listing's reviewers, asked for in padded requests."""
+    flags = _flagged_ids(spark).select(T.salted(F.col("reviewer_id"), SALT).alias("reviewer_hash"))
+    return lookup.flagged_of(reviews(spark, sf, text=False).select("listing_id", "reviewer_id"), flags, SALT)
+
+
+EVALUATED = f"""{FLAT}, {VECTOR}, {SCORES}, ev AS (SELECT listing_id, r, CASE WHEN r <= 0.2 THEN 0.1 WHEN r <= 0.5 THEN 0.1 + (r - 0.2) / 0.3 * 0.35 WHEN r <= 0.9 THEN 0.45 + (r - 0.5) / 0.4 * 0.5 ELSE 0.95 END AS p, listing_id % 3 = 0 AS y,
+  {" OR ".join(f"{c} IS NULL" for c in DEMO.coefficients)} AS filled FROM raws WHERE NOT ({" AND ".join(f"{c} IS NULL" for c in DEMO.coefficients)})),
+bins AS (SELECT least(9, CAST(trunc(p * 10) AS INTEGER)) AS bin, count(*) AS n, avg(p) AS mp, avg(CAST(y AS INTEGER)) AS my FROM ev GROUP BY 1)"""
+
+
+@query(f"""WITH {EVALUATED}, c AS (SELECT count(*) AS evaluated, count(*) FILTER (WHERE filled) AS imputed, count(*) FILTER (WHERE p >= 0.5 AND y) AS tp, count(*) FILTER (WHERE p >= 0.5 AND NOT y) AS fp, count(*) FILTER (WHERE p < 0.5 AND y) AS fn FROM ev)
+SELECT evaluated, (SELECT count(*) FROM raws) - evaluated AS skipped, imputed, round(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 9) AS precision, round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 9) AS recall,
+  round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1, (SELECT round(sum(n * abs(mp - my)) / sum(n), 9) FROM bins) AS ece FROM c""")
+def evaluated_model(spark, sf):
+    v = _vectors(spark, sf).drop("meets_minimum").withColumn("label", (F.col("listing_id") % 3 == 0).cast("int"))
+    return _rounded(evaluate.evaluate(v, DEMO), "precision", "recall", "f1", "ece")
+
+
+@query(f"""WITH {FLAT}, {VECTOR}, {SCORES} SELECT listing_id, probability IS NOT NULL AND listing_id % 5 <> 0 AS agrees, probability IS NULL OR listing_id % 5 = 0 AS has_problem, CASE WHEN probability IS NOT NULL AND listing_id % 5 = 0 THEN -0.25 WHEN probability IS NOT NULL THEN 0.0 END AS difference FROM scores""")
+def reproduced_reports(spark, sf):
+    """Reports written from scored listings, every fifth with another probability, and run again."""
+    scored = _scored(spark, sf)
+    features = F.map_from_arrays(F.array(*map(F.lit, signals.FEATURES)), F.array(*signals.FEATURES.values()))
+    claimed = F.col("probability") + F.when(F.col("listing_id") % 5 == 0, 0.25).otherwise(0.0)
+    document = F.to_json(F.struct(F.lit(2).alias("documentVersion"), F.struct(claimed.alias("probability")).alias("report"), features.alias("features")))
+    out = evaluate.reproduce(scored.select("listing_id", document.alias("document")), model.Slots(DEMO))
+    return out.select("listing_id", "agrees", F.col("problem").isNotNull().alias("has_problem"), (F.round("difference", 9) + 0.0).alias("difference"))
+
+
+@query(f"WITH {FLAT}, {VECTOR} SELECT listing_id, true AS readable, meets_minimum, {', '.join(f'round({c}, 9) AS {c}' for c in SHORT)} FROM vec")
+def stored_vectors(spark, sf):
+    """Vectors written as JSON and read back."""
+    v = _vectors(spark, sf)
+    back = codecs.parse_vectors(codecs.vector_json(v).join(v.select("listing_id"), "listing_id"))
+    return _rounded(back.select("listing_id", "readable", "meets_minimum", *SHORT), *SHORT)
+
+
+@query(f"WITH {FLAT}, {VECTOR}, {SCORES} SELECT listing_id, round(probability, 8) AS rescored_probability, CASE WHEN probability IS NOT NULL THEN ['clean', 'mostly-clean', 'mixed', 'doubtful', 'heavily-manipulated'][1 + least(4, CAST(floor(probability * 5) AS INTEGER))] END AS rescored_band FROM scores")
+def rescored_entries(spark, sf):
+    out = codecs.rescore(_vectors(spark, sf), model.Slots(DEMO))
+    return out.select("listing_id", F.round("rescored_probability", 8).alias("rescored_probability"), "rescored_band")
+
+
+@query("""SELECT event_id, '{"rating":' || coalesce(CASE WHEN event_type <> 'error' THEN CAST(CAST(1 + (event_id * 7 + user_id * 3) % 5 AS DOUBLE) AS VARCHAR) END, 'null') || ',"text":"t' || event_id || '","date":"' || strftime(ts, '%Y-%m-%d') || '","verified":' || CASE event_type WHEN 'purchase' THEN 'true' WHEN 'view' THEN 'false' WHEN 'click' THEN 'false' ELSE 'null' END
+  || ',"reviewerId":' || CASE WHEN event_type = 'signup' THEN 'null' ELSE '"u' || (event_id * 31) % 97 || '"' END || CASE WHEN event_id % 11 = 0 THEN ',"datePrecision":"month"' WHEN event_id % 13 = 0 THEN ',"datePrecision":"day"' ELSE '' END || '}' AS document, true AS same FROM events""")
+def review_documents(spark, sf):
+    """Reviews as JSON, and whether they read back the same."""
+    r = reviews(spark, sf, text=False).withColumn("text", F.concat(F.lit("t"), F.col("review_id").cast("string")))
+    fields = ["rating", "text", "review_date", "date_precision", "verified", "reviewer_id"]
+    coded = r.select(F.col("review_id").alias("event_id"), codecs.review_json().alias("document"), F.struct(*fields).alias("was"))
+    return coded.select("event_id", "document", codecs.parse_review(F.col("document")).eqNullSafe(F.col("was")).alias("same"))
+
+
+CLAIMS = f"{EDGES}, keyed AS (SELECT *, coalesce(CAST(verified AS VARCHAR), '-') AS v FROM edges_v)"
+
+
+@query(f"WITH {CLAIMS} SELECT reviewer_hash, product_hash, star_rating, week_bucket, v AS verified, min(received_at) AS received_at FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM keyed h WHERE h.week_bucket % 4 = 0 AND h.reviewer_hash = k.reviewer_hash AND h.product_hash = k.product_hash AND h.star_rating = k.star_rating AND h.week_bucket = k.week_bucket AND h.v = k.v) GROUP BY ALL")
+def unclaimed_edges(spark, sf):
+    e = edges(spark, sf, repeats=True)
+    out = store.unclaimed(e, e.where("week_bucket % 4 = 0"))
+    return out.withColumn("verified", F.coalesce(F.col("verified").cast("string"), F.lit("-")))
+
+
+@query(f"WITH {ENTRIES} SELECT count(*) AS checks, count(DISTINCT product_key) AS watched, count(*) FILTER (WHERE id % 3 = 0) AS cached, strftime(min(ts_) FILTER (WHERE id % 3 = 0), '%Y-%m-%d') AS oldest, count(*) FILTER (WHERE id % 7 = 0) AS queued, strftime(min(ts_) FILTER (WHERE id % 7 = 0), '%Y-%m-%d') AS next FROM entries")
+def holdings(spark, sf):
+    e = _entries(spark, sf)
+    row = store.holdings(e, e.where("product_key IS NOT NULL").select("product_key").distinct(), e.where("id % 3 = 0").withColumnRenamed("at", "cached_at"), e.where("id % 7 = 0").withColumnRenamed("at", "ready_at"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return row.select("checks", "watched", "cached", day("oldest_cached").alias("oldest"), "queued", day("next_due").alias("next"))
+
+
+@query("""SELECT "by", value, count(*) AS n FROM (SELECT 'lang' AS "by", coalesce(lang, '') AS value FROM documents UNION ALL SELECT 'source', coalesce(source, '') FROM documents) GROUP BY ALL""")
+def corpus_counts(spark, sf):
+    return evaluate.corpus_counts(table(spark, sf, "documents"), "lang", "source")
