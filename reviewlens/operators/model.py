@@ -5,19 +5,23 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions import stats
-from reviewlens.operators.signals import FEATURES
+from reviewlens.operators.signals import FEATURES, INJECTION_KERNEL
 
 # Acceptance criteria and the training schedule.
 MIN_PRECISION, MIN_RECALL, MAX_ECE = 0.80, 0.50, 0.05
 RATE, ITERATIONS, PENALTY = 0.1, 2000, 0.01
 ARTIFACT_VERSION = 1
+#: Rows that a model is fitted on at most.
+FIT_ROWS = 100_000
 
 
 @dataclass
@@ -81,6 +85,83 @@ class Slots:
         return Slots(**{"local": self.local, "graph": self.graph, slot: model})
 
 
+def absent_artifact(reason: str) -> str:
+    """The artifact that says that there is no model."""
+    return json.dumps({"artifactVersion": ARTIFACT_VERSION, "present": False, "reason": reason}, sort_keys=True)
+
+
+def _body(model: Model, trained_at: float, acceptance: dict, priors: str) -> dict:
+    curve = [{"x": x, "y": y} for x, y in model.calibration]
+    return {"intercept": model.intercept, "coefficients": dict(sorted(model.coefficients.items())), "calibration": curve, "featureQuantiles": dict(sorted(model.sketches.items())), "trainedAt": trained_at, "acceptance": acceptance, "priors": {"digest": priors}}
+
+
+def place_in_artifact(existing: str, slot: str, model: Model, trained_at: float, acceptance: dict, priors: str) -> str:
+    """The artifact with a model in slot ``local`` or ``reviewerGraph``; the other slot stays, and a graph model needs a local one."""
+    held = json.loads(existing)
+    body = _body(model, trained_at, acceptance, priors)
+    if slot == "local":
+        out = {"artifactVersion": ARTIFACT_VERSION, "present": True, **body}
+        if "reviewerGraph" in held:
+            out["reviewerGraph"] = held["reviewerGraph"]
+    elif slot != "reviewerGraph":
+        raise ValueError(f"unknown slot {slot!r}")
+    elif held.get("present") is not True:
+        raise ValueError("a graph model needs a local model")
+    else:
+        out = {**held, "reviewerGraph": body}
+    return json.dumps(out, indent=2, sort_keys=True) + "\n"
+
+
+def read_artifact(text: str) -> Slots | None:
+    """The models of an artifact; None if it says that there is none.  Raises for another version and for what isn't a whole model."""
+    raw = json.loads(text)
+    if raw.get("artifactVersion") != ARTIFACT_VERSION:
+        raise ValueError(f"unknown artifact version {raw.get('artifactVersion')!r}")
+    if raw.get("present") is not True:
+        return None
+
+    def model(body: dict) -> Model:
+        plain = {"version": ARTIFACT_VERSION, "intercept": body["intercept"], "coefficients": body["coefficients"], "calibration": [(p["x"], p["y"]) for p in body["calibration"]], "sketches": body.get("featureQuantiles", {})}
+        return Model.from_json(json.dumps(plain))
+
+    try:
+        return Slots(model(raw), model(raw["reviewerGraph"]) if raw.get("reviewerGraph") is not None else None)
+    except (KeyError, TypeError) as e:
+        raise ValueError(f"the artifact lacks {e}") from e
+
+
+def artifact_priors(text: str) -> dict[str, str | None]:
+    """Digest of the priors that each model of an artifact was trained under (None: it records none)."""
+    raw = json.loads(text)
+    if raw.get("present") is not True:
+        return {}
+    bodies = {"local": raw, "reviewerGraph": raw.get("reviewerGraph")}
+    return {slot: (body.get("priors") or {}).get("digest") for slot, body in bodies.items() if isinstance(body, dict)}
+
+
+def canonical_json(value) -> str:
+    """JSON with sorted keys and no blanks, the same for equal values."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def document_digest(value) -> str:
+    """The first eight hex digits of the SHA-256 of a document's canonical JSON."""
+    return hashlib.sha256(canonical_json(value).encode()).hexdigest()[:8]
+
+
+def read_priors(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    """Priors (key, organic, kernel) and aliases (alias, target) of a document with ``categories`` and ``aliases``; raises for shapes that aren't five shares."""
+    raw = json.loads(text)
+    rows = []
+    for key, entry in sorted(raw["categories"].items()):
+        organic, kernel = entry["organicPrior"], entry.get("injectionKernel", list(INJECTION_KERNEL))
+        if any(len(v) != 5 or min(v) < 0 or abs(sum(v) - 1) > 1e-6 for v in (organic, kernel)):
+            raise ValueError(f"{key}: a shape must be five shares that add up to 1")
+        rows.append((key, [float(x) for x in organic], [float(x) for x in kernel]))
+    priors = spark.createDataFrame(rows, "key string, organic array<double>, kernel array<double>")
+    return priors, spark.createDataFrame(sorted(raw.get("aliases", {}).items()), "alias string, target string")
+
+
 def score(vectors: DataFrame, model: Model, fraction: float = 0.5) -> DataFrame:
     """Adds status (ok, missing-features, insufficient-data, not-enough-data), raw, probability and imputed (array of features).
 
@@ -143,39 +224,33 @@ def split(examples: DataFrame, fraction: float, seed: int, key: str = "example_i
     ranked = examples.withColumn("_h", digest)
     if not size:
         return ranked.drop("_h").withColumn("is_test", F.lit(False))
-    # the size-th smallest digest is the limit; a top-k, not a sort of the table in one task
-    limit = ranked.select("_h").orderBy("_h").limit(size).agg(F.max("_h")).first()[0]
+    # the size-th smallest digest is the limit: found in the one bucket of digests that holds it
+    per = ranked.groupBy(F.substring("_h", 1, 4).alias("p")).agg(F.count("*").alias("n"))
+    before = 0
+    for r in sorted(per.collect(), key=lambda r: r["p"]):  # 65,536 counts at most
+        if before + r["n"] >= size:
+            break
+        before += r["n"]
+    limit = ranked.where(F.substring("_h", 1, 4) == r["p"]).select("_h").orderBy("_h").limit(size - before).agg(F.max("_h")).first()[0]
     return ranked.withColumn("is_test", F.col("_h") <= F.lit(limit)).drop("_h")
 
 
-def fit_logistic(examples: DataFrame, features: list[str], label: str = "label", rate: float = RATE, iterations: int = ITERATIONS, penalty: float = PENALTY) -> tuple[float, dict[str, float]]:
-    """Full-batch gradient descent from zero with an L2 penalty on the weights.
+def fit_logistic(examples: DataFrame, features: list[str], label: str = "label", rate: float = RATE, iterations: int = ITERATIONS, penalty: float = PENALTY, most: int = FIT_ROWS) -> tuple[float, dict[str, float]]:
+    """Full-batch gradient descent from zero with an L2 penalty on the weights; complete rows only.
 
-    Complete rows only.  Every step is one pre-aggregated pass where the corpus is
-    large; a corpus of up to 100,000 rows is fitted on the driver.
+    Labelled pages are few, and the fit is sequential: it takes place on the driver,
+    on at most ``most`` rows, those with the smallest hashes.
     """
-    rows = examples.na.drop(subset=features).select(*[F.col(f).cast("double") for f in features], F.col(label).cast("double").alias(label))
-    n = rows.count()
+    rows = examples.na.drop(subset=features).select(*[F.col(f).cast("double") for f in features], F.col(label).cast("double").alias("_y"))
+    data = rows.orderBy(F.xxhash64(*features, "_y"), *features, "_y").limit(most).toPandas()
+    x, y = data[features].to_numpy(float), data["_y"].to_numpy(float)
     weights, bias = np.zeros(len(features)), 0.0
-    if not n:
-        return bias, dict(zip(features, weights.tolist(), strict=True))
-    if n <= 100_000:
-        data = rows.toPandas()
-        x, y = data[features].to_numpy(), data[label].to_numpy()
-        for _ in range(iterations):
-            z = x @ weights + bias
-            error = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z)))) - y
-            weights = weights - rate * (x.T @ error / n + penalty * weights)
-            bias -= rate * float(error.mean())
-    else:
-        rows = rows.persist()
-        for _ in range(iterations):
-            z = sum((F.col(f) * F.lit(float(w)) for f, w in zip(features, weights, strict=True)), F.lit(float(bias)))
-            error = stats.sigmoid(z) - F.col(label)
-            sums = rows.select(error.alias("e"), *features).agg(F.sum("e"), *[F.sum(F.col("e") * F.col(f)) for f in features]).first()
-            weights = weights - rate * (np.array(sums[1:]) / n + penalty * weights)
-            bias -= rate * sums[0] / n
-        rows.unpersist()
+    for _ in range(iterations if len(y) else 0):
+        z = x @ weights + bias
+        e = np.exp(-np.abs(z))
+        error = np.where(z >= 0, 1 / (1 + e), e / (1 + e)) - y
+        weights = weights - rate * (x.T @ error / len(y) + penalty * weights)
+        bias -= rate * float(error.mean())
     return bias, dict(zip(features, weights.tolist(), strict=True))
 
 
@@ -198,18 +273,37 @@ def isotonic(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return [(x, b[0] / b[1]) for b in blocks for x in b[2]]
 
 
-def isotonic_table(scored: DataFrame, x: str = "raw", y: str = "label") -> list[tuple[float, float]]:
-    """``isotonic`` of a table: values are averaged by distinct x before they reach the driver."""
-    rows = scored.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").alias("n")).orderBy(x).collect()
-    blocks: list[list] = []
-    for r in rows:
-        blocks.append([r["s"], r["n"], [r[x]]])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
-            s, n, xs = blocks.pop()
-            blocks[-1][0] += s
-            blocks[-1][1] += n
-            blocks[-1][2] += xs
-    return [(v, b[0] / b[1]) for b in blocks for v in b[2]]
+def isotonic_table(scored: DataFrame, x: str = "raw", y: str = "label", ranges: int = 1024) -> list[tuple[float, float]]:
+    """``isotonic`` of a table: its corners, one point for each end of a pooled block.
+
+    Values are averaged by distinct x and pooled within ranges of x, in which order
+    is all that matters; the blocks of the ranges, and no points, reach the driver,
+    where they are pooled across the ranges.
+    """
+    per = scored.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").alias("n"))
+    per = per.withColumn("r", F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor(F.col("x") * ranges).cast("int"))))
+
+    def pool(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("x")
+        blocks = _pooled(zip(rows["s"], rows["n"], rows["x"], rows["x"], strict=True))
+        return pd.DataFrame(blocks, columns=["s", "n", "low", "high"])
+
+    pooled = per.groupBy("r").applyInPandas(pool, "s double, n long, low double, high double").orderBy("low").collect()
+    out = []
+    for s, n, low, high in _pooled((r["s"], r["n"], r["low"], r["high"]) for r in pooled):
+        out += [(low, s / n)] if low == high else [(low, s / n), (high, s / n)]
+    return out
+
+
+def _pooled(blocks: Iterable[tuple[float, int, float, float]]) -> list[tuple[float, int, float, float]]:
+    """Adjacent blocks (sum, count, lowest x, highest x) merged until their means never fall."""
+    out: list[tuple[float, int, float, float]] = []
+    for s, n, low, high in blocks:
+        while out and out[-1][0] / out[-1][1] > s / n:
+            ps, pn, low, _ = out.pop()
+            s, n = s + ps, n + pn
+        out.append((s, n, low, high))
+    return out
 
 
 def quantile_sketches(examples: DataFrame, features: list[str], points: int = 11) -> DataFrame:
@@ -309,6 +403,24 @@ def votes(rows: DataFrame, functions: dict[str, Column], key: str) -> DataFrame:
     return wide.unpivot([key], list(functions), "lf", "vote")
 
 
+def python_votes(rows: DataFrame, functions: dict[str, Callable[[dict], object]], key: str) -> DataFrame:
+    """``votes`` of Python functions of a row; one that raises, or says anything but 0 and 1, abstains."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                for name, function in functions.items():
+                    try:
+                        vote = function(row)
+                    except Exception:  # whatever a labelling function does wrong, it abstains
+                        vote = -1
+                    out.append((row[key], name, int(vote) if vote in (0, 1) else -1))
+            yield pd.DataFrame(out, columns=[key, "lf", "vote"]).astype({"vote": "int32"})
+
+    return rows.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, lf string, vote int")
+
+
 def vote_statistics(voted: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """lf, coverage, overlap, conflict (shares of all rows) and accuracy where there is gold (key, label)."""
     per_row = voted.where("vote >= 0").groupBy(key).agg(F.count("*").alias("given"), F.min("vote").alias("low"), F.max("vote").alias("high"))

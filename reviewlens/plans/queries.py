@@ -519,8 +519,9 @@ def train_test_split(spark, sf):
 @query(f"""WITH {LABELLED}, per AS (SELECT probability AS x, sum(label) AS s, count(*) AS n, row_number() OVER (ORDER BY probability) AS i FROM lab GROUP BY probability),
 run AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn FROM per),
 means AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM run a JOIN run b ON b.i >= a.i),
-low AS (SELECT p.i, m.j, min(m.m) AS m FROM per p JOIN means m ON m.j <= p.i AND m.k >= p.i GROUP BY p.i, m.j)
-SELECT p.x, round(max(l.m), 9) AS y FROM per p JOIN low l USING (i) GROUP BY p.x""")
+low AS (SELECT p.i, m.j, min(m.m) AS m FROM per p JOIN means m ON m.j <= p.i AND m.k >= p.i GROUP BY p.i, m.j),
+y AS (SELECT p.x, round(max(l.m), 9) AS y FROM per p JOIN low l USING (i) GROUP BY p.x)
+SELECT unnest(CASE WHEN min(x) = max(x) THEN [min(x)] ELSE [min(x), max(x)] END) AS x, y FROM y GROUP BY y""")
 def isotonic_fit(spark, sf):
     points = model.isotonic_table(_labelled(spark, sf), "probability")
     return _rounded(spark.createDataFrame(points, "x double, y double"), "y")
