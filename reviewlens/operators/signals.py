@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import stats
 from reviewlens.functions import text as T
+from reviewlens.operators.graph import connected
+from reviewlens.session import ensure_checkpoints
 
 # The default rating shapes, and the limits of the signals.
 ORGANIC_PRIOR = (0.2, 0.2, 0.2, 0.2, 0.2)
@@ -171,34 +173,21 @@ def near_duplicate_links(signed: DataFrame) -> DataFrame:
 
 
 def near_duplicate_features(reviews: DataFrame, group: str = "listing_id", text: str = "text") -> DataFrame:
-    """group, duplicate_review_share, cluster_count, largest_cluster_share (clusters of two texts or more; null without texts)."""
-    texts = distinct_texts(reviews, group, text)
-    signed = signatures(texts)
-    links = near_duplicate_links(signed).select(F.col("grp").alias("of"), "a", "b")
-
-    def components(rows: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(rows["node"]))
-        parent = {n: n for n in nodes}
-
-        def root(n: str) -> str:
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-
-        for a, b in zip(linked["a"], linked["b"], strict=True):
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-        per: dict[str, int] = {}
-        for n, c in zip(rows["node"], rows["copies"], strict=True):
-            per[root(n)] = per.get(root(n), 0) + int(c)
-        total, big = sum(per.values()), [c for c in per.values() if c >= 2]
-        grp = rows["grp"].iloc[0]  # every link is between texts of its group
-        return pd.DataFrame({"grp": [grp], "duplicate_review_share": [sum(big) / total if total > 1 else 0.0], "cluster_count": [len(big) if total > 1 else 0], "largest_cluster_share": [max(big, default=0) / total if total > 1 else 0.0]})
-
-    kind = reviews.schema[group].dataType.simpleString()
-    slim = signed.select("grp", "node", "copies")
-    per = slim.groupBy("grp").cogroup(links.groupBy("of")).applyInPandas(components, f"grp {kind}, duplicate_review_share double, cluster_count long, largest_cluster_share double")
+    """group, duplicate_review_share, cluster_count, largest_cluster_share (clusters of two reviews or more; null without texts).
+
+    Clusters come from the distributed component labels, so no group is gathered.
+    """
+    signed = signatures(distinct_texts(reviews, group, text))
+    ensure_checkpoints(reviews.sparkSession)
+    signed = signed.select("grp", "node", "copies", "sig").checkpoint()
+    name = lambda node: F.concat_ws(":", F.col("grp").cast("string"), F.col(node))
+    links = near_duplicate_links(signed).select(name("a").alias("a"), name("b").alias("b"))
+    labels = connected(links)
+    named = signed.select("grp", name("node").alias("node"), "copies").join(labels, "node", "left")
+    sizes = named.groupBy("grp", F.coalesce("comp", "node").alias("comp")).agg(F.sum("copies").alias("n"))
+    total, big = F.sum("n"), F.when(F.col("n") >= 2, F.col("n"))
+    share = lambda c: F.when(total > 1, F.coalesce(c, F.lit(0)) / total).otherwise(0.0)
+    per = sizes.groupBy("grp").agg(share(F.sum(big)).alias("duplicate_review_share"), F.when(total > 1, F.count(big)).otherwise(0).alias("cluster_count"), share(F.max(big)).alias("largest_cluster_share"))
     every = reviews.select(F.col(group).alias("grp")).distinct()
     return every.join(per, "grp", "left").withColumnRenamed("grp", group)
 

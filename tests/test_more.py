@@ -124,3 +124,23 @@ def test_fit_is_bounded(spark):
 def test_category_slugs(spark):
     trail = spark.createDataFrame([("Ｂooks＞x > ﬁction & Fun",)], "t string").select(T.category_keys(F.col("t")).alias("k")).first()["k"]
     assert trail == ["fiction-fun", "books-x"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from reviewlens.__main__ import main
+
+    assert main(["list"]) == 0 and "score_listings" in capsys.readouterr().out
+    spark.createDataFrame([(i, i % 3 == 0) for i in range(9)], "a int, b boolean").write.parquet(str(tmp_path / "t"))
+    assert main(["run", "nothing", str(tmp_path)]) == 1
+    names = ("ratingDeconvolution.injectedShare", "verificationConcentration.lift")
+    fitted = model.Model(-3.0, {names[0]: 6.0}, [(0.1, 0.0), (0.9, 1.0)], {})
+    (tmp_path / "m.json").write_text(model.place_in_artifact(model.absent_artifact("x"), "local", fitted, 1.0, {}, "d"))
+    (tmp_path / "c.jsonl").write_text("".join(json.dumps({"exampleId": str(i), "features": {names[0]: float(i < 5), names[1]: None}, "label": int(i < 5), "metadata": {"priors": "d"}}) + "\n" for i in range(10)))
+    assert main(["audit", str(tmp_path / "m.json"), str(tmp_path / "c.jsonl"), "--priors", "d"]) == 0
+    assert "evaluated: 10" in capsys.readouterr().out
+    assert main(["audit", str(tmp_path / "m.json"), str(tmp_path / "c.jsonl")]) == 1
+    document = {"documentVersion": 2, "report": {"probability": 1.0}, "features": {names[0]: 1.0}}
+    (tmp_path / "d.jsonl").write_text(json.dumps(document) + "\n")
+    assert main(["dispute", str(tmp_path / "m.json"), str(tmp_path / "d.jsonl")]) == 0 and "agrees" in capsys.readouterr().out
+    (tmp_path / "n.json").write_text(model.absent_artifact("x"))
+    assert main(["dispute", str(tmp_path / "n.json"), str(tmp_path / "d.jsonl")]) == 1
