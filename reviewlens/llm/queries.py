@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import ann, bpe, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, toxicity, wavelet
+from reviewlens.session import dealt
 
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
