@@ -93,20 +93,22 @@ def shingle_count(folded: pd.Series) -> pd.Series:
     return out
 
 
+#: Base and modulus of the numbers that ``shingle_digest`` adds up.
+DIGEST_BASE, DIGEST_MODULUS = 1_000_003, 2_147_483_647
+
+
 @F.pandas_udf(T.LongType())
 def shingle_digest(folded: pd.Series) -> pd.Series:
-    """Sum of the first 32 bits of the MD5 of each distinct shingle of folded texts; null for null."""
+    """Sum over the distinct shingles of folded texts of their code points as digits of a number (first lowest), modulo a prime; null for null."""
     there = folded.notna().to_numpy()
-    texts = folded[there].tolist()
-    grams = Grams(texts)
+    grams = Grams(folded[there].tolist())
     points, inverse = grams.unique()
-    words = ["".join(map(chr, row[row > 0])) for row in points]
-    part = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words], np.int64)
-    total = np.concatenate(([0], np.cumsum(part[inverse] if len(inverse) else np.zeros(0, np.int64))))
-    empty = int(hashlib.md5(b"").hexdigest()[:8], 16)
-    sums = np.where(np.diff(grams.offsets) > 0, total[grams.offsets[1:]] - total[grams.offsets[:-1]], empty)
+    value = np.zeros(len(points), np.uint64)
+    for column in points.T[::-1]:
+        value = (value * np.uint64(DIGEST_BASE) + column) % np.uint64(DIGEST_MODULUS)
+    total = np.concatenate(([0], np.cumsum(value[inverse].astype(np.int64))))
     out = pd.Series([None] * len(folded), dtype=object)
-    out[there] = sums
+    out[there] = total[grams.offsets[1:]] - total[grams.offsets[:-1]]
     return out
 
 

@@ -10,6 +10,7 @@ from reviewlens.functions import text as T
 from reviewlens.operators import canary, codecs, evaluate, graph, history, lookup, model, report, signals, store
 from reviewlens.plans.adapters import DENSE, EDGES, REVIEWS, dense_edges, edges, reviews, table
 from reviewlens.plans.registry import query
+from reviewlens.session import dealt
 from reviewlens.sources import jsonpath
 from reviewlens.streaming import ingest
 
@@ -260,20 +261,24 @@ def listing_reports(spark, sf):
 @query("""SELECT doc_id, len(t) AS n_tokens, CASE WHEN len(t) > 1 THEN 2 * len(t) - 1 ELSE len(t) END AS n_terms,
   md5(array_to_string(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), '|')) AS terms_md5 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)""")
 def tokenize_terms(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.terms(F.col("text")).alias("terms"))
+    d = dealt(table(spark, sf, "documents")).select("doc_id", T.terms(F.col("text")).alias("terms"))
     n = F.size("terms")
     return d.select("doc_id", F.when(n > 0, (n + 1) / 2).otherwise(0).cast("long").alias("n_tokens"), n.cast("long").alias("n_terms"), F.md5(F.array_join("terms", "|")).alias("terms_md5"))
 
 
+_POINT = "(CASE WHEN length(x) >= {k} THEN unicode(substring(x, {k}, 1)) ELSE 0 END)"
+_NUMBER = "CAST(0 AS BIGINT)"
+for _k in range(5, 0, -1):
+    _NUMBER = f"(({_NUMBER} * {T.DIGEST_BASE} + {_POINT.format(k=_k)}) % {T.DIGEST_MODULUS})"
 _FOLD = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
 
 @query(f"""WITH f AS (SELECT doc_id, {_FOLD} AS t FROM documents),
 g AS (SELECT doc_id, CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, CAST(i AS INTEGER), 5))) END AS s FROM f)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(list_sum(list_transform(s, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT))) AS BIGINT) AS digest FROM g""")
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(coalesce(list_sum(list_transform(s, lambda x: {_NUMBER})), 0) AS BIGINT) AS digest FROM g""")
 def shingle_sets(spark, sf):
     folded = T.fold_space(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", folded.alias("t")).select("doc_id", T.shingle_count("t").alias("n_shingles"), T.shingle_digest("t").alias("digest"))
+    return dealt(table(spark, sf, "documents")).select("doc_id", folded.alias("t")).select("doc_id", T.shingle_count("t").alias("n_shingles"), T.shingle_digest("t").alias("digest"))
 
 
 @query("""SELECT user_id, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split('u' || user_id, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
@@ -292,12 +297,12 @@ vec AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h
 
 @query(f"WITH {HASHED} SELECT doc_id, bucket, n FROM vec")
 def hashed_term_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(T.hashed_terms(T.terms(F.col("text")))).alias("bucket", "n"))
+    return dealt(table(spark, sf, "documents")).select("doc_id", F.explode(T.hashed_terms(T.terms(F.col("text")))).alias("bucket", "n"))
 
 
 @query()
 def minhash_signatures(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.signature(T.fold_space(F.col("text"))).alias("sig"))
+    return dealt(table(spark, sf, "documents")).select("doc_id", T.signature(T.fold_space(F.col("text"))).alias("sig"))
 
 
 @query()

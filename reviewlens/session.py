@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "reviewlens", master: str | None = None, extra: dict[str, str] | None = None) -> SparkSession:
@@ -18,6 +18,15 @@ def build_session(name: str = "reviewlens", master: str | None = None, extra: di
     return spark
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where the input has fewer splits than there are cores (one small file); else as they are.
+
+    For passes that cost far more than a shuffle of so little input.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """A checkpoint folder: the one that the cluster names in spark.checkpoint.dir, one in the warehouse only where none is named."""
     sc = spark.sparkContext
