@@ -283,10 +283,25 @@ def embedding(terms_: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def fnv1a32(text: Column) -> Column:
-    """32-bit FNV-1a over UTF-16 units (of texts in the basic plane)."""
-    units = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(F.filter(units, lambda u: u > 0), F.lit(0x811C9DC5), lambda h, u: F.pmod((h.bitwiseXOR(u)) * F.lit(0x01000193), F.lit(1 << 32)))
+@F.pandas_udf(T.LongType())
+def fnv1a32(text: pd.Series) -> pd.Series:
+    """32-bit FNV-1a over UTF-16 units; null for null."""
+    there = text.notna().to_numpy()
+    rows = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint32) for t in text[there]]
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+    starts, ordered = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    h = np.full(len(rows), 0x811C9DC5, np.uint32)
+    with np.errstate(over="ignore"):
+        for place in range(int(ordered[0]) if len(rows) else 0):
+            live = int(np.searchsorted(-ordered, -place, "left"))
+            h[:live] = (h[:live] ^ flat[starts[:live] + place]) * np.uint32(0x01000193)
+    values = np.empty(len(rows), np.int64)
+    values[order] = h
+    out = pd.Series([None] * len(text), dtype=object)
+    out[there] = values
+    return out
 
 
 def base36(number: Column, digits: int = 8) -> Column:

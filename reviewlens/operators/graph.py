@@ -224,6 +224,11 @@ def communities(edges: DataFrame) -> DataFrame:
     return inside.groupBy("comp").applyInPandas(solve, f"node {kind}, community {kind}")
 
 
+def by_size(parts: DataFrame) -> DataFrame:
+    """community, n: the largest first, of equal ones the one with the smallest name."""
+    return parts.groupBy("community").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "community")
+
+
 def score_communities(parts: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
     """community, n, density, homogeneity, clustering, incoherence, combined, flagged.
 

@@ -235,6 +235,19 @@ def split(examples: DataFrame, fraction: float, seed: int, key: str = "example_i
     return ranked.withColumn("is_test", F.col("_h") <= F.lit(limit)).drop("_h")
 
 
+def complete(examples: DataFrame, features: list[str]) -> tuple[DataFrame, int]:
+    """Rows that know all of the features, and how many others there are."""
+    kept = examples.na.drop(subset=features)
+    return kept, examples.count() - kept.count()
+
+
+def priors_document(fitted: DataFrame, generated_at: Column) -> DataFrame:
+    """document: fitted priors that aren't thin, by category key (as many rows as there are categories)."""
+    shape = F.array(*[F.col(f"h{k}") for k in range(1, 6)])
+    rows = fitted.where("key IS NOT NULL AND NOT thin").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", F.struct(shape.alias("organicPrior"), "listings", "reviews"))))).alias("categories"))
+    return rows.select(F.to_json(F.struct(generated_at.alias("generatedAt"), "categories")).alias("document"))
+
+
 def fit_logistic(examples: DataFrame, features: list[str], label: str = "label", rate: float = RATE, iterations: int = ITERATIONS, penalty: float = PENALTY, most: int = FIT_ROWS) -> tuple[float, dict[str, float]]:
     """Full-batch gradient descent from zero with an L2 penalty on the weights; complete rows only.
 

@@ -226,17 +226,54 @@ def change_point_of(vectors: np.ndarray, least: int = MIN_DRIFT_REVIEWS, edge: i
     return int(k[best]), float(max(0.0, distance[best]))
 
 
-def change_points(rows: DataFrame, group: str, order: list[str], vector: str) -> DataFrame:
-    """group, n, drift_statistic, split (rows before), at (the first order column there) and after: null below 0.5."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        split, distance = change_point_of(np.stack(part[vector].to_numpy()).astype(float))
-        told = distance >= MIN_DRIFT
-        return pd.DataFrame({"grp": [part[group].iloc[0]], "n": [len(part)], "drift_statistic": [distance], "split": [split if told else None], "at": [int(part[order[0]].iloc[split]) if told else None], "after": [len(part) - split if told else None]})
+def change_points(rows: DataFrame, group: str, order: list[str], vector: str, ranges: int = 64) -> DataFrame:
+    """group, n, drift_statistic, split (rows before), at (the first order column there) and after: null below 0.5.
 
+    A group is cut into ranges of its first order column (a number), so that no task
+    holds all of it: the sums of the ranges are added up first, then each range looks
+    for its best split with the sum of the ranges before it.
+    """
+    limits = rows.groupBy(F.col(group).alias("grp")).agg(F.min(order[0]).alias("low"), F.max(order[0]).alias("high"))
+    place = F.floor((F.col("_o0") - F.col("low")) * ranges / (F.col("high") - F.col("low") + 1)).cast("int")
+    keyed = rows.select(F.col(group).alias("grp"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(vector).alias("v")).join(limits, "grp").withColumn("part", place).drop("low", "high")
     kind = rows.schema[group].dataType.simpleString()
-    return rows.groupBy(group).applyInPandas(run, f"grp {kind}, n long, drift_statistic double, split long, at long, after long").withColumnRenamed("grp", group)
+    whole = lambda part: np.stack(part["v"].to_numpy()).astype(float)
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"grp": [part["grp"].iloc[0]], "part": [part["part"].iloc[0]], "n": [len(part)], "sum": [whole(part).sum(axis=0).tolist()]})
+
+    def run_up(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("part")
+        sums, n = np.stack(parts["sum"].to_numpy()), parts["n"].to_numpy()
+        before = np.cumsum(sums, axis=0) - sums
+        return pd.DataFrame({"of": parts["grp"], "p": parts["part"], "first": np.cumsum(n) - n, "total_n": n.sum(), "before": before.tolist(), "total": [sums.sum(axis=0).tolist()] * len(parts)})
+
+    sums = keyed.groupBy("grp", "part").applyInPandas(add, f"grp {kind}, part int, n long, sum array<double>")
+    bases = sums.groupBy("grp").applyInPandas(run_up, f"of {kind}, p int, first long, total_n long, before array<double>, total array<double>")
+
+    def best(part: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([f"_o{i}" for i in range(len(order))], kind="stable")
+        b = base.iloc[0]
+        n, first = int(b["total_n"]), int(b["first"])
+        # a split at k has k rows before it: this range has those at its rows
+        k = first + np.arange(len(part))
+        x = whole(part)
+        before = np.asarray(b["before"]) + np.cumsum(x, axis=0) - x
+        after = np.asarray(b["total"]) - before
+        scale = np.linalg.norm(before, axis=1) * np.linalg.norm(after, axis=1)
+        distance = np.where(scale > 0, 1 - np.einsum("ij,ij->i", before, after) / np.where(scale > 0, scale, 1), 0.0)
+        legal = (k >= EDGE_REVIEWS) & (k <= n - EDGE_REVIEWS) & (n >= MIN_DRIFT_REVIEWS)
+        row = {"grp": part["grp"].iloc[0], "n": n, "distance": 0.0, "split": None, "at": None}
+        if legal.any():
+            at = int(np.argmax(np.where(legal, distance, -1.0)))
+            row |= {"distance": float(max(0.0, distance[at])), "split": int(k[at]), "at": int(part["_o0"].iloc[at])}
+        return pd.DataFrame([row]).astype({"split": "Int64", "at": "Int64"})
+
+    found = keyed.groupBy("grp", "part").cogroup(bases.groupBy("of", "p")).applyInPandas(best, f"grp {kind}, n long, distance double, split long, at long")
+    top = found.groupBy("grp").agg(F.max("n").alias("n"), F.max(F.struct("distance", (-F.col("split")).alias("s"), "at")).alias("x"))
+    told = F.col("x.distance") >= MIN_DRIFT
+    split = -F.col("x.s")
+    return top.select(F.col("grp").alias(group), "n", F.col("x.distance").alias("drift_statistic"), F.when(told, split).alias("split"), F.when(told, F.col("x.at")).alias("at"), F.when(told, F.col("n") - split).alias("after"))
 
 
 # -- the vector ----------------------------------------------------------------------

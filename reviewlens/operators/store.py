@@ -237,3 +237,37 @@ def holdings_lines(held: DataFrame, now: Column) -> DataFrame:
         F.concat(F.lit("to be sent: "), counted(F.col("queued"), "row", "rows"), F.coalesce(F.concat(F.lit(", the first "), due), F.lit(""))),
     ]
     return held.select(F.explode(F.array(*lines)).alias("line"))
+
+
+# -- flagged hashes ------------------------------------------------------------------------
+
+
+@dataclass
+class Flags:
+    """Flagged hashes in a table by their first two digits, so that a lookup reads only the parts that it asks for.  Nothing is ever removed."""
+
+    spark: SparkSession
+    path: str
+
+    def all(self) -> DataFrame:
+        at, fs = _files(self.spark, self.path)
+        schema = "reviewer_hash string, part string"
+        return self.spark.read.schema(schema).parquet(self.path) if fs.exists(at) else self.spark.createDataFrame([], schema)
+
+    def add(self, hashes: DataFrame) -> None:
+        """Add hashes that aren't held yet."""
+        keyed = hashes.select("reviewer_hash").distinct().withColumn("part", F.substring("reviewer_hash", 1, 2))
+        fresh = keyed.join(self.all(), ["reviewer_hash", "part"], "left_anti").select("reviewer_hash", "part")
+        fresh.repartition("part").write.mode("append").partitionBy("part").parquet(self.path)
+
+    def matches(self, prefix: str) -> DataFrame:
+        """Flagged hashes that begin with a prefix of two digits or more, sorted."""
+        own = self.all().where((F.col("part") == prefix[:2]) & F.col("reviewer_hash").startswith(prefix))
+        return own.select("reviewer_hash").orderBy("reviewer_hash")
+
+    def answer(self, prefixes: DataFrame) -> DataFrame:
+        """prefix, hashes: for each prefix the flagged hashes that begin with it (none: empty)."""
+        asked = prefixes.select("prefix").distinct().withColumn("part", F.substring("prefix", 1, 2))
+        hits = asked.join(self.all(), "part", "left").where(F.col("reviewer_hash").isNull() | F.col("reviewer_hash").startswith(F.col("prefix")))
+        found = hits.groupBy("prefix").agg(F.sort_array(F.collect_list("reviewer_hash")).alias("hashes"))
+        return asked.select("prefix").join(found, "prefix", "left").select("prefix", F.coalesce("hashes", F.array().cast("array<string>")).alias("hashes"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import calendar
 import struct
 import time
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXAMPLE = "exampleId string, features map<string,double>, label int, metadata map<string,string>"
@@ -42,7 +43,7 @@ def read_vectors(spark: SparkSession, path: str, most: int | None = None) -> Dat
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("place"), parts.alias("p")).where(F.size("p") > 2)
     rows = rows.select(F.get("p", 0).alias("token"), F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("double")).alias("vec"), "place")
-    rows = rows.where(F.col("token").rlike(r"^[\p{L}\p{N}]+$") & (F.lower("token") == F.col("token")))
+    rows = rows.where(reachable(F.col("token")))
     first = rows.groupBy("token").agg(F.min_by("vec", "place").alias("vec"), F.min("place").alias("place"))
     sizes = [r[0] for r in first.select(F.size("vec")).distinct().collect()]
     if len(sizes) > 1:
@@ -122,3 +123,25 @@ def verify(spark: SparkSession, path: str) -> bool:
     except (PySparkException, Py4JError):
         return False
     return True
+
+
+def snapshot_time(name: str) -> float | None:
+    """Seconds since 1970 that a snapshot's name says; None for another name."""
+    try:
+        return float(calendar.timegm(time.strptime(name, "snapshot=%Y%m%dT%H%M%SZ")))
+    except ValueError:
+        return None
+
+
+def snapshot_due(spark: SparkSession, root: str, now: float, every_s: float = 86_400) -> bool:
+    """Whether there is no snapshot or the newest is older than ``every_s``."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    names = snapshots(spark, root) if path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path) else []
+    times = [t for t in map(snapshot_time, names) if t is not None]
+    return not times or now - max(times) >= every_s
+
+
+def reachable(token: Column) -> Column:
+    """Whether a token is one that a text can be cut into: itself, in lower case."""
+    return token.rlike(r"^[\p{L}\p{N}]+$") & (F.lower(token) == token)

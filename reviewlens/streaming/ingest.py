@@ -223,3 +223,33 @@ def recompute(spark: SparkSession, edges_path: str, flags_path: str, now: Column
         if "PATH_NOT_FOUND" not in str(e):
             raise
     new.distinct().write.mode("append").parquet(flags_path)
+
+
+def progress_samples(query: StreamingQuery) -> list[tuple[str, str, str, dict, float]]:
+    """Counters and gauges of a running query, as samples for ``notices.metrics_text``: batches, rows, rows a second, rows of state."""
+    progress = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    label = {"query": query.name or str(query.id)}
+    last = progress[-1] if progress else {}
+    rows = sum(p.get("numInputRows", 0) for p in progress)
+    state = sum(s.get("numRowsTotal", 0) for s in last.get("stateOperators", []))
+    return [
+        ("stream_batches", "counter", "Micro-batches.", label, float(len(progress))),
+        ("stream_rows", "counter", "Rows read.", label, float(rows)),
+        ("stream_rows_per_second", "gauge", "Rows a second in the last batch.", label, float(last.get("processedRowsPerSecond") or 0.0)),
+        ("stream_state_rows", "gauge", "Rows of state.", label, float(state)),
+    ]
+
+
+def health(queries: dict[str, StreamingQuery | None], most_idle_s: float, now: float) -> dict[str, str]:
+    """State of each named query: ok, stale (its last batch is too long ago), failed (it ended with an error) or missing."""
+    out = {}
+    for name, query in queries.items():
+        if query is None:
+            out[name] = "missing"
+        elif query.exception() is not None:
+            out[name] = "failed"
+        else:
+            last = query.lastProgress
+            stamp = pd.Timestamp((last if isinstance(last, dict) else json.loads(last.json))["timestamp"]).timestamp() if last else None
+            out[name] = "ok" if stamp is not None and now - stamp <= most_idle_s else "stale"
+    return out

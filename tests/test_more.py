@@ -144,3 +144,51 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["dispute", str(tmp_path / "m.json"), str(tmp_path / "d.jsonl")]) == 0 and "agrees" in capsys.readouterr().out
     (tmp_path / "n.json").write_text(model.absent_artifact("x"))
     assert main(["dispute", str(tmp_path / "n.json"), str(tmp_path / "d.jsonl")]) == 1
+
+
+def test_short_digests(spark):
+    def plain(t):
+        h = 0x811C9DC5
+        data = t.encode("utf-16-le")
+        for i in range(0, len(data), 2):
+            h = ((h ^ int.from_bytes(data[i : i + 2], "little")) * 0x01000193) & 0xFFFFFFFF
+        return h
+
+    texts = ["", "a", "naïve", "🙂 two units", "日本", None, "x" * 300]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.fnv1a32(F.col("t")).alias("h"), T.serial(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [r["h"] for r in rows] == [None if t is None else plain(t) for t in texts]
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    n, out = plain("a"), ""
+    while n:
+        n, d = divmod(n, 36)
+        out = digits[d] + out
+    assert rows[1]["s"] == f"{out.rjust(8, '0')[:4]}-{out.rjust(8, '0')[4:]}"
+
+
+def test_refined_and_sizes(spark):
+    from reviewlens.operators import graph, report
+
+    first = spark.createDataFrame([(1, 0.1), (2, 0.2)], "listing_id int, p double")
+    later = spark.createDataFrame([(2, 0.9)], "listing_id int, p double")
+    assert sorted(map(tuple, report.refined(first, later).collect())) == [(1, 0.1, True), (2, 0.9, False)]
+    parts = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "w")], "node string, community string")
+    assert [tuple(r) for r in graph.by_size(parts).collect()] == [("y", 2), ("w", 1), ("x", 1)]
+
+
+def test_change_points_in_ranges(spark):
+    rng = np.random.default_rng(70)
+    rows = []
+    for listing, n in ((1, 60), (2, 11), (3, 40), (4, 30)):
+        for i in range(n):
+            centre = np.array([1.0, 0, 0]) if listing != 3 and i < n // 2 else np.array([0, 1.0, 0])
+            rows.append((listing, int(20000 + (i if listing == 1 else i // 10)), len(rows), [float(x) for x in centre + rng.normal(0, 0.1, 3)]))
+    frame = spark.createDataFrame(rows, "listing_id long, day long, review_id long, v array<double>")
+    for ranges in (1, 7, 64):
+        got = {r["listing_id"]: r for r in signals.change_points(frame, "listing_id", ["day", "review_id"], "v", ranges).collect()}
+        for listing in (1, 2, 3, 4):
+            own = sorted(r[1:] for r in rows if r[0] == listing)
+            split, distance = signals.change_point_of(np.array([v for *_, v in own]))
+            r = got[listing]
+            assert r["n"] == len(own) and abs(r["drift_statistic"] - distance) < 1e-9
+            told = distance >= 0.5
+            assert (r["split"], r["at"], r["after"]) == ((split, own[split][0], len(own) - split) if told else (None, None, None)), (ranges, listing)
