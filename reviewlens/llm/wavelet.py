@@ -15,7 +15,8 @@ A shard holds whole documents in ascending key order (null keys first, ties by
 text) and about ``SHARD_TOKENS`` ids; a longer document has a shard alone.  Files
 are written under a temporary name and renamed, so a retried task replaces its
 file by an equal one.  Null texts have the end id only; an empty table gives no
-files and no rows.
+files and no rows.  Keys are whole numbers: others are cast, and one that can't be
+is an error.  Repeated rows are documents of their own.
 """
 
 from __future__ import annotations
