@@ -97,3 +97,17 @@ def test_restore_skips_broken_snapshots(spark, tmp_path):
         shutil.rmtree(tmp_path / "snap" / name)
     with pytest.raises(FileNotFoundError):
         files.restore(spark, root)
+
+
+def test_recompute_only_adds_flags(spark, tmp_path):
+    # two pairs of reviewers who share twelve products and nothing else
+    rows = [(f"{pair}{who}", f"{pair}p{i}", 5, 10, None, T0 + dt.timedelta(days=age)) for pair, age in (("a", 0), ("b", 50)) for who in "xy" for i in range(12)]
+    rows += [(f"o{i}", f"q{(i * 7 + j * 3) % 40}", 1 + (i + j) % 5, j, True, T0 + dt.timedelta(days=50)) for i in range(30) for j in range(4)]
+    edges = spark.createDataFrame(rows, "reviewer_hash string, product_hash string, star_rating int, week_bucket int, verified boolean, received_at timestamp")
+    edges.withColumn("day", F.to_date("received_at")).write.partitionBy("day").parquet(str(tmp_path / "edges"))
+    run = lambda day: ingest.recompute(spark, str(tmp_path / "edges"), str(tmp_path / "flags"), F.lit(str(T0 + dt.timedelta(days=day))).cast("timestamp"))
+    flags = lambda: sorted(r[0] for r in spark.read.parquet(str(tmp_path / "flags")).collect())
+    run(60)
+    assert flags() == ["ax", "ay", "bx", "by"]
+    run(120)  # the first pair is past its retention, its flags stay
+    assert flags() == ["ax", "ay", "bx", "by"]
