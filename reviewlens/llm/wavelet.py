@@ -145,6 +145,41 @@ class WaveletMatrix:
                 i = self._select_bit(level, 0, i)
         return i
 
+    def _before(self, level: int) -> np.ndarray:
+        """Ones of a plane before each of its bytes, and in all."""
+        return np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bitwise_count(self.planes[level]), dtype=np.int64)))
+
+    def _ranks(self, level: int, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """``_ones`` of many places at once."""
+        plane = np.append(self.planes[level], np.uint8(0))
+        byte = at >> 3
+        inside = plane[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)
+        return before[byte] + np.bitwise_count(inside)
+
+    def accesses(self, at: np.ndarray) -> np.ndarray:
+        """The ids at many places."""
+        at, out = np.asarray(at, np.int64), np.zeros(len(at), np.int64)
+        for level in range(len(self.planes)):
+            ones = self._ranks(level, at, self._before(level))
+            bit = self.planes[level][at >> 3] >> (at & 7).astype(np.uint8) & 1
+            out = out << 1 | bit
+            at = np.where(bit, self.zeros[level] + ones, at - ones)
+        return out
+
+    def counts(self, value: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Occurrences of ``value`` in many ranges."""
+        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+        if value >> len(self.planes):
+            return np.zeros(len(a), np.int64)
+        for level in range(len(self.planes)):
+            before = self._before(level)
+            one_a, one_b = self._ranks(level, a, before), self._ranks(level, b, before)
+            if value >> (len(self.planes) - 1 - level) & 1:
+                a, b = self.zeros[level] + one_a, self.zeros[level] + one_b
+            else:
+                a, b = a - one_a, b - one_b
+        return b - a
+
     def occurrences(self, value: int) -> list[int]:
         """All places of ``value``."""
         return [self.select(value, k) for k in range(self.count(value))]
@@ -271,7 +306,11 @@ def write_token_files(docs: DataFrame, folder: str, text: str = "text", key: str
 
 
 def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key``, start, n_tokens, ids_crc32 and shard file of each document, decoded from the files."""
+    """``key``, start, n_tokens, ids_crc32, last_id, n_end_ids and shard file of each document.
+
+    The ids are decoded for the checksum; the last one (the end id) is read by access
+    and the end ids in the document's range are counted by rank, without decoding.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,12 +319,14 @@ def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 view = memoryview(shard.matrix.ids().astype("<u4")).cast("B")
                 starts = shard.starts
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                last, ends = shard.matrix.accesses(starts[1:] - 1), shard.matrix.counts(END_ID, starts[:-1], starts[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.keys, pa.int64()), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64()), pa.array([file] * len(crc))], names=[key, "start", "n_tokens", "ids_crc32", "file"]
+                    [pa.array(shard.keys, pa.int64()), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64()), pa.array(last), pa.array(ends), pa.array([file] * len(crc))],
+                    names=[key, "start", "n_tokens", "ids_crc32", "last_id", "n_end_ids", "file"],
                 )
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file", "base").repartition(parts, "file").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long, file string")
+    return manifest.select("file", "base").repartition(parts, "file").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long, last_id long, n_end_ids long, file string")
 
 
 def token_files(docs: DataFrame, text: str = "text", key: str = "doc_id", folder: str | None = None) -> DataFrame:

@@ -68,6 +68,9 @@ def test_wavelet_operations():
     for v in (1, 2, 9, 50256, 70000):
         assert m.occurrences(v) == np.flatnonzero(ids == v).tolist()
         assert m.count(v, 100, 700) == int((ids[100:700] == v).sum())
+        low, high = np.array([0, 100, 511, 4999, 7]), np.array([5000, 700, 513, 5000, 7])
+        assert m.counts(v, low, high).tolist() == [int((ids[a:b] == v).sum()) for a, b in zip(low, high, strict=True)]
+    assert (m.accesses(np.arange(5000)[::-1]) == ids[::-1]).all()
     assert m.select(1, 10**6) == -1
     empty = wavelet.WaveletMatrix.build(np.zeros(0, np.uint32))
     assert empty.n == 0 and empty.count(0) == 0
@@ -85,6 +88,10 @@ def test_token_files(spark, library, odd_texts):
         want.append((k, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got), key=lambda r: r[1]) == want
+    zeros = {r["start"]: r["n_end_ids"] for r in got}
+    assert all(r["last_id"] == 0 and zeros[r["start"]] >= 1 for r in got)
+    by_start = {s: t for (k, s, *_), t in zip(want, [t for _, t in sorted(zip(keys, odd_texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))], strict=True)}
+    assert all(n == library.encode(by_start[s] or "", add_special_tokens=False).ids.count(0) + 1 for s, n in zeros.items())
     assert wavelet.token_files(frame(spark, [])).count() == 0
 
 
