@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,6 +266,64 @@ def hashed_terms(terms_: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _fnv_on(state: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """FNV-1a states after the bytes ``flat[starts:starts + sizes]`` of each row."""
+    order = np.argsort(-sizes, kind="stable")
+    ordered, first, h = sizes[order], starts[order], state[order]
+    with np.errstate(over="ignore"):
+        for place in range(int(ordered[0]) if len(order) else 0):
+            live = int(np.searchsorted(-ordered, -place, "left"))
+            h[:live] = (h[:live] ^ flat[first[:live] + place]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+#: Tokens of texts whose terms are hashed at once.
+TOKENS = 1 << 18
+
+
+def with_hashed_terms(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: ``hashed_terms`` of the terms of a text column, in flat arrays.
+
+    Only tokens go to Python; a pair's hash goes on from that of its first word.
+    """
+    source = rows.withColumn("_tokens", tokens(F.col(text)))
+    out = T.StructType([*rows.schema.fields, T.StructField(name, T.MapType(T.IntegerType(), T.IntegerType()))])
+    kind = pa.map_(pa.int32(), pa.int32())
+
+    def counted(lists: pa.Array) -> pa.Array:
+        offsets = np.asarray(lists.offsets, np.int64)
+        words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(pa.large_binary())
+        offsets = offsets - offsets[0]
+        n, at = len(lists), np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        flat = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] is not None else np.zeros(0, np.uint8)
+        doc = np.repeat(np.arange(n), np.diff(offsets))
+        one = _fnv_on(np.full(len(words), FNV_BASIS, np.uint64), flat, at[:-1], np.diff(at))
+        left = np.flatnonzero(doc[1:] == doc[:-1])
+        with np.errstate(over="ignore"):
+            joint = (one[left] ^ np.uint64(0x20)) * np.uint64(FNV_PRIME)
+        two = _fnv_on(joint, flat, at[left + 1], np.diff(at)[left + 1])
+        h, owner = np.concatenate((one, two)), np.concatenate((doc, doc[left]))
+        cell = owner * DIMENSIONS + (h % np.uint64(DIMENSIONS)).astype(np.int64)
+        total = np.bincount(cell, weights=np.where(h >> np.uint64(63), -1, 1), minlength=n * DIMENSIONS)
+        there = np.flatnonzero(np.bincount(cell, minlength=n * DIMENSIONS))
+        bounds = np.searchsorted(there, np.arange(n + 1) * DIMENSIONS)
+        maps = pa.MapArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(there % DIMENSIONS, pa.int32()), pa.array(total[there].astype(np.int64), pa.int32()))
+        valid = np.asarray(lists.is_valid())
+        return maps if valid.all() else pa.array([m if v else None for m, v in zip(maps.to_pylist(), valid.tolist(), strict=True)], kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(np.diff(np.asarray(batch.column("_tokens").offsets, np.int64)))
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(sizes, np.arange(TOKENS, int(sizes[-1]) if len(sizes) else 0, TOKENS), "right"), np.arange(0, batch.num_rows, 1024), [batch.num_rows])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], counted(part.column("_tokens"))], names=[*part.schema.names[:-1], name])
+
+    return source.mapInArrow(run, out)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two maps bucket -> count."""
     return F.aggregate(F.transform(F.map_entries(a), lambda e: e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))), F.lit(0), lambda s, x: s + x)

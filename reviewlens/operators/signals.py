@@ -202,10 +202,13 @@ def off_topic(reviews: DataFrame, products: DataFrame) -> DataFrame:
     decides.  Null shares where the product's text has no terms.
     """
     texts = reviews.where("text IS NOT NULL").select("listing_id", "text")
-    once = texts.select("text").distinct().withColumn("r", T.hashed_terms(T.terms(F.col("text"))))
-    wanted = products.join(reviews.select("listing_id").distinct(), "listing_id", "left_semi")
-    p = wanted.select("listing_id", T.hashed_terms(T.terms(F.col("product_text"))).alias("p"))
-    joined = texts.join(once, "text").select("listing_id", "r").join(p, "listing_id")
+    # a text is told by its hash, so that it moves once and its vector meets the reviews without it
+    named = texts.select("listing_id", F.sha2("text", 256).alias("name"))
+    once = T.with_hashed_terms(texts.select("text").distinct(), "text", "r").select(F.sha2("text", 256).alias("name"), "r")
+    wanted = products.join(reviews.select("listing_id").distinct(), "listing_id", "left_semi").where("product_text IS NOT NULL")
+    p = T.with_hashed_terms(wanted.select("listing_id", "product_text"), "product_text", "p").select("listing_id", "p")
+    none = products.join(reviews.select("listing_id").distinct(), "listing_id", "left_semi").where("product_text IS NULL").select("listing_id", F.lit(None).cast("map<int,int>").alias("p"))
+    joined = named.join(once, "name").select("listing_id", "r").join(p.unionByName(none), "listing_id")
     norm = lambda c: F.sqrt(F.aggregate(F.map_values(c), F.lit(0), lambda s, x: s + x * x).cast("double"))
     inner = joined.select("listing_id", T.dot(F.col("r"), F.col("p")).alias("d"), norm("r").alias("nr"), norm("p").alias("np")).where("nr > 0")
     per = inner.groupBy("listing_id").agg(F.count("*").alias("n_embedded"), F.count_if(F.col("d") <= 0).alias("off"), F.avg(F.when(F.col("np") > 0, 1 - F.col("d") / (F.col("nr") * F.col("np")))).alias("mean_distance"), F.max("np").alias("np"))

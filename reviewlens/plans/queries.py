@@ -297,7 +297,8 @@ vec AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h
 
 @query(f"WITH {HASHED} SELECT doc_id, bucket, n FROM vec")
 def hashed_term_counts(spark, sf):
-    return dealt(table(spark, sf, "documents")).select("doc_id", F.explode(T.hashed_terms(T.terms(F.col("text")))).alias("bucket", "n"))
+    docs = dealt(table(spark, sf, "documents")).select("doc_id", "text")
+    return T.with_hashed_terms(docs, "text", "h").select("doc_id", F.explode("h").alias("bucket", "n"))
 
 
 @query()

@@ -192,3 +192,12 @@ def test_change_points_in_ranges(spark):
             assert r["n"] == len(own) and abs(r["drift_statistic"] - distance) < 1e-9
             told = distance >= 0.5
             assert (r["split"], r["at"], r["after"]) == ((split, own[split][0], len(own) - split) if told else (None, None, None)), (ranges, listing)
+
+
+def test_hashed_terms_in_flat_arrays(spark):
+    texts = ["Red kettle, red KETTLE 4", "", None, "日本語 naïve 🙂 x", "a", "b " * 3000, "…"]
+    frame = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "i int, t string, r string")
+    rows = T.with_hashed_terms(frame, "t", "h").select("i", "r", "h", T.hashed_terms(T.terms(F.col("t"))).alias("want")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["h"] == r["want"] and r["r"] == "k", texts[r["i"]]
