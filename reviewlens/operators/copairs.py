@@ -26,7 +26,7 @@ from reviewlens.functions import stats
 from reviewlens.session import stored, unstored
 
 #: Pairs (both ways) of one part, and those that are counted at once.
-PART_PAIRS, PAIRS = 32_000_000, 2_000_000
+PART_PAIRS, PAIRS = 16_000_000, 1_000_000
 #: Most places of a table of tails by two degrees.
 TAILS = 4_000_000
 
@@ -124,24 +124,26 @@ def _tails(n: int, low: np.ndarray, high: np.ndarray, overlap: np.ndarray) -> np
 
 def _rows_of(part: int, parts: int, blocks: list[tuple[int, int, bytes]], degree: np.ndarray, n: int, level: float, both: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """(a, b, overlap, p_value, weight) of the significant pairs of the part's reviewers a, whole rows at a time; only b > a unless ``both``."""
-    lists, members = [], []
-    for count, m, data in blocks:
+    lists, members, places, n_members = [], [], [], 0
+    while blocks:
+        count, m, data = blocks.pop()
         numbers = _unpacked(data, count + m)
         sizes, steps = numbers[:count], numbers[count:]
         starts = np.cumsum(sizes) - sizes
         total = np.cumsum(steps)
-        lists.append(sizes)
+        lists.append(sizes.astype(np.int32))
         members.append((total - np.repeat(total[starts] - steps[starts], sizes)).astype(np.int32))
+        places.append(np.flatnonzero(members[-1] % parts == part) + n_members)
+        n_members += m
     if not lists:
         return
-    sizes, member = np.concatenate(lists), np.concatenate(members)
-    del lists, members
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    sizes, member, mine = np.concatenate(lists).astype(np.int64), np.concatenate(members), np.concatenate(places)
+    del lists, members, places
     starts = np.cumsum(sizes) - sizes
-    mine = np.flatnonzero(member % parts == part)
+    owner = np.searchsorted(starts, mine, "right") - 1
     # without both ways a row begins behind its reviewer
-    begin = starts[owner[mine]] if both else mine + 1
-    unrolled = starts[owner[mine]] + sizes[owner[mine]] - begin
+    begin = starts[owner] if both else mine + 1
+    unrolled = starts[owner] + sizes[owner] - begin
     del owner
     by_row = np.argsort(member[mine], kind="stable")
     mine, begin, unrolled = mine[by_row], begin[by_row], unrolled[by_row]
