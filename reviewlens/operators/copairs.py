@@ -193,9 +193,21 @@ def pairs(edges: DataFrame, level: float, strong: float | None = None, name: Cal
     edges: reviewer_hash and product_hash of any type that sorts; those with a null meet nothing.
     name: a reviewer's name from its key; a and b are names.
     """
+    found, names = numbered_pairs(edges, level, strong, name)
+    if strong is None:
+        return found
+    of = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    out = stored(found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), "weight"), "backbone")
+    unstored(found, names)
+    return out
+
+
+def numbered_pairs(edges: DataFrame, level: float, strong: float | None, name: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` and the reviewers (key, k, name, id); with ``strong`` a and b are ids."""
     e = stored(edges.select("reviewer_hash", "product_hash").distinct(), "edges")
     names = numbered(e, name)
     met = e.where("product_hash IS NOT NULL").join(names.select("key", "id"), F.col("reviewer_hash") == F.col("key"))
+    met = met.select("product_hash", "id").repartition("product_hash")
     lists = stored(met.groupBy("product_hash").agg(F.collect_list("id").alias("ids")).select("ids"), "product-lists")
     n, unrolled = lists.agg(F.count("*"), F.sum(F.size("ids").cast("long") * F.size("ids"))).first()
     unstored(e)
@@ -237,9 +249,7 @@ def pairs(edges: DataFrame, level: float, strong: float | None = None, name: Cal
 
     dealt = blocks.unionByName(every).repartition(parts, "part")
     if strong is None:
-        return dealt.mapInArrow(run, f"a {kind}, b {kind}, overlap long, p_value double, weight double")
-    found = dealt.mapInArrow(run, "a int, b int, weight double").dropDuplicates(["a", "b"])
-    of = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
-    out = stored(found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), "weight"), "backbone")
-    unstored(lists, names)
-    return out
+        return dealt.mapInArrow(run, f"a {kind}, b {kind}, overlap long, p_value double, weight double"), names
+    found = stored(dealt.mapInArrow(run, "a int, b int, weight double").dropDuplicates(["a", "b"]), "links")
+    unstored(lists)
+    return found, names

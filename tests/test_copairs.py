@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from itertools import combinations
 
@@ -71,3 +72,20 @@ def test_claims_with_nulls(spark):
     kept, dropped = graph.sanitise(edges)
     assert sorted(map(tuple, kept.collect())) == [("a", "p", 5, 1, None, 1), ("c", "p", None, 1, True, None)]
     assert sorted((r["reviewer_hash"], r["conflicts"], r["duplicates"]) for r in dropped.collect()) == [("a", 0, 1), ("b", 2, 0), ("c", 0, 1), ("d", 2, 0)]
+
+
+def test_components_leave_one_table(spark, tmp_path):
+    """Rounds on a long path leave no tables or checkpoints behind but what the result reads, and numbers give the components of names."""
+    sc = spark.sparkContext
+    sc.setCheckpointDir(f"file://{tmp_path}")
+    path = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)] + [("x", "y")], "a string, b string")
+    got = {r["node"]: r["comp"] for r in graph.connected(path).collect()}
+    assert got == {f"n{i:02d}": "n00" for i in range(41)} | {"x": "x", "y": "x"}
+    folder = sc._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert len([x for x in os.listdir(folder) if not x.startswith(".")]) == 1
+
+    edges = spark.createDataFrame(_rows(), "reviewer_hash string, product_hash string")
+    turned = lambda key: F.reverse(key)
+    links, names = graph.numbered_backbone(edges, name=turned)
+    want = {tuple(r) for r in graph.connected(graph.projected_backbone(edges, name=turned)).select("node", "comp").collect()}
+    assert {tuple(r) for r in graph.named(graph.connected(links), names, "node", "comp").select("node", "comp").collect()} == want and want
