@@ -465,3 +465,18 @@ def test_tree_confines_movement(spark):
     moved = sharding.assign(sharding.assign(docs, tree, column="a"), changed, column="b").where("a <> b").collect()
     assert moved and all(r["b"] < 4 for r in moved)  # only into the region whose weight grew
     assert all(r["a"] >= 2 or r["b"] < 2 for r in moved if r["a"] < 4)
+
+
+def test_components_of_few_edges(spark):
+    """A small table is solved in a few jobs, with the result of the rounds."""
+    rng = random.Random(9)
+    nodes = rng.sample(range(10**9), 400)
+    edges = spark.createDataFrame([*zip(nodes[:300], nodes[1:300]), *[(rng.choice(nodes[300:]), rng.choice(nodes[300:])) for _ in range(90)], (nodes[0], nodes[0])], "u long, v long")
+    sc = spark.sparkContext
+    sc.setJobGroup("few", "components")
+    got = {tuple(r) for r in components.components(edges).select("id", "comp").collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few"))
+    sc.setJobGroup("others", "")
+    assert got == {tuple(r) for r in components.components(edges, few=0).select("id", "comp").collect()} and got
+    assert jobs <= 6
+    assert components.components(edges.where("false")).count() == 0
