@@ -8,14 +8,15 @@
    and no more than one row for each part and batch of products.
 3. A part holds the lists of all products of its reviewers, so it has whole rows of
    the pair matrix.  It unrolls, sorts and counts them for some of its reviewers at a
-   time (``PAIRS``), which bounds its memory.
+   time (``PAIRS``), which bounds its memory.  Where members are sent many times, the
+   parts are dealt in rounds (``ROUND``), which bounds the disk.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from reviewlens.session import stored, unstored
 
 #: Pairs (both ways) of one part, and those that are counted at once.
 PART_PAIRS, PAIRS = 16_000_000, 1_000_000
+#: Times that a member is dealt in one round of parts, about; the blocks of a round are deleted before the next.
+ROUND = 12
 #: Most places of a table of tails by two degrees.
 TAILS = 4_000_000
 
@@ -65,8 +68,8 @@ def numbered(edges: DataFrame, name: Callable[[Column], Column]) -> DataFrame:
     return out
 
 
-def _blocks(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lists of numbers to rows (part, n lists, m members, block)."""
+def _blocks(parts: int, of_parts: range | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists of numbers to rows (part, n lists, m members, block), of some of the parts or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +85,7 @@ def _blocks(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             of = flat % parts
             by_part = np.argsort(of, kind="stable")
             bounds = np.searchsorted(of[by_part], np.arange(parts + 1))
-            for part in range(parts):
+            for part in of_parts or range(parts):
                 mine = owner[by_part[bounds[part] : bounds[part + 1]]]
                 if not len(mine):
                     continue
@@ -202,20 +205,28 @@ def pairs(edges: DataFrame, level: float, strong: float | None = None, name: Cal
     return out
 
 
-def numbered_pairs(edges: DataFrame, level: float, strong: float | None, name: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """``pairs`` and the reviewers (key, k, name, id); with ``strong`` a and b are ids."""
-    e = stored(edges.select("reviewer_hash", "product_hash").distinct(), "edges")
+def numbered_pairs(edges: DataFrame, level: float, strong: float | None, name: Callable[[Column], Column], unique: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` and the reviewers (key, k, name, id); with ``strong`` a and b are ids.
+
+    unique: edges are a stored table without repeats, so that no copy of it is made.
+    """
+    e = edges.select("reviewer_hash", "product_hash") if unique else stored(edges.select("reviewer_hash", "product_hash").distinct(), "edges")
     names = numbered(e, name)
     met = e.where("product_hash IS NOT NULL").join(names.select("key", "id"), F.col("reviewer_hash") == F.col("key"))
     met = met.select("product_hash", "id").repartition("product_hash")
     lists = stored(met.groupBy("product_hash").agg(F.collect_list("id").alias("ids")).select("ids"), "product-lists")
-    n, unrolled = lists.agg(F.count("*"), F.sum(F.size("ids").cast("long") * F.size("ids"))).first()
-    unstored(e)
+    size = F.size("ids").cast("long")
+    n, members, unrolled = lists.agg(F.count("*"), F.sum(size), F.sum(size * size)).first()
+    if not unique:
+        unstored(e)
     parts = max(1, -(-(unrolled or 0) // PART_PAIRS), edges.sparkSession.sparkContext.defaultParallelism)
-    blocks = lists.where(F.size("ids") > 1).mapInArrow(_blocks(parts), "part int, n long, m long, block binary")
     kind = names.schema["name"].dataType.simpleString()
     told = names.select("id", "k", "name") if strong is None else names.select("id", "k")
-    every = told.mapInArrow(_named, "block binary").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).cast("long").alias("n"), F.lit(-1).cast("long").alias("m"), "block")
+
+    def dealt(some: range) -> DataFrame:
+        blocks = lists.where(F.size("ids") > 1).mapInArrow(_blocks(parts, some), "part int, n long, m long, block binary")
+        every = told.mapInArrow(_named, "block binary").select(F.explode(F.sequence(F.lit(some[0]), F.lit(some[-1]))).alias("part"), F.lit(-1).cast("long").alias("n"), F.lit(-1).cast("long").alias("m"), "block")
+        return blocks.unionByName(every).repartition(len(some), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = defaultdict(list), defaultdict(list)
@@ -247,9 +258,12 @@ def numbered_pairs(edges: DataFrame, level: float, strong: float | None, name: C
                     x = slice(c, c + 100_000)
                     yield pa.RecordBatch.from_arrays([key.take(pa.array(place[a[x]])), key.take(pa.array(place[b[x]])), pa.array(overlap[x], pa.int64()), pa.array(p[x]), pa.array(weight[x])], names=["a", "b", "overlap", "p_value", "weight"])
 
-    dealt = blocks.unionByName(every).repartition(parts, "part")
     if strong is None:
-        return dealt.mapInArrow(run, f"a {kind}, b {kind}, overlap long, p_value double, weight double"), names
-    found = stored(dealt.mapInArrow(run, "a int, b int, weight double").dropDuplicates(["a", "b"]), "links")
+        return dealt(range(parts)).mapInArrow(run, f"a {kind}, b {kind}, overlap long, p_value double, weight double"), names
+    rounds = min(parts, max(1, -(-(unrolled or 0) // (ROUND * (members or 1)))))
+    bounds = [parts * i // rounds for i in range(rounds + 1)]
+    kept = [stored(dealt(range(*x)).mapInArrow(run, "a int, b int, weight double"), "links-of-round") for x in zip(bounds, bounds[1:])]
     unstored(lists)
+    found = stored(reduce(DataFrame.union, kept).dropDuplicates(["a", "b"]), "links")
+    unstored(*kept)
     return found, names

@@ -8,11 +8,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions import stats
 from reviewlens.operators import copairs, graph
+from reviewlens.session import stored
 
 
 def _rows(seed: int = 1) -> list[tuple]:
@@ -107,3 +109,51 @@ def test_caps_by_names(spark):
                 of_p[p] += 1
                 want.add((r, p, t))
         assert {tuple(x) for x in graph.cap_degrees(edges, most_products, most_reviewers, name, product).collect()} == want != set(rows)
+
+
+def test_parts_in_rounds(spark, monkeypatch, tmp_path):
+    """Parts dealt in rounds give the links of one round; a round sends the blocks of its own parts only and leaves no table behind."""
+    sc = spark.sparkContext
+    sc.setCheckpointDir(f"file://{tmp_path}")
+    edges = spark.createDataFrame(_rows(), "reviewer_hash string, product_hash string")
+    links, _ = copairs.numbered_pairs(edges, 0.05, 0.05, lambda key: key)
+    want = {tuple(r) for r in links.collect()}
+    written = []
+    monkeypatch.setattr(copairs, "stored", lambda rows, name: written.append(name) or stored(rows, name))
+    monkeypatch.setattr(copairs, "ROUND", 3)
+    links, _ = copairs.numbered_pairs(edges, 0.05, 0.05, lambda key: key)
+    assert {tuple(r) for r in links.collect()} == want and want
+    assert written.count("links-of-round") > 1
+    folder = sc._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert sorted(x.split("-")[0] for x in os.listdir(folder) if not x.startswith(".")) == ["links", "links", "reviewers", "reviewers"]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([[0, 1, 2, 3, 4, 5], [2, 5]], pa.list_(pa.int32()))})
+    assert [x.column(0).to_pylist() for x in copairs._blocks(6)(iter([batch]))] == [[i] for i in range(6)]
+    assert [x.column(0).to_pylist() for x in copairs._blocks(6, range(2, 4))(iter([batch]))] == [[2], [3]]
+
+
+def test_components_at_once_and_in_rounds(spark, monkeypatch):
+    """Few pairs, with nulls, repeats and pairs of one node, give the same components in one pass as in rounds."""
+    rng = np.random.default_rng(7)
+    rows = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 300, (150, 2)).tolist()] + [("é", "z"), ("z", "\U0001f600"), ("q", None), (None, "z"), ("self", "self")]
+    pairs = spark.createDataFrame(rows, "a string, b string")
+    got = {tuple(r) for r in graph.connected(pairs).collect()}
+    empty = graph.connected(pairs.where("false"))
+    assert (empty.count(), empty.columns) == (0, ["node", "comp"])
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert {tuple(r) for r in graph.connected(pairs).collect()} == got and ("\U0001f600", "z") in got
+
+
+def test_flags_move_raw_edges_off_first(spark, tmp_path):
+    """Raw edges are gone when pairs are dealt, and only tables that the result reads stay."""
+    sc = spark.sparkContext
+    sc.setCheckpointDir(f"file://{tmp_path}")
+    edges = spark.createDataFrame([(r, p, 5, 1, True, 1) for r, p in _rows()], "reviewer_hash string, product_hash string, star_rating int, week_bucket int, verified boolean, received_at long")
+    got = {r[0] for r in graph.flagged_reviewers(edges).collect()}
+    folder = sc._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert not {x.split("-")[0] for x in os.listdir(folder)} & {"raw", "clean", "edges", "product", "communities"}
+    # the same by names, each step on its own
+    clean = graph.sanitise(edges)[0]
+    links = graph.backbone(graph.project(clean))
+    parts = graph.communities(links)
+    bad = graph.score_communities(parts, links, clean).where("flagged").select("community")
+    assert {r[0] for r in parts.join(bad, "community").select("node").collect()} == got and got
