@@ -10,6 +10,10 @@
    the pair matrix.  It unrolls, sorts and counts them for some of its reviewers at a
    time (``PAIRS``), which bounds its memory.  Where members are sent many times, the
    parts are dealt in rounds (``ROUND``), which bounds the disk.
+
+Where all pairs are returned, whole rows aren't needed: reviewers are dealt to g groups
+and a part is a pair of groups.  It gets the lists' members and the names of these two
+groups only, so each name moves g times, about the root of twice the number of parts.
 """
 
 from __future__ import annotations
@@ -96,6 +100,78 @@ def _blocks(parts: int, of_parts: range | None = None) -> Callable[[Iterator[pa.
     return run
 
 
+def _tiles(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists of numbers to rows (part, n lists, m members, block) for each pair of groups; numbers are dealt to groups by their rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            sizes = np.diff(np.asarray(ids.offsets, np.int64))
+            flat = np.asarray(ids.flatten(), np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            group, flat = flat % groups, flat // groups
+            by_group = np.lexsort((flat, owner, group))
+            owner, flat = owner[by_group], flat[by_group]
+            bounds = np.searchsorted(group[by_group], np.arange(groups + 1))
+            counts, steps = [], []
+            for x in range(groups):
+                at = slice(bounds[x], bounds[x + 1])
+                counts.append(np.bincount(owner[at], minlength=len(sizes)))
+                new = np.diff(owner[at], prepend=-1) != 0
+                steps.append(np.where(new, flat[at], np.diff(flat[at], prepend=0)))
+            for i in range(groups):
+                for j in range(i, groups):
+                    of = [i] if i == j else [i, j]
+                    use = counts[i] > 1 if i == j else (counts[i] > 0) & (counts[j] > 0)
+                    if not use.any():
+                        continue
+                    numbers = np.concatenate([counts[x][use] for x in of] + [steps[x][np.repeat(use, counts[x])] for x in of])
+                    lists = int(use.sum())
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([i * groups + j], pa.int32()), "n": pa.array([lists], pa.int64()), "m": pa.array([len(numbers) - lists * len(of)], pa.int64()), "block": pa.array([_packed(numbers)], pa.binary())})
+
+    return run
+
+
+def _named_by(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of reviewers to one row (grp, block) for each group."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            of = batch.column(batch.schema.get_field_index("id")).to_numpy() % groups
+            for x in np.unique(of).tolist():
+                for named in _named(iter([batch.take(pa.array(np.flatnonzero(of == x)))])):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), named.column(0)], names=["grp", "block"])
+
+    return run
+
+
+def _tile_rows(alone: bool, blocks: list[tuple[int, int, bytes]], shift: int, degree: np.ndarray, order: np.ndarray, n: int, level: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, overlap, p_value, weight) of the significant pairs within a group (``alone``) or between two; members of the second are ``shift`` higher."""
+    sides = 1 if alone else 2
+    sizes, members = [[] for _ in range(sides)], [[] for _ in range(sides)]
+    while blocks:
+        count, m, data = blocks.pop()
+        numbers = _unpacked(data, sides * count + m)
+        at = sides * count
+        for x in range(sides):
+            own = numbers[x * count : (x + 1) * count]
+            steps = numbers[at : at + int(own.sum())]
+            at += len(steps)
+            starts = np.cumsum(own) - own
+            total = np.cumsum(steps)
+            sizes[x].append(own)
+            members[x].append((total - np.repeat(total[starts] - steps[starts], own) + x * shift).astype(np.int32))
+    sizes, members = [np.concatenate(x) for x in sizes], [np.concatenate(x) for x in members]
+    mine = np.arange(len(members[0]))
+    if alone:
+        begin = mine + 1
+        unrolled = np.repeat(np.cumsum(sizes[0]), sizes[0]) - begin
+    else:
+        begin = np.repeat(np.cumsum(sizes[1]) - sizes[1], sizes[0]) + len(mine)
+        unrolled = np.repeat(sizes[1], sizes[0])
+    yield from _counted(np.concatenate(members), mine, begin, unrolled, degree, order, n, level, False)
+
+
 def _named(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of reviewers to one row each, as a stream of Arrow's."""
     for batch in rows:
@@ -148,6 +224,14 @@ def _rows_of(part: int, parts: int, blocks: list[tuple[int, int, bytes]], degree
     begin = starts[owner] if both else mine + 1
     unrolled = starts[owner] + sizes[owner] - begin
     del owner
+    yield from _counted(member, mine, begin, unrolled, degree, None, n, level, both)
+
+
+def _counted(member: np.ndarray, mine: np.ndarray, begin: np.ndarray, unrolled: np.ndarray, degree: np.ndarray, order: np.ndarray | None, n: int, level: float, both: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, overlap, p_value, weight) of the significant pairs of the members at ``mine`` with the ``unrolled`` members from ``begin``, whole rows at a time.
+
+    order: where numbers of members aren't in the order of names, what is; a is the first of each pair.
+    """
     by_row = np.argsort(member[mine], kind="stable")
     mine, begin, unrolled = mine[by_row], begin[by_row], unrolled[by_row]
     rows = np.flatnonzero(np.diff(member[mine], prepend=-1))
@@ -170,10 +254,12 @@ def _rows_of(part: int, parts: int, blocks: list[tuple[int, int, bytes]], degree
         code = code[heads]
         a, b = code >> 32, code & 0xFFFFFFFF
         ka, kb = degree[a], degree[b]
-        first = a < b
+        first = a < b if order is None else order[a] < order[b]
         p = _tails(n, np.where(first, ka, kb), np.where(first, kb, ka), overlap)
         told = np.flatnonzero(p < level)
-        a, b, overlap, p = a[told], b[told], overlap[told], p[told]
+        a, b, overlap, p, first = a[told], b[told], overlap[told], p[told], first[told]
+        if order is not None:
+            a, b = np.where(first, a, b), np.where(first, b, a)
         with np.errstate(divide="ignore"):
             weight = np.where(p <= 0, 300.0, np.minimum(-np.log10(p), 300.0))
         yield a, b, overlap, p, weight
@@ -190,13 +276,13 @@ def _strong(a: np.ndarray, weight: np.ndarray, level: float) -> np.ndarray:
     return np.flatnonzero(np.where(k <= 1, 0.0, (1 - share) ** (k - 1)) < level)
 
 
-def pairs(edges: DataFrame, level: float, strong: float | None = None, name: Callable[[Column], Column] = lambda key: key) -> DataFrame:
+def pairs(edges: DataFrame, level: float, strong: float | None = None, name: Callable[[Column], Column] = lambda key: key, unique: bool = False) -> DataFrame:
     """a, b (a < b), overlap, p_value, weight of the pairs under ``level``; with ``strong``: a, b, weight of those that the disparity filter keeps at either end.
 
     edges: reviewer_hash and product_hash of any type that sorts; those with a null meet nothing.
     name: a reviewer's name from its key; a and b are names.
     """
-    found, names = numbered_pairs(edges, level, strong, name)
+    found, names = numbered_pairs(edges, level, strong, name, unique)
     if strong is None:
         return found
     of = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
@@ -220,11 +306,13 @@ def numbered_pairs(edges: DataFrame, level: float, strong: float | None, name: C
     if not unique:
         unstored(e)
     parts = max(1, -(-(unrolled or 0) // PART_PAIRS), edges.sparkSession.sparkContext.defaultParallelism)
-    kind = names.schema["name"].dataType.simpleString()
-    told = names.select("id", "k", "name") if strong is None else names.select("id", "k")
+    lists_met = lists.where(F.size("ids") > 1)
+    if strong is None:
+        return _all_pairs(lists_met, names, parts, n, level), names
+    told = names.select("id", "k")
 
     def dealt(some: range) -> DataFrame:
-        blocks = lists.where(F.size("ids") > 1).mapInArrow(_blocks(parts, some), "part int, n long, m long, block binary")
+        blocks = lists_met.mapInArrow(_blocks(parts, some), "part int, n long, m long, block binary")
         every = told.mapInArrow(_named, "block binary").select(F.explode(F.sequence(F.lit(some[0]), F.lit(some[-1]))).alias("part"), F.lit(-1).cast("long").alias("n"), F.lit(-1).cast("long").alias("m"), "block")
         return blocks.unionByName(every).repartition(len(some), "part")
 
@@ -244,22 +332,12 @@ def numbered_pairs(edges: DataFrame, level: float, strong: float | None, name: C
         ids = tables.column("id").to_numpy()
         degree = np.zeros(len(ids), np.int64)
         degree[ids] = tables.column("k").to_numpy()
-        key = tables.column("name").combine_chunks() if strong is None else None
-        place = np.empty(len(ids), np.int64)
-        place[ids] = np.arange(len(ids))
         del tables
         for part in sorted(held):
-            for a, b, overlap, p, weight in _rows_of(part, parts, held.pop(part), degree, n, level, strong is not None):
-                if strong is not None:
-                    at = _strong(a, weight, strong)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[at], pa.int32()), pa.array(np.maximum(a, b)[at], pa.int32()), pa.array(weight[at])], names=["a", "b", "weight"])
-                    continue
-                for c in range(0, len(a), 100_000):
-                    x = slice(c, c + 100_000)
-                    yield pa.RecordBatch.from_arrays([key.take(pa.array(place[a[x]])), key.take(pa.array(place[b[x]])), pa.array(overlap[x], pa.int64()), pa.array(p[x]), pa.array(weight[x])], names=["a", "b", "overlap", "p_value", "weight"])
+            for a, b, _, _, weight in _rows_of(part, parts, held.pop(part), degree, n, level, True):
+                at = _strong(a, weight, strong)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[at], pa.int32()), pa.array(np.maximum(a, b)[at], pa.int32()), pa.array(weight[at])], names=["a", "b", "weight"])
 
-    if strong is None:
-        return dealt(range(parts)).mapInArrow(run, f"a {kind}, b {kind}, overlap long, p_value double, weight double"), names
     rounds = min(parts, max(1, -(-(unrolled or 0) // (ROUND * (members or 1)))))
     bounds = [parts * i // rounds for i in range(rounds + 1)]
     kept = [stored(dealt(range(*x)).mapInArrow(run, "a int, b int, weight double"), "links-of-round") for x in zip(bounds, bounds[1:])]
@@ -267,3 +345,36 @@ def numbered_pairs(edges: DataFrame, level: float, strong: float | None, name: C
     found = stored(reduce(DataFrame.union, kept).dropDuplicates(["a", "b"]), "links")
     unstored(*kept)
     return found, names
+
+
+def _all_pairs(lists: DataFrame, names: DataFrame, parts: int, n: int, level: float) -> DataFrame:
+    """a, b (names), overlap, p_value, weight, from parts of two groups each."""
+    groups = 1
+    while groups * (groups + 1) // 2 < parts:
+        groups += 1
+    blocks = lists.mapInArrow(_tiles(groups), "part int, n long, m long, block binary")
+    tile = lambda x: (F.least(x, "grp") * groups + F.greatest(x, "grp")).cast("int")
+    told = names.select("id", "k", "name").mapInArrow(_named_by(groups), "grp int, block binary")
+    told = told.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), tile)).alias("part"), F.col("grp").cast("long").alias("n"), F.lit(-1).cast("long").alias("m"), "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = defaultdict(list), defaultdict(list)
+        for batch in batches:
+            for part, count, m, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if m >= 0:
+                    held[part].append((count, m, data))
+                else:
+                    known[part, count].append(data)
+        for part in sorted(held):
+            of = sorted(set(divmod(part, groups)))
+            sides = [pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in known.pop((part, x))]).sort_by("id") for x in of]
+            both = pa.concat_tables(sides)
+            key = both.column("name").combine_chunks()
+            for a, b, overlap, p, weight in _tile_rows(len(of) == 1, held.pop(part), len(sides[0]), both.column("k").to_numpy(), both.column("id").to_numpy(), n, level):
+                for c in range(0, len(a), 100_000):
+                    x = slice(c, c + 100_000)
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(a[x])), key.take(pa.array(b[x])), pa.array(overlap[x], pa.int64()), pa.array(p[x]), pa.array(weight[x])], names=["a", "b", "overlap", "p_value", "weight"])
+
+    kind = names.schema["name"].dataType.simpleString()
+    dealt = blocks.unionByName(told).repartition(groups * (groups + 1) // 2, "part")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, overlap long, p_value double, weight double")

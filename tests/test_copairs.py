@@ -157,3 +157,21 @@ def test_flags_move_raw_edges_off_first(spark, tmp_path):
     parts = graph.communities(links)
     bad = graph.score_communities(parts, links, clean).where("flagged").select("community")
     assert {r[0] for r in parts.join(bad, "community").select("node").collect()} == got and got
+
+
+def test_names_move_to_pairs_of_groups(spark, monkeypatch):
+    """Each name goes to one part for each group and not to every part; pairs within and between groups are as counted plainly."""
+    rows = _rows(3)
+    edges = spark.createDataFrame(rows, "reviewer_hash string, product_hash string")
+    want = {k: (n, pytest.approx(p)) for k, (n, p) in _plain(rows).items() if p < 0.05}
+    # about 30 parts: at least 8 groups
+    lists = Counter(p for _, p in set(rows) if p is not None)
+    monkeypatch.setattr(copairs, "PART_PAIRS", sum(n * n for n in lists.values()) // 30)
+    moved = []
+    named = copairs._named_by
+    monkeypatch.setattr(copairs, "_named_by", lambda groups: moved.append(groups) or named(groups))
+    assert {(r["a"], r["b"]): (r["overlap"], r["p_value"]) for r in graph.project(edges).collect()} == want
+    assert 8 <= moved[0] <= 12
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(10), pa.int32()), "k": pa.array(range(10), pa.int64()), "name": pa.array(list("abcdefghij"))})
+    got = {x.column(0)[0].as_py(): pa.ipc.open_stream(x.column(1)[0].as_py()).read_all()["id"].to_pylist() for x in named(4)(iter([batch]))}
+    assert got == {0: [0, 4, 8], 1: [1, 5, 9], 2: [2, 6], 3: [3, 7]}
