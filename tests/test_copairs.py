@@ -203,3 +203,20 @@ def test_caps_in_blocks(spark, monkeypatch):
                 assert set(found) == want and len(found) == len(want)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_file_has_few_names(spark, monkeypatch, tmp_path):
+    """A file of all pairs has names of one group in each column, so that they stay in Parquet's dictionaries; rows, names made of keys and rounded weights are as counted plainly."""
+    rows = sorted(set(zip(*np.random.default_rng(5).integers(0, 400, (2, 3000)).tolist(), strict=True)))
+    edges = spark.createDataFrame(rows, "reviewer_hash long, product_hash long")
+    digest = lambda key: hashlib.sha256(f"c{key}".encode()).hexdigest()
+    monkeypatch.setattr(copairs, "NAMES", 50 * 68, raising=False)
+    monkeypatch.setattr(copairs, "WORTH", 1, raising=False)
+    found = graph.project(edges, 2.0, name=lambda key: F.sha2(F.concat(F.lit("c"), key.cast("string")), 256))
+    want = {k: (n, pytest.approx(p)) for k, (n, p) in _plain([(digest(r), p) for r, p in rows]).items()}
+    assert {(r["a"], r["b"]): (r["overlap"], r["p_value"]) for r in found.collect()} == want
+    found.write.parquet(f"file://{tmp_path}/pairs")
+    files = spark.read.parquet(f"file://{tmp_path}/pairs").groupBy(F.input_file_name()).agg(F.countDistinct("a"), F.countDistinct("b")).collect()
+    assert len(files) == 36 and max(max(x[1:]) for x in files) <= 50
+    plain = {(r["a"], r["b"]): r["weight"] for r in found.withColumn("weight", F.round("weight", 6)).collect()}
+    assert {(r["a"], r["b"]): r["weight"] for r in graph.project(edges, 2.0, name=lambda key: F.sha2(F.concat(F.lit("c"), key.cast("string")), 256), digits=6).collect()} == plain
